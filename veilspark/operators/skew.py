@@ -1,0 +1,48 @@
+"""Equi-join that stays spread out when a few keys hold most rows of the left side."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_ROWS = 500_000
+HOT_SHARE = 1 / 256
+SALTS = 64
+
+
+def hot_keys(df: DataFrame, on: str, hot_rows: int = HOT_ROWS) -> list:
+    """Keys (null included) that hold both ``hot_rows`` rows and 1/256 of all rows.
+
+    One count per key, combined map-side; at most 256 keys can qualify."""
+    counts = df.groupBy(F.col(on).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    big = counts.where(F.col("n") >= hot_rows)
+    total = df.count() if big.take(1) else 0
+    if not total:
+        return []
+    return [row["key"] for row in big.where(F.col("n") >= total * HOT_SHARE).collect()]
+
+
+def skew_join(
+    left: DataFrame, right: DataFrame, on: str, how: str = "left", hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Join with ``right`` (one row per key). Rows of a hot key are dealt over SALTS
+    buckets and only that key's right row is repeated; all other rows join as usual.
+    Whether a side is small enough to broadcast is left to the measured sizes of AQE."""
+    hot = hot_keys(left, on, hot_rows)
+    if not hot:
+        return left.join(right, on, how)
+    salt = f"{on}__salt"
+    known = [value for value in hot if value is not None]
+    spread = F.pmod(
+        F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]) + F.spark_partition_id(), F.lit(SALTS)
+    )
+    is_hot = F.col(on).isNull() | F.col(on).isin(known)
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")
+    dealt = left.withColumn(salt, F.when(is_hot, spread).otherwise(F.lit(0).cast("bigint")))
+    repeated = right.withColumn(
+        salt,
+        F.explode(
+            F.when(F.col(on).isin(known), every).otherwise(F.array(F.lit(0).cast("bigint")))
+        ),
+    )
+    return dealt.join(repeated, [on, salt], how).drop(salt)
