@@ -1,0 +1,56 @@
+"""Policy-driven sanitizing of tables, text and streams on Spark."""
+
+from .jobs import DuplicateJob, Stores, import_file, import_table, open_tokens
+from .keys import ProjectKey
+from .operators.detection import column_findings, residual_scan
+from .operators.inference import combined_policy, infer_policy, union_tables
+from .operators.profile import profile_columns, value_frequencies
+from .operators.report import ExportBlocked, ReviewOverride
+from .operators.sanitize import (
+    sanitize_records,
+    sanitize_table,
+    sanitize_tables,
+    sanitize_text,
+)
+from .operators.text_scan import EntityDetector
+from .operators.vault import detokenize, purge_expired
+from .policy import Policy, Recognizer
+from .sinks.writers import write_safe
+from .sources.preview import preview_file, preview_table
+from .sources.readers import load_any, load_tables
+from .streaming.stream import StreamPaths, safe_stream, sanitize_stream
+
+__all__ = [
+    "DuplicateJob",
+    "EntityDetector",
+    "ExportBlocked",
+    "Policy",
+    "ProjectKey",
+    "Recognizer",
+    "ReviewOverride",
+    "Stores",
+    "StreamPaths",
+    "column_findings",
+    "combined_policy",
+    "detokenize",
+    "import_file",
+    "import_table",
+    "infer_policy",
+    "load_any",
+    "load_tables",
+    "open_tokens",
+    "preview_file",
+    "preview_table",
+    "profile_columns",
+    "purge_expired",
+    "residual_scan",
+    "safe_stream",
+    "sanitize_records",
+    "sanitize_stream",
+    "sanitize_table",
+    "sanitize_tables",
+    "sanitize_text",
+    "union_tables",
+    "value_frequencies",
+    "write_safe",
+]

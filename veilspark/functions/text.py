@@ -49,7 +49,8 @@ def is_ascii(value: Column) -> Column:
 
 
 def _double_string(value: Column) -> Column:
-    """Shortest decimal form; plain digits for 1e-4 <= |x| < 1e16, else ``1e+16`` style."""
+    """Shortest decimal form; plain digits for 1e-4 <= |x| < 1e16, else ``1e+16`` style.
+    Denormal numbers keep the digits Java prints (4.9e-324)."""
     text = value.cast("string")
     plain = F.regexp_replace(
         F.regexp_replace(text.cast("decimal(38,20)").cast("string"), r"0+$", ""), r"\.$", ".0"
@@ -95,7 +96,7 @@ def is_missing(value: Column, dtype: T.DataType) -> Column:
     return value.isNull()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc_strip(values: pd.Series) -> pd.Series:
     return values.str.normalize("NFKC").str.strip()
 

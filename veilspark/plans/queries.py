@@ -1,0 +1,655 @@
+"""The registered queries: every operator over the given tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime, timedelta, timezone
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.checks import ip_valid, luhn_valid, thai_id_valid
+from ..functions.dates import parse_date
+from ..functions.numbers import coerce_numeric
+from ..functions.spans import find_spans, replace_spans, span_text
+from ..operators.actions import time_shift, tokenize
+from ..operators.audit import CHAIN_VERSION, HASHED, verify_audit
+from ..operators.detection import column_findings, findings_table, leaked_values, residual_findings
+from ..operators.inference import infer_policy, union_tables
+from ..operators.metadata import table_metadata
+from ..operators.profile import profile_columns, value_frequencies
+from ..operators.quantiles import exact_quantiles
+from ..operators.report import Report, utility_impact
+from ..operators.sanitize import gate_columns, sanitize_table, sanitize_tables, sanitize_text
+from ..operators.synthesize import synthesize_numeric
+from ..operators.text_scan import (
+    count_secrets,
+    pii_findings,
+    recognizer_label,
+    recognizer_rules,
+    scan_distinct_text,
+    scan_text,
+)
+from ..operators.vault import (
+    detokenize,
+    job_exists,
+    open_mapping,
+    open_rows,
+    purge_expired,
+    read_vault,
+    seal_mapping,
+    seal_rows,
+    token_collisions,
+    write_vault,
+)
+from ..policy import Policy, resolve_actions
+from ..sinks.writers import write_rows, write_safe
+from ..sources.preview import preview_table
+from ..sources.readers import load_any
+from ..streaming.stream import (
+    StreamPaths,
+    cumulative_report,
+    read_stream_table,
+    sanitize_stream,
+)
+from . import common as c
+from .common import KEY, table, text_table, work_folder
+
+NOW = datetime(2026, 1, 1, tzinfo=timezone.utc)
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+# --- actions -------------------------------------------------------------------------
+
+
+def sanitize_customer(spark, sf):
+    return sanitize_table(table(spark, sf, "customer"), c.CUSTOMER_POLICY, KEY).export()
+
+
+def sanitize_orders(spark, sf):
+    return sanitize_table(table(spark, sf, "orders"), c.ORDERS_POLICY, KEY).export()
+
+
+def sanitize_many_tables(spark, sf):
+    """Customer and supplier names share one domain under one key."""
+    policy = Policy.from_dict(
+        {
+            "security": c.NO_DETECTOR,
+            "columns": {"c_name": "tokenize", "s_name": "tokenize"},
+            "token_domains": {"c_name": "PARTY", "s_name": "PARTY"},
+            "default": {"unknown_column": "drop"},
+        }
+    )
+    tables = {name: table(spark, sf, name) for name in ("customer", "supplier")}
+    results = sanitize_tables(tables, policy, KEY, mode="targeted")
+    return reduce(
+        DataFrame.unionByName,
+        [
+            result.export().toDF("party").withColumn("table_name", F.lit(name))
+            for name, result in results.items()
+        ],
+    )
+
+
+def time_shift_events(spark, sf):
+    events = table(spark, sf, "events").select(
+        "event_id",
+        "user_id",
+        F.date_format("ts", "HH:mm:ss.SSS").alias("clock"),
+        ((F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")) / 86400).alias("fraction"),
+    )
+    schema = events.schema
+
+    def shifted(name):
+        return time_shift(
+            F.col(name), schema[name].dataType, F.col("user_id"), schema["user_id"].dataType,
+            c.CLOCK_POLICY, KEY,
+        )
+
+    return events.select(
+        "event_id", shifted("clock").alias("shifted_clock"), shifted("fraction").alias("shifted_fraction")
+    )
+
+
+def parse_order_dates(spark, sf):
+    """Order dates written in five styles and read back."""
+    day = F.col("o_orderdate")
+    text = (
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.date_format(day, "MM/dd/yyyy"))
+        .when(F.col("o_orderpriority") == "2-HIGH", F.date_format(day, "d MMM yyyy"))
+        .when(F.col("o_orderpriority") == "3-MEDIUM", F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss"))
+        .when(F.col("o_orderpriority") == "5-LOW", F.date_format(day, "MMMM d, yyyy"))
+        .otherwise(F.lit("no date"))
+    )
+    orders = table(spark, sf, "orders").select("o_orderkey", text.alias("written"))
+    parsed = parse_date(F.col("written"), orders.schema["written"].dataType)
+    return orders.select("o_orderkey", parsed.cast("string").alias("order_day"))
+
+
+def coerce_amounts(spark, sf):
+    """Prices written as accounting text and read back as numbers."""
+    price = F.format_number("o_totalprice", 2)
+    text = (
+        F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("("), price, F.lit(")")))
+        .when(F.col("o_orderstatus") == "O", F.concat(F.lit("THB "), price))
+        .when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("n/a "), price))
+        .otherwise(F.concat(F.lit("$ "), price))
+    )
+    orders = table(spark, sf, "orders").select("o_orderkey", text.alias("written"))
+    amount = coerce_numeric(F.col("written"), orders.schema["written"].dataType)
+    return orders.select("o_orderkey", F.round(amount, 2).alias("amount"))
+
+
+def _synthesized(spark, sf, name, column, keys):
+    df = table(spark, sf, name).select(*dict.fromkeys([*keys, column]))
+    made = synthesize_numeric(df, column, "synthetic", KEY, keys)
+    return made.select(*[F.col(k) for k in keys], F.round("synthetic", 4).alias("synthetic"))
+
+
+def synthesize_price(spark, sf):
+    return _synthesized(
+        spark, sf, "lineitem", "l_extendedprice", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    )
+
+
+def synthesize_quantity(spark, sf):
+    return _synthesized(
+        spark, sf, "lineitem", "l_quantity", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    )
+
+
+def synthesize_custkey(spark, sf):
+    """Whole numbers with gaps: draws move to a key no order has."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    made = synthesize_numeric(orders, "o_custkey", "synthetic", KEY, ["o_orderkey"])
+    return made.select("o_orderkey", "synthetic")
+
+
+def token_linkage(spark, sf):
+    """Join on tokens alone; the result equals the join on the raw keys."""
+    customers = table(spark, sf, "customer").select(
+        tokenize(F.col("c_custkey"), _type(spark, sf, "customer", "c_custkey"), "CUSTOMER_ID", KEY).alias("token"),
+        "c_mktsegment",
+    )
+    orders = table(spark, sf, "orders").select(
+        tokenize(F.col("o_custkey"), _type(spark, sf, "orders", "o_custkey"), "CUSTOMER_ID", KEY).alias("token"),
+        "o_totalprice",
+    )
+    joined = orders.join(customers, "token")
+    return joined.groupBy("c_mktsegment").agg(
+        F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total")
+    )
+
+
+def _type(spark, sf, name, column):
+    return table(spark, sf, name).schema[column].dataType
+
+
+# --- detectors -----------------------------------------------------------------------
+
+
+def _redacted(spark, sf, name, ids, column):
+    scanned = scan_text(text_table(spark, sf, name).select(*ids, column), column, "scan", KEY)
+    return scanned.select(
+        *ids,
+        F.col("scan.safe").alias("safe"),
+        F.col("scan.secrets").cast("bigint").alias("secrets"),
+        F.col("scan.pii").cast("bigint").alias("pii"),
+    )
+
+
+def redact_documents(spark, sf):
+    return _redacted(spark, sf, "documents", ["doc_id"], "text")
+
+
+def redact_pages(spark, sf):
+    return _redacted(spark, sf, "pages", ["page_id"], "html")
+
+
+def redact_conversations(spark, sf):
+    return _redacted(spark, sf, "conversations", ["conv_id", "turn"], "text")
+
+
+def redact_distinct_documents(spark, sf):
+    """Each distinct text scanned once; equal to the direct scan."""
+    documents = text_table(spark, sf, "documents").select("doc_id", "text")
+    scanned = scan_distinct_text(documents, "text", "scan", KEY)
+    return scanned.select("doc_id", F.col("scan.safe").alias("safe"))
+
+
+def find_pii(spark, sf):
+    """One row per document, kind and matched text."""
+    documents = text_table(spark, sf, "documents").select("doc_id", "text")
+    found = documents.withColumn("spans", pii_findings(F.col("text"))).where(F.size("spans") > 0)
+    found = found.select("doc_id", "text", F.explode("spans").alias("span"))
+    matched = span_text(F.col("text"), F.col("span"))
+    return (
+        found.select("doc_id", F.col("span.kind").alias("kind"), matched.alias("matched"))
+        .groupBy("doc_id", "kind", "matched")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def find_secrets(spark, sf):
+    parts = [
+        text_table(spark, sf, name).select(
+            F.lit(name).alias("table_name"), F.col(key).alias("id"), count_secrets(F.col(text)).alias("n")
+        )
+        for name, key, text in (("documents", "doc_id", "text"), ("pages", "page_id", "html"))
+    ]
+    counted = reduce(DataFrame.unionByName, parts).where(F.col("n") > 0)
+    return counted.select("table_name", "id", F.col("n").cast("bigint").alias("n"))
+
+
+def custom_recognizers(spark, sf):
+    documents = text_table(spark, sf, "documents").select("doc_id", "text")
+    spans = documents.withColumn("spans", find_spans(F.col("text"), recognizer_rules(c.RECOGNIZERS)))
+    replaced = replace_spans(F.col("text"), F.col("spans"), recognizer_label(c.RECOGNIZERS, KEY))
+
+    def of_kind(name):
+        return F.size(F.filter("spans", lambda s: s["kind"] == name)).cast("bigint")
+
+    counts = [of_kind(r.name).alias(f"n_{r.name.lower()}") for r in c.RECOGNIZERS]
+    return spans.select("doc_id", replaced.alias("safe"), *counts)
+
+
+def text_tokens(spark, sf):
+    """Tokens that recognizers put into free text, with the text they stand for."""
+    documents = text_table(spark, sf, "documents").select("doc_id", "text")
+    policy = Policy.from_dict(
+        {"security": c.NO_DETECTOR, "columns": {"doc_id": "keep", "text": "redact_text"}}
+    )
+    result = sanitize_table(documents, policy, KEY, mode="targeted", recognizers=c.RECOGNIZERS)
+    return result.mapping()
+
+
+def digit_checks(spark, sf):
+    """Checksums over digit strings built from the keys of every line."""
+    line = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    card = F.concat(
+        F.lit("4"), F.lpad(F.col("l_orderkey").cast("string"), 8, "0"),
+        F.lpad(F.col("l_partkey").cast("string"), 6, "0"), F.col("l_linenumber").cast("string"),
+    )
+    person = F.concat(
+        F.lpad(F.col("l_orderkey").cast("string"), 8, "1"), F.lpad(F.col("l_suppkey").cast("string"), 5, "2")
+    )
+    address = F.concat_ws(
+        ".", F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_partkey") % 512, F.col("l_orderkey") % 300
+    )
+    return (
+        line.select(
+            luhn_valid(card).alias("card_ok"), thai_id_valid(person).alias("person_ok"), ip_valid(address).alias("ip_ok")
+        )
+        .groupBy("card_ok", "person_ok", "ip_ok")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+# --- gate and report -----------------------------------------------------------------
+
+VISIBLE_DOCUMENTS = Policy.from_dict(
+    {
+        "security": c.NO_DETECTOR,
+        "columns": {"doc_id": "keep", "text": "review_required", "lang": "keep", "source": "keep", "n_chars": "hash"},
+    }
+)
+
+
+def count_findings(spark, sf):
+    documents = text_table(spark, sf, "documents")
+    return findings_table(documents, VISIBLE_DOCUMENTS, "strict", c.RECOGNIZERS[:1])
+
+
+def drop_secret_columns(spark, sf):
+    """Final action of each column: one secret in a visible column drops it whole."""
+    documents = text_table(spark, sf, "documents").withColumn("api_key", F.col("doc_id"))
+    findings = column_findings(documents, VISIBLE_DOCUMENTS, "strict")
+    report = Report()
+    plans = gate_columns(
+        resolve_actions(documents.schema, VISIBLE_DOCUMENTS), findings, VISIBLE_DOCUMENTS, report
+    )
+    return spark.createDataFrame(
+        [(p.name, p.action, findings.of(p.name, "secret")) for p in plans],
+        "column_name string, action string, secrets bigint",
+    )
+
+
+def scan_residuals(spark, sf):
+    """What remains in redacted documents, beside what the raw ones hold."""
+    scanned = scan_text(text_table(spark, sf, "documents").select("text"), "text", "scan", KEY)
+    both = scanned.select(F.col("text").alias("raw_text"), F.col("scan.safe").alias("safe_text"))
+    return residual_findings(both, ["raw_text", "safe_text"])
+
+
+def export_gate(spark, sf):
+    """Block reasons of five imports."""
+    documents = text_table(spark, sf, "documents")
+    customers, orders = table(spark, sf, "customer"), table(spark, sf, "orders")
+    keep_text = {"columns": {"text": "keep"}, "default": {"unknown_column": "drop"}}
+    # text that lost its secrets but still shows personal data
+    no_secrets = documents.where(count_secrets(F.col("text")) == 0)
+    cases = {
+        "safe customers": sanitize_table(customers, c.CUSTOMER_POLICY, KEY).gate,
+        "detector missing": sanitize_table(customers, Policy.from_dict({"default": {"unknown_column": "hash"}}), KEY).gate,
+        "no subject": sanitize_table(
+            orders.drop("o_custkey"), c.ORDERS_POLICY, KEY, mode="targeted"
+        ).gate,
+        "unknown columns": sanitize_table(
+            orders, Policy.from_dict({"security": c.NO_DETECTOR, "columns": {}}), KEY
+        ).gate,
+        "visible personal data": sanitize_table(
+            no_secrets, Policy.from_dict({"security": c.NO_DETECTOR, **keep_text}), KEY, mode="targeted"
+        ).gate,
+        "redacted documents": sanitize_text(documents, "text", c.DOCUMENT_POLICY, KEY).gate,
+    }
+    rows = [(case, reason) for case, gate in cases.items() for reason in gate.block_reasons or ["none"]]
+    return spark.createDataFrame(rows, "import_name string, reason string")
+
+
+def redaction_report(spark, sf):
+    result = sanitize_table(text_table(spark, sf, "documents"), c.DOCUMENT_POLICY, KEY)
+    return result.report().counters(spark)
+
+
+def report_impact(spark, sf):
+    report = sanitize_table(table(spark, sf, "orders"), c.ORDERS_POLICY, KEY).report()
+    return utility_impact(report.columns(spark))
+
+
+def gated_write(spark, sf):
+    """Write safe documents with observed counters, then read them back."""
+    folder = work_folder(spark)
+    result = sanitize_table(text_table(spark, sf, "documents"), c.DOCUMENT_POLICY, KEY)
+    report = write_safe(result, f"{folder}/documents")
+    counted = spark.read.parquet(f"{folder}/documents").agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum(F.length("text")).alias("characters")
+    )
+    return counted.withColumn("secrets", F.lit(report.secret_detections).cast("bigint"))
+
+
+def override_leaks(spark, sf):
+    """Customers that a reviewer's reason gives away."""
+    reason = "Checked CUSTOMER#000000007 and 864.52 against the household list"
+    return leaked_values(table(spark, sf, "customer"), reason).select("c_custkey", "c_name")
+
+
+# --- profiles and inference ----------------------------------------------------------
+
+
+def frequencies(spark, sf):
+    orders = value_frequencies(
+        table(spark, sf, "orders"), ["o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"]
+    )
+    return orders.unionByName(value_frequencies(table(spark, sf, "customer"), ["c_mktsegment", "c_name"]))
+
+
+PROFILED = ("customer", "orders", "part", "supplier", "nation", "events", "documents")
+
+
+def profiles(spark, sf):
+    parts = []
+    for name in PROFILED:
+        profile = profile_columns(table(spark, sf, name))
+        ratios = [n for n, kind in profile.dtypes if kind == "double"]
+        parts.append(
+            profile.withColumns({n: F.round(n, 6) for n in ratios}).withColumn("table_name", F.lit(name))
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
+def business_events(spark, sf):
+    """Events and orders under the names business tables use."""
+    events = table(spark, sf, "events").select(
+        F.col("user_id").alias("CustomerID"),
+        F.col("event_type").alias("SourceSystem"),
+        (F.col("value") > 10).alias("IsArchived"),
+        F.date_format("ts", "HH:mm:ss").alias("AuditTime"),
+        F.col("ts").alias("RecordedDate"),
+        F.col("props").alias("Notes"),
+        F.col("user_id").alias("UpdatedBy"),
+        F.col("event_type").alias("StatusFlag"),
+        F.col("event_type").alias("Description"),
+        F.col("value").alias("ServiceFee"),
+        F.col("user_id").cast("string").alias("OriginLocationCode"),
+        F.col("event_type").alias("UnclassifiedLabel"),
+        F.col("event_id").alias("MeasuredValue"),
+        F.lit("x").alias("api_key"),
+    )
+    return events
+
+
+def _decisions(df, name):
+    return infer_policy(df).frame(df.sparkSession).withColumn("table_name", F.lit(name))
+
+
+def draft_policies(spark, sf):
+    parts = [_decisions(table(spark, sf, name), name) for name in PROFILED]
+    parts.append(_decisions(business_events(spark, sf), "business"))
+    return reduce(DataFrame.unionByName, parts).select(
+        "table_name", "column_name", "action", "confidence", "reason", "role"
+    )
+
+
+def token_domains(spark, sf):
+    domains = infer_policy(business_events(spark, sf)).token_domains
+    return spark.createDataFrame(list(domains.items()), "column_name string, domain string")
+
+
+def merged_tables(spark, sf):
+    return union_tables(
+        [
+            table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), "c_mktsegment"),
+            table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), "s_acctbal"),
+        ]
+    )
+
+
+def merged_policy(spark, sf):
+    inferred = infer_policy(merged_tables(spark, sf))
+    return inferred.frame(spark).select("column_name", "action", "reason", "role")
+
+
+def preview_customer(spark, sf):
+    preview = preview_table(table(spark, sf, "customer"), KEY, 10)
+    return preview["sample"]
+
+
+def quantiles(spark, sf):
+    """Nine quantiles by narrowing, as a column too big for one buffer would get."""
+    line = table(spark, sf, "lineitem")
+    shares = [0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
+    rows = [
+        (column, share, round(value, 4))
+        for column in ("l_extendedprice", "l_quantity", "l_discount")
+        for share, value in zip(shares, exact_quantiles(line, F.col(column), shares, small=1000))
+    ]
+    return spark.createDataFrame(rows, "column_name string, share double, value double")
+
+
+def metadata(spark, sf):
+    names = ("customer", "orders", "part", "supplier", "nation", "region", "events", "conversations")
+    return reduce(DataFrame.unionByName, [table_metadata(table(spark, sf, n), n) for n in names])
+
+
+# --- vault and audit -----------------------------------------------------------------
+
+
+def _customer_vault(spark, sf):
+    folder = work_folder(spark)
+    policy = Policy.from_dict(
+        {
+            "security": c.NO_DETECTOR,
+            "columns": {"c_custkey": "tokenize", "c_name": "tokenize"},
+            "token_domains": {"c_custkey": "CUSTOMER_ID", "c_name": "PERSON"},
+            "default": {"unknown_column": "drop"},
+        }
+    )
+    result = sanitize_table(table(spark, sf, "customer"), policy, KEY, mode="targeted")
+    mapping = result.mapping()
+    write_vault(seal_mapping(mapping, KEY, "job-new", timedelta(days=30), NOW), folder)
+    write_vault(seal_mapping(mapping, KEY, "job-old", timedelta(days=30), NOW - timedelta(days=90)), folder)
+    return read_vault(spark, folder)
+
+
+def vault_mapping(spark, sf):
+    return open_mapping(_customer_vault(spark, sf), KEY, "job-new", "quarterly replay", NOW)
+
+
+def detokenize_orders(spark, sf):
+    vault = _customer_vault(spark, sf)
+    safe = sanitize_table(table(spark, sf, "orders"), c.ORDERS_POLICY, KEY).export()
+    opened = detokenize(
+        safe.select("o_custkey", "o_orderstatus"), {"o_custkey": "custkey"}, vault, KEY, "job-new",
+        "quarterly replay", NOW,
+    )
+    return opened.groupBy("custkey", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+def purge_vault(spark, sf):
+    """Rows per job before and after a purge, and whether the job is still known."""
+    vault = _customer_vault(spark, sf)
+    kept = purge_expired(vault, KEY, NOW)
+    before = vault.groupBy("job_id").agg(F.count(F.lit(1)).alias("rows_before"))
+    after = kept.groupBy("job_id").agg(F.count(F.lit(1)).alias("rows_after"))
+    known = [(job, job_exists(kept, KEY.project_id, job)) for job in ("job-new", "job-old")]
+    known = spark.createDataFrame(known, "job_id string, known boolean")
+    return (
+        before.join(after, "job_id", "left")
+        .join(known, "job_id")
+        .select("job_id", "rows_before", F.coalesce("rows_after", F.lit(0)).alias("rows_after"), "known")
+    )
+
+
+def colliding_tokens(spark, sf):
+    """Collisions among tokens cut to three symbols, where they must occur."""
+    customers = table(spark, sf, "customer")
+    token = tokenize(F.col("c_name"), customers.schema["c_name"].dataType, "PERSON", KEY)
+    cut = customers.select(F.substring(token, 1, 9).alias("token"), F.col("c_name").alias("original"))
+    return token_collisions(cut)
+
+
+def raw_retention(spark, sf):
+    """Encrypted raw copy of the customers, opened again."""
+    folder = work_folder(spark)
+    write_vault(seal_rows(table(spark, sf, "customer"), KEY, "raw-job", now=NOW), folder)
+    schema = table(spark, sf, "customer").schema
+    rows = open_rows(read_vault(spark, folder), KEY)
+    return rows.select(F.from_json("row", schema).alias("r")).select("r.*")
+
+
+def audit_chain(spark, sf):
+    """Chains of at most 64 import events, one event per order; urgent finished orders are
+    altered after hashing. A chain is keyed by order key / 64, so its size is bounded."""
+    chain = F.floor(F.col("o_orderkey") / 64).cast("string")
+    events = table(spark, sf, "orders").select(
+        chain.alias("chain"),
+        "o_orderkey",
+        F.concat(F.lit("job-"), "o_orderkey").alias("job_id"),
+        (F.col("o_orderstatus") == "F").alias("blocked"),
+        ((F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT")).alias("altered"),
+    )
+    grouped = events.groupBy("chain").agg(
+        F.array_sort(F.collect_list(F.struct("o_orderkey", "job_id", "blocked", "altered"))).alias("events")
+    )
+
+    def record(log, event):
+        fields = {
+            "blocked": event["blocked"],
+            "can_export": ~event["blocked"],
+            "chain_version": F.lit(CHAIN_VERSION),
+            "event": F.lit("import_sanitized"),
+            "job_id": event["job_id"],
+            "previous_hash": F.get(log["hash"], F.size(log["hash"]) - 1),
+            "project_id": F.lit(KEY.project_id),
+            "seq": (F.size(log["hash"]) + 1).cast("bigint"),
+        }
+        hashed = F.struct(*[fields.get(n, F.lit(None).cast("string")).alias(n) for n in HASHED])
+        digest = F.sha2(F.to_json(hashed, {"ignoreNullFields": "false"}), 256)
+        return F.struct(F.concat(log["hash"], F.array(digest)).alias("hash"))
+
+    empty = F.struct(F.array().cast("array<string>").alias("hash"))
+    chained = grouped.withColumn("hashes", F.aggregate("events", empty, record)["hash"])
+    flat = chained.select("chain", "hashes", F.posexplode("events").alias("i", "e")).select(
+        "chain",
+        (F.col("i") + 1).cast("bigint").alias("seq"),
+        F.lit(None).cast("string").alias("artifact_id"),
+        F.when(F.col("e.altered"), ~F.col("e.blocked")).otherwise(F.col("e.blocked")).alias("blocked"),
+        (~F.col("e.blocked")).alias("can_export"),
+        F.lit(CHAIN_VERSION).alias("chain_version"),
+        F.lit("import_sanitized").alias("event"),
+        F.col("e.job_id").alias("job_id"),
+        F.lit(None).cast("string").alias("policy_fingerprint"),
+        F.get("hashes", F.col("i") - 1).alias("previous_hash"),
+        F.lit(KEY.project_id).alias("project_id"),
+        F.lit(None).cast("string").alias("purpose"),
+        F.lit(None).cast("string").alias("review_actor"),
+        F.lit(None).cast("string").alias("review_reason"),
+        F.lit(None).cast("string").alias("timestamp"),
+        F.get("hashes", F.col("i")).alias("event_hash"),
+    )
+    return verify_audit(flat).drop("last_hash")
+
+
+# --- sources, sinks and streams ------------------------------------------------------
+
+ROUND_TRIP = {"csv": "csv", "tsv": "tsv", "psv": "psv", "jsonl": "json", "orc": "orc", "parquet": "parquet"}
+
+
+def source_formats(spark, sf):
+    """Customers written and read back in every format Spark writes."""
+    folder = work_folder(spark)
+    customers = table(spark, sf, "customer")
+    parts = []
+    for fmt, written in ROUND_TRIP.items():
+        write_rows(customers, f"{folder}/{fmt}", written)
+        back = load_any(spark, f"{folder}/{fmt}", fmt).select(*customers.columns)
+        parts.append(table_metadata(back, fmt))
+    customers.write.option("rowTag", "row").xml(f"{folder}/xml")
+    parts.append(table_metadata(load_any(spark, f"{folder}/xml", "xml").select(*customers.columns), "xml"))
+    customers.write.option("header", True).option("compression", "gzip").csv(f"{folder}/csv.gz")
+    zipped = load_any(spark, f"{folder}/csv.gz", "csv").select(*customers.columns)
+    parts.append(table_metadata(zipped, "gzip"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _event_stream(spark, sf):
+    """Events in four files, streamed one file per batch through the gate."""
+    folder = work_folder(spark)
+    events = table(spark, sf, "events")
+    events.repartition(4, "event_id").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    paths = StreamPaths(f"{folder}/out", f"{folder}/checkpoint", f"{folder}/vault", f"{folder}/report")
+    sanitize_stream(stream, c.EVENTS_POLICY, KEY, "stream-job", paths).awaitTermination()
+    return paths
+
+
+def stream_events(spark, sf):
+    return read_stream_table(spark, _event_stream(spark, sf).out)
+
+
+def stream_report(spark, sf):
+    return cumulative_report(spark, _event_stream(spark, sf).report)
+
+
+def stream_tokens(spark, sf):
+    vault = spark.read.parquet(_event_stream(spark, sf).vault)
+    return vault.groupBy("token_type").agg(
+        F.count(F.lit(1)).alias("stored"), F.count_distinct("token").alias("tokens")
+    )
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        sanitize_customer, sanitize_orders, sanitize_many_tables, time_shift_events, parse_order_dates,
+        coerce_amounts, synthesize_price, synthesize_quantity, synthesize_custkey, token_linkage,
+        redact_documents, redact_pages, redact_conversations, redact_distinct_documents, find_pii,
+        find_secrets, custom_recognizers, text_tokens, digit_checks, count_findings,
+        drop_secret_columns, scan_residuals, export_gate, redaction_report, report_impact, gated_write,
+        override_leaks, frequencies, profiles, draft_policies, token_domains, merged_tables,
+        merged_policy, preview_customer, quantiles, metadata, vault_mapping, detokenize_orders,
+        purge_vault, colliding_tokens, raw_retention, audit_chain, source_formats, stream_events,
+        stream_report, stream_tokens,
+    )
+}
