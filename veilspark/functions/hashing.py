@@ -12,6 +12,8 @@ from ..keys import ProjectKey
 _CONV_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 # RFC 4648 base32 alphabet.
 BASE32_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+# widest offset range kept as a lookup table
+_TABLE_WIDTH = 2048
 _TOKEN_TYPE = re.compile(r"[A-Z][A-Z0-9_]{0,63}")
 
 
@@ -59,10 +61,15 @@ def keyed_offset(
     digest = hmac_hex(key, purpose, F.concat(F.lit(prefix), subject.cast("binary")))
     choice = F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)")
     width = high - low + 1
-    magnitude = (F.lit(low) + (choice % F.lit(width).cast("decimal(20,0)"))).cast("int")
-    if direction == "forward":
-        return magnitude
-    if direction == "backward":
-        return -magnitude
-    odd_turn = (choice % F.lit(2 * width).cast("decimal(20,0)")) >= width
-    return F.when(odd_turn, magnitude).otherwise(-magnitude)
+    # the magnitude is low + choice mod width; the sign, where it varies, is the parity
+    # of choice div width: both follow from choice mod 2*width
+    turn = (choice % F.lit(2 * width).cast("decimal(20,0)")).cast("int")
+    back, forth = -(low + turn), low + turn - width
+    if direction != "both":
+        turn = (choice % F.lit(width).cast("decimal(20,0)")).cast("int")
+        return low + turn if direction == "forward" else -(low + turn)
+    if width > _TABLE_WIDTH:
+        return F.when(turn >= width, forth).otherwise(back)
+    # as a table the digest is referenced once, and so computed once, wherever this stands
+    table = [-(low + i) for i in range(width)] + [low + i for i in range(width)]
+    return F.element_at(F.lit(table), turn + 1)

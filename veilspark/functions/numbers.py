@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import ascii_digits, canonical_string, strip
+from .text import ascii_digits, canonical_string, let, strip
 
 # Currency words and signs that may stand in an amount.
 CURRENCY_WORDS = ("THB", "USD", "EUR", "GBP", "JPY", "BAHT")
@@ -21,6 +21,7 @@ _FLOAT_TEXT = (
     rf"[+-]?(?:{_UNDERSCORED}(?:\.(?:{_UNDERSCORED})?)?|\.{_UNDERSCORED})"
     rf"(?:[eE][+-]?{_UNDERSCORED})?"
 )
+_CLOCK = r"\A(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)?\z"
 _WORD_EDGE = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
 
 
@@ -89,10 +90,12 @@ def seconds_of_day(value: Column, dtype: T.DataType) -> Column:
             ~F.isnan(fraction) & (fraction >= 0) & (fraction < 1),
             (F.bround(fraction * 86400) % 86400).cast("int"),
         )
-    text = ascii_digits(strip(canonical_string(value, dtype)))
-    clock = r"\A(\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?\z"
-    hour, minute, second = (
-        F.coalesce(F.regexp_extract(text, clock, i).try_cast("int"), F.lit(0)) for i in (1, 2, 3)
-    )
-    valid = text.rlike(clock) & (hour <= 23) & (minute <= 59) & (second <= 59)
-    return F.when(valid, hour * 3600 + minute * 60 + second)
+
+    def parse(text: Column) -> Column:
+        def field(i: int) -> Column:
+            part = F.substring(F.split_part(text, F.lit(":"), F.lit(i)), 1, 2)
+            return F.coalesce(part.try_cast("int"), F.lit(0))
+
+        return F.when(text.rlike(_CLOCK), field(1) * 3600 + field(2) * 60 + field(3))
+
+    return let(ascii_digits(strip(canonical_string(value, dtype))), parse)

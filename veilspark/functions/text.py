@@ -40,6 +40,10 @@ def ascii_digits(value: Column) -> Column:
     return F.translate(value, _DIGITS, _DIGIT_VALUES)
 
 
+def is_blank(value: Column) -> Column:
+    return F.ltrim(value, F.lit(WHITESPACE)) == ""
+
+
 def fold_case(value: Column) -> Column:
     return F.lower(F.upper(value))
 
@@ -92,7 +96,7 @@ def is_missing(value: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return value.isNull() | F.isnan(value)
     if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):
-        return value.isNull() | (strip(value) == "")
+        return value.isNull() | is_blank(value)
     return value.isNull()
 
 

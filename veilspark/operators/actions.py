@@ -20,9 +20,17 @@ REDACTED_DATE = "[REDACTED_DATE]"
 REDACTED_TIME = "[REDACTED_TIME]"
 
 
+# Missing values become null before any hashing, and nulls pass through: without a CASE
+# around them the expensive parts are evaluated once per row by common sub-expressions.
+
+
 def tokenize(value: Column, dtype: T.DataType, token_type: str, key: ProjectKey) -> Column:
-    token = token_for(key, token_type, canonical_string(value, dtype))
-    return F.when(~is_missing(value, dtype), token)
+    present = F.when(~is_missing(value, dtype), canonical_string(value, dtype))
+    return token_for(key, token_type, present)
+
+
+def present_subject(subject: Column, dtype: T.DataType, ascii_only: bool) -> Column:
+    return F.when(~is_missing(subject, dtype), normalized_string(subject, dtype, ascii_only))
 
 
 def hash_id(value: Column, dtype: T.DataType, key: ProjectKey, ascii_only: bool = False) -> Column:
@@ -35,12 +43,11 @@ def date_shift(
 ) -> Column:
     shift = policy.date_shift
     days = keyed_offset(
-        key, "date_shift", normalized_string(subject, subject_type, ascii_only),
+        key, "date_shift", present_subject(subject, subject_type, ascii_only),
         shift.low, shift.high, shift.direction,
     )
     moved = F.date_format(F.date_add(parse_date(value, dtype), days), "yyyy-MM-dd")
-    known = ~is_missing(value, dtype) & ~is_missing(subject, subject_type)
-    return F.coalesce(F.when(known, moved), F.lit(REDACTED_DATE))
+    return F.coalesce(moved, F.lit(REDACTED_DATE))
 
 
 def time_shift(
@@ -49,18 +56,15 @@ def time_shift(
 ) -> Column:
     shift = policy.time_shift
     minutes = keyed_offset(
-        key, "time_shift", normalized_string(subject, subject_type, ascii_only),
+        key, "time_shift", present_subject(subject, subject_type, ascii_only),
         shift.low, shift.high, shift.direction,
     )
-    seconds = seconds_of_day(value, dtype)
-    clock = F.pmod(F.floor(seconds / 60).cast("int") + minutes, F.lit(1440))
-    text = F.format_string(
-        "%02d:%02d:%02d", F.floor(clock / 60).cast("int"), clock % 60, seconds % 60
-    )
-    valid = ~is_missing(subject, subject_type) & seconds.isNotNull()
-    return F.when(
-        ~is_missing(value, dtype), F.when(valid, text).otherwise(F.lit(REDACTED_TIME))
+    moved = F.pmod(seconds_of_day(value, dtype) + minutes * 60, F.lit(86400))
+    midnight = F.lit("1970-01-01").cast("timestamp_ntz")
+    clock = F.date_format(
+        midnight + F.make_dt_interval(secs=moved.cast("decimal(18,6)")), "HH:mm:ss"
     )
+    return F.coalesce(clock, F.when(~is_missing(value, dtype), F.lit(REDACTED_TIME)))
 
 
 def subject_columns(columns: list[str], policy: Policy) -> dict[str, str | None]:

@@ -44,7 +44,12 @@ class Findings:
 def scans_secrets(plan: ColumnPlan, mode: str) -> bool:
     wanted = plan.secret_name or plan.action in VISIBLE
     wanted = wanted or (mode == "strict" and plan.action != "redact_text")
-    return wanted and not is_number(plan.dtype)
+    return wanted and not is_number(plan.dtype) and not is_temporal(plan.dtype)
+
+
+def is_temporal(dtype: T.DataType) -> bool:
+    """Typed dates and timestamps: their text form can match no rule of ours."""
+    return isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType))
 
 
 def _text_of(plan: ColumnPlan) -> Column:
@@ -60,7 +65,8 @@ def _wanted(
         if scans_secrets(plan, mode):
             pairs.append((plan, "secret"))
         if plan.action in VISIBLE and not plan.secret_name:
-            pairs.append((plan, "pii"))
+            if not is_temporal(plan.dtype):
+                pairs.append((plan, "pii"))
             if recognizers:
                 pairs.append((plan, "custom"))
             if plan.action == "review_required" and detector is not None:

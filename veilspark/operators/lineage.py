@@ -1,0 +1,16 @@
+"""Cut lineage where a small intermediate result is used more than once."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The DataFrame after a reliable checkpoint in the folder the cluster names in
+    spark.checkpoint.dir; a temporary folder stands in only where none is set."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veilspark-"))
+    return df.checkpoint(eager=True)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import canonical_string, quoted, strip
 
@@ -15,19 +16,22 @@ _LONG_TEXT = 64
 CLOCK_TEXT = r"(?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d{1,6})?)?(?:\s*[AaPp][Mm])?"
 
 
+def _cell_text(df: DataFrame, name: str) -> Column:
+    """Stripped text of a cell; only strings can need stripping."""
+    dtype = df.schema[name].dataType
+    text = canonical_string(quoted(name), dtype)
+    return strip(text) if isinstance(dtype, T.StringType) else text
+
+
 def unpivot(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column_name, value) with one row per non-blank cell, values as stripped text."""
-    names = list(columns or df.columns)
     cells = F.array(
         *[
-            F.struct(
-                F.lit(name).alias("column_name"),
-                strip(canonical_string(quoted(name), df.schema[name].dataType)).alias("value"),
-            )
-            for name in names
+            F.struct(F.lit(name).alias("column_name"), _cell_text(df, name).alias("value"))
+            for name in (columns or df.columns)
         ]
     )
-    return df.select(F.explode(cells).alias("c")).select("c.*").where(F.col("value") != "")
+    return df.select(F.inline(cells)).where(F.col("value") != "")
 
 
 def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -44,15 +48,18 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     category tests. Long values travel as digests."""
     names = list(columns or df.columns)
     value = F.col("value")
+    long = F.length(value) > _LONG_TEXT
     keyed = unpivot(df, names).select(
         "column_name",
-        F.when(F.length(value) > _LONG_TEXT, F.sha2(value, 256)).otherwise(value).alias("v"),
+        F.when(long, F.sha2(value, 256)).otherwise(value).alias("v"),
         F.length(value).alias("width"),
-        value.rlike(rf"\A(?:{CLOCK_TEXT})\z").cast("int").alias("clock"),
     )
     frequencies = keyed.groupBy("column_name", "v").agg(
-        F.count(F.lit(1)).alias("n"), F.max("width").alias("width"), F.max("clock").alias("clock")
+        F.count(F.lit(1)).alias("n"), F.max("width").alias("width")
     )
+    # tested once per distinct value; a clock text is never long
+    clock = F.col("v").rlike(rf"\A(?:{CLOCK_TEXT})\z") & (F.col("width") <= _LONG_TEXT)
+    frequencies = frequencies.withColumn("clock", clock.cast("int"))
     n = F.col("n")
     measured = frequencies.groupBy("column_name").agg(
         F.sum(n).alias("non_null_count"),

@@ -49,14 +49,23 @@ def _order_statistics(data: DataFrame, n: int, ranks: list[int]) -> dict[int, fl
         wide = [r for r, (low, high, below, upto) in brackets.items() if low < high and upto - below > _ACCURACY]
         if not wide:
             break
-        sketches = []
+        # ranks of one bracket share one sketch
+        groups: dict[tuple, list[int]] = {}
         for r in wide:
-            low, high, below, upto = brackets[r]
-            share = (r - below) / (upto - below)
-            ends = [max(0.0, share - 2 / _ACCURACY), min(1.0, share + 2 / _ACCURACY)]
+            groups.setdefault(brackets[r], []).append(r)
+        sketches = []
+        for (low, high, below, upto), members in groups.items():
+            ends = []
+            for r in members:
+                share = (r - below) / (upto - below)
+                ends += [max(0.0, share - 2 / _ACCURACY), min(1.0, share + 2 / _ACCURACY)]
             inside = F.when(x.between(low, high), x)
             sketches.append(F.percentile_approx(inside, ends, _ACCURACY))
-        guesses = list(data.agg(*sketches).first())
+        sketched = list(data.agg(*sketches).first())
+        guess = {}
+        for members, ends in zip(groups.values(), sketched):
+            guess.update({r: (ends[2 * i], ends[2 * i + 1]) for i, r in enumerate(members)})
+        guesses = [guess[r] for r in wide]
         counts = []
         for low, high in guesses:
             counts += [F.sum((x < low).cast("bigint")), F.sum((x <= high).cast("bigint"))]

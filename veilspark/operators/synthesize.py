@@ -14,6 +14,7 @@ from ..functions.numbers import coerce_numeric, is_integral
 from ..functions.text import canonical_string, quoted
 from ..keys import ProjectKey
 from .quantiles import exact_quantiles
+from .lineage import settled
 from .skew import skew_join
 
 MAX_BINS = 16
@@ -26,10 +27,13 @@ def synthesis_seed(key: ProjectKey, column: str, rows: int) -> str:
     return hmac.new(key.sub_key("numeric_synthesis"), message, hashlib.sha256).hexdigest()
 
 
-def draws(seed: str, row_key: Sequence[Column]) -> tuple[Column, Column]:
+def row_digest(seed: str, row_key: Sequence[Column]) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(seed), *row_key), 256)
+
+
+def draws(digest: Column) -> tuple[Column, Column]:
     """Two uniform numbers in [0, 1) that depend on the seed and the row alone, so a
     rerun or another partitioning gives the same row the same numbers."""
-    digest = F.sha2(F.concat_ws("|", F.lit(seed), *row_key), 256)
     return tuple(
         F.conv(F.substring(digest, start, 13), 16, 10).cast("double") / _DRAW_RANGE
         for start in (1, 14)
@@ -64,31 +68,44 @@ def synthesize_numeric(
     row_id = [
         F.coalesce(canonical_string(quoted(c), df.schema[c].dataType), F.lit("")) for c in names
     ]
-    pick, within = draws(synthesis_seed(key, column, rows), row_id)
-    bin_index = F.floor(pick * bins).cast("int")
-    bounds = F.array(*[F.lit(float(edge)) for edge in edges])
-    left, right = F.element_at(bounds, bin_index + 1), F.element_at(bounds, bin_index + 2)
-    drawn = left + within * (right - left)
-    candidate = F.when(number.isNotNull(), F.rint(drawn) if as_integer else drawn)
-
-    drawn_name = f"{out}__drawn"
-    drafted = df.withColumn(drawn_name, candidate)
-    originals = df.select((nearest if as_integer else number).alias("value"))
-    originals = originals.where(F.col("value").isNotNull()).distinct()
+    # one column per step: the digest of a row is computed once
+    digest, number_name, place, drawn = (f"{out}__{part}" for part in ("digest", "x", "bin", "drawn"))
+    pick, within = draws(F.col(digest))
+    bounds = F.lit([float(edge) for edge in edges])
+    left, right = F.element_at(bounds, F.col(place) + 1), F.element_at(bounds, F.col(place) + 2)
+    spot = left + within * (right - left)
+    drafted = (
+        df.withColumn(digest, row_digest(synthesis_seed(key, column, rows), row_id))
+        .withColumn(number_name, nearest if as_integer else number)
+        .withColumn(place, F.floor(pick * bins).cast("int"))
+        .withColumn(
+            drawn, F.when(F.col(number_name).isNotNull(), F.rint(spot) if as_integer else spot)
+        )
+    )
+    # a drawn value is taken if it is also an original: one pass, one combined shuffle
+    sides = F.array(
+        F.struct(F.col(drawn).alias("value"), F.lit(True).alias("is_draw")),
+        F.struct(F.col(number_name).alias("value"), F.lit(False).alias("is_draw")),
+    )
     taken = (
-        drafted.select(F.col(drawn_name).alias("value"))
+        drafted.select(F.inline(sides))
         .where(F.col("value").isNotNull())
-        .distinct()
-        .join(originals, "value", "left_semi")
-    )
-    move = _free_whole_number if as_integer else _free_number
-    moved = move(taken, originals, edges[0], edges[-1]).select(
-        F.col("value").alias(drawn_name), F.col("free").alias(f"{out}__free")
+        .groupBy("value")
+        .agg(F.bool_or("is_draw").alias("draws"), F.bool_and("is_draw").alias("only_draws"))
+        .where(F.col("draws") & ~F.col("only_draws"))
+        .select("value")
     )
-    result = F.coalesce(F.col(f"{out}__free"), F.col(drawn_name))
-    joined = skew_join(drafted, moved, drawn_name)
-    return joined.withColumn(out, result.cast("bigint") if as_integer else result).drop(
-        drawn_name, f"{out}__free"
+    taken = settled(taken)
+    value = F.col(drawn)
+    if taken.take(1):
+        originals = drafted.select(F.col(number_name).alias("value")).where(F.col("value").isNotNull())
+        move = _free_whole_number if as_integer else _free_number
+        moved = move(taken, originals.distinct(), edges[0], edges[-1])
+        moved = moved.select(F.col("value").alias(drawn), F.col("free").alias(f"{out}__free"))
+        drafted = skew_join(drafted, moved, drawn)
+        value = F.coalesce(F.col(f"{out}__free"), value)
+    return drafted.withColumn(out, value.cast("bigint") if as_integer else value).drop(
+        digest, number_name, place, drawn, f"{out}__free"
     )
 
 

@@ -54,7 +54,7 @@ from ..streaming.stream import (
     sanitize_stream,
 )
 from . import common as c
-from .common import KEY, table, text_table, work_folder
+from .common import KEY, table, spread_table, work_folder
 
 NOW = datetime(2026, 1, 1, tzinfo=timezone.utc)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,7 +68,7 @@ def sanitize_customer(spark, sf):
 
 
 def sanitize_orders(spark, sf):
-    return sanitize_table(table(spark, sf, "orders"), c.ORDERS_POLICY, KEY).export()
+    return sanitize_table(spread_table(spark, sf, "orders"), c.ORDERS_POLICY, KEY).export()
 
 
 def sanitize_many_tables(spark, sf):
@@ -93,7 +93,7 @@ def sanitize_many_tables(spark, sf):
 
 
 def time_shift_events(spark, sf):
-    events = table(spark, sf, "events").select(
+    events = spread_table(spark, sf, "events").select(
         "event_id",
         "user_id",
         F.date_format("ts", "HH:mm:ss.SSS").alias("clock"),
@@ -142,7 +142,7 @@ def coerce_amounts(spark, sf):
 
 
 def _synthesized(spark, sf, name, column, keys):
-    df = table(spark, sf, name).select(*dict.fromkeys([*keys, column]))
+    df = spread_table(spark, sf, name).select(*dict.fromkeys([*keys, column]))
     made = synthesize_numeric(df, column, "synthetic", KEY, keys)
     return made.select(*[F.col(k) for k in keys], F.round("synthetic", 4).alias("synthetic"))
 
@@ -161,7 +161,7 @@ def synthesize_quantity(spark, sf):
 
 def synthesize_custkey(spark, sf):
     """Whole numbers with gaps: draws move to a key no order has."""
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    orders = spread_table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     made = synthesize_numeric(orders, "o_custkey", "synthetic", KEY, ["o_orderkey"])
     return made.select("o_orderkey", "synthetic")
 
@@ -172,7 +172,7 @@ def token_linkage(spark, sf):
         tokenize(F.col("c_custkey"), _type(spark, sf, "customer", "c_custkey"), "CUSTOMER_ID", KEY).alias("token"),
         "c_mktsegment",
     )
-    orders = table(spark, sf, "orders").select(
+    orders = spread_table(spark, sf, "orders").select(
         tokenize(F.col("o_custkey"), _type(spark, sf, "orders", "o_custkey"), "CUSTOMER_ID", KEY).alias("token"),
         "o_totalprice",
     )
@@ -190,7 +190,7 @@ def _type(spark, sf, name, column):
 
 
 def _redacted(spark, sf, name, ids, column):
-    scanned = scan_text(text_table(spark, sf, name).select(*ids, column), column, "scan", KEY)
+    scanned = scan_text(spread_table(spark, sf, name).select(*ids, column), column, "scan", KEY)
     return scanned.select(
         *ids,
         F.col("scan.safe").alias("safe"),
@@ -213,14 +213,14 @@ def redact_conversations(spark, sf):
 
 def redact_distinct_documents(spark, sf):
     """Each distinct text scanned once; equal to the direct scan."""
-    documents = text_table(spark, sf, "documents").select("doc_id", "text")
+    documents = spread_table(spark, sf, "documents").select("doc_id", "text")
     scanned = scan_distinct_text(documents, "text", "scan", KEY)
     return scanned.select("doc_id", F.col("scan.safe").alias("safe"))
 
 
 def find_pii(spark, sf):
     """One row per document, kind and matched text."""
-    documents = text_table(spark, sf, "documents").select("doc_id", "text")
+    documents = spread_table(spark, sf, "documents").select("doc_id", "text")
     found = documents.withColumn("spans", pii_findings(F.col("text"))).where(F.size("spans") > 0)
     found = found.select("doc_id", "text", F.explode("spans").alias("span"))
     matched = span_text(F.col("text"), F.col("span"))
@@ -233,7 +233,7 @@ def find_pii(spark, sf):
 
 def find_secrets(spark, sf):
     parts = [
-        text_table(spark, sf, name).select(
+        spread_table(spark, sf, name).select(
             F.lit(name).alias("table_name"), F.col(key).alias("id"), count_secrets(F.col(text)).alias("n")
         )
         for name, key, text in (("documents", "doc_id", "text"), ("pages", "page_id", "html"))
@@ -243,7 +243,7 @@ def find_secrets(spark, sf):
 
 
 def custom_recognizers(spark, sf):
-    documents = text_table(spark, sf, "documents").select("doc_id", "text")
+    documents = spread_table(spark, sf, "documents").select("doc_id", "text")
     spans = documents.withColumn("spans", find_spans(F.col("text"), recognizer_rules(c.RECOGNIZERS)))
     replaced = replace_spans(F.col("text"), F.col("spans"), recognizer_label(c.RECOGNIZERS, KEY))
 
@@ -256,7 +256,7 @@ def custom_recognizers(spark, sf):
 
 def text_tokens(spark, sf):
     """Tokens that recognizers put into free text, with the text they stand for."""
-    documents = text_table(spark, sf, "documents").select("doc_id", "text")
+    documents = spread_table(spark, sf, "documents").select("doc_id", "text")
     policy = Policy.from_dict(
         {"security": c.NO_DETECTOR, "columns": {"doc_id": "keep", "text": "redact_text"}}
     )
@@ -297,13 +297,13 @@ VISIBLE_DOCUMENTS = Policy.from_dict(
 
 
 def count_findings(spark, sf):
-    documents = text_table(spark, sf, "documents")
+    documents = spread_table(spark, sf, "documents")
     return findings_table(documents, VISIBLE_DOCUMENTS, "strict", c.RECOGNIZERS[:1])
 
 
 def drop_secret_columns(spark, sf):
     """Final action of each column: one secret in a visible column drops it whole."""
-    documents = text_table(spark, sf, "documents").withColumn("api_key", F.col("doc_id"))
+    documents = spread_table(spark, sf, "documents").withColumn("api_key", F.col("doc_id"))
     findings = column_findings(documents, VISIBLE_DOCUMENTS, "strict")
     report = Report()
     plans = gate_columns(
@@ -317,14 +317,14 @@ def drop_secret_columns(spark, sf):
 
 def scan_residuals(spark, sf):
     """What remains in redacted documents, beside what the raw ones hold."""
-    scanned = scan_text(text_table(spark, sf, "documents").select("text"), "text", "scan", KEY)
+    scanned = scan_text(spread_table(spark, sf, "documents").select("text"), "text", "scan", KEY)
     both = scanned.select(F.col("text").alias("raw_text"), F.col("scan.safe").alias("safe_text"))
     return residual_findings(both, ["raw_text", "safe_text"])
 
 
 def export_gate(spark, sf):
     """Block reasons of five imports."""
-    documents = text_table(spark, sf, "documents")
+    documents = spread_table(spark, sf, "documents")
     customers, orders = table(spark, sf, "customer"), table(spark, sf, "orders")
     keep_text = {"columns": {"text": "keep"}, "default": {"unknown_column": "drop"}}
     # text that lost its secrets but still shows personal data
@@ -348,7 +348,7 @@ def export_gate(spark, sf):
 
 
 def redaction_report(spark, sf):
-    result = sanitize_table(text_table(spark, sf, "documents"), c.DOCUMENT_POLICY, KEY)
+    result = sanitize_table(spread_table(spark, sf, "documents"), c.DOCUMENT_POLICY, KEY)
     return result.report().counters(spark)
 
 
@@ -360,7 +360,7 @@ def report_impact(spark, sf):
 def gated_write(spark, sf):
     """Write safe documents with observed counters, then read them back."""
     folder = work_folder(spark)
-    result = sanitize_table(text_table(spark, sf, "documents"), c.DOCUMENT_POLICY, KEY)
+    result = sanitize_table(spread_table(spark, sf, "documents"), c.DOCUMENT_POLICY, KEY)
     report = write_safe(result, f"{folder}/documents")
     counted = spark.read.parquet(f"{folder}/documents").agg(
         F.count(F.lit(1)).alias("row_count"), F.sum(F.length("text")).alias("characters")
@@ -384,13 +384,13 @@ def frequencies(spark, sf):
     return orders.unionByName(value_frequencies(table(spark, sf, "customer"), ["c_mktsegment", "c_name"]))
 
 
-PROFILED = ("customer", "orders", "part", "supplier", "nation", "events", "documents")
+PROFILED = ("customer", "orders", "lineitem", "part", "supplier", "nation", "events", "documents")
 
 
 def profiles(spark, sf):
     parts = []
     for name in PROFILED:
-        profile = profile_columns(table(spark, sf, name))
+        profile = profile_columns(spread_table(spark, sf, name))
         ratios = [n for n, kind in profile.dtypes if kind == "double"]
         parts.append(
             profile.withColumns({n: F.round(n, 6) for n in ratios}).withColumn("table_name", F.lit(name))
@@ -424,7 +424,7 @@ def _decisions(df, name):
 
 
 def draft_policies(spark, sf):
-    parts = [_decisions(table(spark, sf, name), name) for name in PROFILED]
+    parts = [_decisions(spread_table(spark, sf, name), name) for name in PROFILED]
     parts.append(_decisions(business_events(spark, sf), "business"))
     return reduce(DataFrame.unionByName, parts).select(
         "table_name", "column_name", "action", "confidence", "reason", "role"
@@ -498,7 +498,7 @@ def vault_mapping(spark, sf):
 
 def detokenize_orders(spark, sf):
     vault = _customer_vault(spark, sf)
-    safe = sanitize_table(table(spark, sf, "orders"), c.ORDERS_POLICY, KEY).export()
+    safe = sanitize_table(spread_table(spark, sf, "orders"), c.ORDERS_POLICY, KEY).export()
     opened = detokenize(
         safe.select("o_custkey", "o_orderstatus"), {"o_custkey": "custkey"}, vault, KEY, "job-new",
         "quarterly replay", NOW,
@@ -614,11 +614,10 @@ def source_formats(spark, sf):
 
 
 def _event_stream(spark, sf):
-    """Events in four files, streamed one file per batch through the gate."""
+    """The event table read as a stream, through the gate of every batch."""
     folder = work_folder(spark)
-    events = table(spark, sf, "events")
-    events.repartition(4, "event_id").write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    source = f"{sf}/events.parquet*"  # a pattern: the table may be one file or a folder
+    stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(source)
     paths = StreamPaths(f"{folder}/out", f"{folder}/checkpoint", f"{folder}/vault", f"{folder}/report")
     sanitize_stream(stream, c.EVENTS_POLICY, KEY, "stream-job", paths).awaitTermination()
     return paths

@@ -82,6 +82,9 @@ def sanitize_stream(
     report rows carry their batch id and add up on read."""
     policy = replace(policy, recognizers=(*policy.recognizers, *recognizers))
     schema = df.schema
+    if paths.vault:  # an empty first part, so that the first batch has a vault to read
+        empty = df.sparkSession.createDataFrame([], VAULT_SCHEMA)
+        empty.write.mode("overwrite").parquet(f"{paths.vault}/batch_id=-1")
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -117,14 +120,13 @@ def sanitize_stream(
     )
 
 
+def vault_columns() -> str:
+    return f"{VAULT_SCHEMA}, batch_id bigint"
+
+
 def new_tokens(spark: SparkSession, mapping: DataFrame, vault: str, batch_id: int) -> DataFrame:
     """Tokens no earlier batch stored; a rerun of a batch does not see its own rows."""
-    try:
-        stored = spark.read.schema(f"{VAULT_SCHEMA}, batch_id bigint").parquet(vault)
-    except Exception as error:  # first batch
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return mapping
+    stored = spark.read.schema(vault_columns()).parquet(vault)
     return mapping.join(stored.where(F.col("batch_id") < batch_id).select("token"), "token", "left_anti")
 
 
