@@ -72,4 +72,5 @@ def keyed_offset(
         return F.when(turn >= width, forth).otherwise(back)
     # as a table the digest is referenced once, and so computed once, wherever this stands
     table = [-(low + i) for i in range(width)] + [low + i for i in range(width)]
-    return F.element_at(F.lit(table), turn + 1)
+    # (get, not element_at: the latter reads a null index as a value)
+    return F.get(F.lit(table), turn)

@@ -63,10 +63,11 @@ def _double_string(value: Column) -> Column:
         F.regexp_replace(F.regexp_replace(text, r"\.0E", "E"), r"E-(\d)$", "e-0$1"), r"E(\d)", "e+$1"
     )
     size = F.abs(value)
+    usual = ((size >= 1e-3) & (size < 1e7)) | (value == 0)
     return (
-        F.when(F.isnan(value), F.lit("nan"))
+        F.when(usual, text)
+        .when(F.isnan(value), F.lit("nan"))
         .when(size == float("inf"), F.when(value > 0, F.lit("inf")).otherwise(F.lit("-inf")))
-        .when(~text.contains("E"), text)
         .when((size >= 1e-4) & (size < 1e16), plain)
         .otherwise(F.lower(exponent))
     )
@@ -81,10 +82,8 @@ def canonical_string(value: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return _double_string(value)
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        whole = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
-        return F.when(F.date_format(value, "SSSSSS") == "000000", whole).otherwise(
-            F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-        )
+        text = value.cast("string")  # a fraction without its trailing zeros, if any
+        return F.when(text.contains("."), F.rpad(text, 26, "0")).otherwise(text)
     if isinstance(dtype, T.BinaryType):
         return F.base64(value)
     if isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):

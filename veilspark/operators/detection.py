@@ -23,6 +23,7 @@ from .text_scan import (
     count_secrets,
     entity_redactor,
     recognizer_rules,
+    with_flags,
 )
 
 MODES = ("strict", "targeted")
@@ -87,12 +88,14 @@ def _suspect(plan: ColumnPlan, kind: str, recognizers: Sequence[Recognizer]) ->
     return suspect
 
 
-def _exact(plan: ColumnPlan, kind: str, recognizers: Sequence[Recognizer], detector) -> Column:
+def _exact(
+    plan: ColumnPlan, kind: str, recognizers: Sequence[Recognizer], detector, flags: dict[str, Column]
+) -> Column:
     text = _text_of(plan)
     if kind == "entity":
         return entity_redactor(detector)(text)["n"]
     if kind == "custom":
-        return count_recognized(text, recognizers)
+        return count_recognized(text, recognizers, flags)
     return count_secrets(text) if kind == "secret" else count_pii(text)
 
 
@@ -127,7 +130,13 @@ def column_findings(
     counts = {(plan.name, kind): 0 for plan, kind in wanted}
     exact = [(p, k) for p, k in wanted if k == "entity" or (p.name, k) in suspects]
     if exact:
-        sums = df.agg(*[F.sum(_exact(p, k, recognizers, detector)) for p, k in exact]).first()
+        staged, totals = df, []
+        for plan, kind in exact:
+            flags: dict[str, Column] = {}
+            if kind == "custom":
+                staged, flags = with_flags(staged, _text_of(plan), recognizers, plan.name)
+            totals.append(F.sum(_exact(plan, kind, recognizers, detector, flags)))
+        sums = staged.agg(*totals).first()
         counts.update({(p.name, k): int(n or 0) for (p, k), n in zip(exact, sums)})
     return Findings(int(row[0]), counts, ascii_only)
 
@@ -148,10 +157,11 @@ def residual_findings(
     """(column_name, n): secrets, personal data, entities and non-keep recognizer matches
     still present in finished columns."""
     active = [r for r in recognizers if r.action != "keep"]
-    sums = []
+    schema, sums = df.schema, []
     for name in columns:
-        text = canonical_string(quoted(name), df.schema[name].dataType)
-        n = count_secrets(text) + count_pii(text) + count_recognized(text, active)
+        text = canonical_string(quoted(name), schema[name].dataType)
+        df, flags = with_flags(df, text, active, name)
+        n = count_secrets(text) + count_pii(text) + count_recognized(text, active, flags)
         if detector is not None:
             n = n + entity_redactor(detector)(text)["n"]
         sums.append(F.coalesce(F.sum(n), F.lit(0)).cast("bigint"))

@@ -23,20 +23,27 @@ def _cell_text(df: DataFrame, name: str) -> Column:
     return strip(text) if isinstance(dtype, T.StringType) else text
 
 
-def unpivot(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column_name, value) with one row per non-blank cell, values as stripped text."""
+def unpivot(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(place, value): one row per non-blank cell, its column's place in ``names`` and its
+    stripped text."""
     cells = F.array(
         *[
-            F.struct(F.lit(name).alias("column_name"), _cell_text(df, name).alias("value"))
-            for name in (columns or df.columns)
+            F.struct(F.lit(i).alias("place"), _cell_text(df, name).alias("value"))
+            for i, name in enumerate(names)
         ]
     )
     return df.select(F.inline(cells)).where(F.col("value") != "")
 
 
+def _name_of(names: Sequence[str]) -> Column:
+    return F.element_at(F.lit(list(names)), F.col("place") + 1)
+
+
 def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column_name, value, n). Equal cells combine map-side before the shuffle."""
-    return unpivot(df, columns).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    names = list(columns or df.columns)
+    counted = unpivot(df, names).groupBy("place", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(_name_of(names).alias("column_name"), "value", "n")
 
 
 def half_even_sqrt(n: Column) -> Column:
@@ -50,18 +57,18 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     value = F.col("value")
     long = F.length(value) > _LONG_TEXT
     keyed = unpivot(df, names).select(
-        "column_name",
+        "place",
         F.when(long, F.sha2(value, 256)).otherwise(value).alias("v"),
         F.length(value).alias("width"),
     )
-    frequencies = keyed.groupBy("column_name", "v").agg(
+    frequencies = keyed.groupBy("place", "v").agg(
         F.count(F.lit(1)).alias("n"), F.max("width").alias("width")
     )
     # tested once per distinct value; a clock text is never long
     clock = F.col("v").rlike(rf"\A(?:{CLOCK_TEXT})\z") & (F.col("width") <= _LONG_TEXT)
     frequencies = frequencies.withColumn("clock", clock.cast("int"))
     n = F.col("n")
-    measured = frequencies.groupBy("column_name").agg(
+    measured = frequencies.groupBy("place").agg(
         F.sum(n).alias("non_null_count"),
         F.count(F.lit(1)).alias("unique_count"),
         F.max(n).alias("top_count"),
@@ -70,9 +77,9 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         F.sum(n * F.col("width")).alias("characters"),
         F.sum(n * F.col("clock")).alias("clock_count"),
     )
-    every = df.sparkSession.createDataFrame([(name,) for name in names], "column_name string")
-    counts = [c for c in measured.columns if c != "column_name"]
-    filled = F.broadcast(every).join(measured, "column_name", "left").na.fill(0, counts)
+    every = df.sparkSession.range(len(names)).select(F.col("id").cast("int").alias("place"))
+    counts = [c for c in measured.columns if c != "place"]
+    filled = every.join(measured, "place", "left").na.fill(0, counts)
 
     total, unique = F.col("non_null_count"), F.col("unique_count")
 
@@ -80,7 +87,7 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         return F.when(total > 0, part / total).otherwise(F.lit(0.0))
 
     profile = filled.select(
-        "column_name",
+        _name_of(names).alias("column_name"),
         "non_null_count",
         "unique_count",
         share(unique).alias("unique_ratio"),

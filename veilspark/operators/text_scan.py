@@ -95,10 +95,23 @@ def callback_flags(text: Column, recognizers: Sequence[Recognizer]) -> dict[str,
     }
 
 
-def count_recognized(text: Column, recognizers: Sequence[Recognizer]) -> Column:
+def with_flags(
+    df: DataFrame, text: Column, recognizers: Sequence[Recognizer], prefix: str
+) -> tuple[DataFrame, dict[str, Column]]:
+    """Callback results as columns of their own: a Python function cannot run inside the
+    lambda functions that walk the spans."""
+    flags = callback_flags(text, recognizers)
+    if not flags:
+        return df, {}
+    df = df.withColumns({f"{prefix}__flags_{kind}": flag for kind, flag in flags.items()})
+    return df, {kind: F.col(f"`{prefix}__flags_{kind}`") for kind in flags}
+
+
+def count_recognized(
+    text: Column, recognizers: Sequence[Recognizer], flags: dict[str, Column]
+) -> Column:
     if not recognizers:
         return F.lit(0)
-    flags = callback_flags(text, recognizers)
     return F.size(find_spans(text, recognizer_rules(recognizers), flags))
 
 
@@ -164,14 +177,14 @@ def scan_text(
     text = stage("text", replace_spans(clean, pii, pii_label))
     entities = F.lit(0)
     if detector is not None:
-        redacted = stage("entities", entity_redactor(detector)(text))
+        # used twice, the text stays a projection of its own below the Python step
+        given = F.when(text.isNotNull(), text)
+        redacted = stage("entities", entity_redactor(detector)(given))
         text, entities = stage("unnamed", redacted["text"]), redacted["n"]
     kinds, tokens = F.array().cast("array<string>"), F.array().cast(TOKENS)
     if recognizers:
-        flags = {
-            kind: stage(f"flags_{kind}", flag)
-            for kind, flag in callback_flags(text, recognizers).items()
-        }
+        df, flags = with_flags(df, text, recognizers, out)
+        temporary += [f"{out}__flags_{kind}" for kind in flags]
         spans = stage("spans", find_spans(text, recognizer_rules(recognizers), flags))
         kinds = F.transform(spans, lambda s: s["kind"])
         tokens = minted_tokens(text, spans, recognizers, key)
