@@ -66,7 +66,7 @@ def load_any(
     if fmt == "orc":
         return reader.orc(path)
     if fmt == "text":
-        return spark.read.option("wholetext", True).text(path)
+        return spark.read.text(path, wholetext=True)
     if fmt in ("yaml", "feather"):
         return decoded(binary_files(spark, path, fmt))
     raise ValueError("an archive holds several tables; use load_tables")
