@@ -141,6 +141,7 @@ def test_audit_chain_verifies_and_finds_tampering(spark, tmp_path):
     assert error_of(flipped) == "event 2 hash mismatch"
     assert error_of(log.where("seq <> 2")) == "event 3 previous hash mismatch"
     assert error_of(log.where("seq <> 1")) == "event 2 previous hash mismatch"
+    assert error_of(log.unionAll(log.where("seq = 2"))) == "event 2 previous hash mismatch"
     version = log.withColumn("chain_version", F.when(F.col("seq") == 3, 2).otherwise(F.col("chain_version")))
     assert error_of(version) == "event 3 has an unsupported chain version"
 

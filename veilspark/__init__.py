@@ -3,8 +3,8 @@
 from .jobs import DuplicateJob, Stores, import_file, import_table, open_tokens
 from .keys import ProjectKey
 from .operators.detection import column_findings, residual_scan
-from .operators.inference import combined_policy, infer_policy, union_tables
-from .operators.profile import profile_columns, value_frequencies
+from .operators.inference import combined_policy, infer_policies, infer_policy, union_tables
+from .operators.profile import profile_columns, profile_tables, value_frequencies
 from .operators.report import ExportBlocked, ReviewOverride
 from .operators.sanitize import (
     sanitize_records,
@@ -35,6 +35,7 @@ __all__ = [
     "detokenize",
     "import_file",
     "import_table",
+    "infer_policies",
     "infer_policy",
     "load_any",
     "load_tables",
@@ -42,6 +43,7 @@ __all__ = [
     "preview_file",
     "preview_table",
     "profile_columns",
+    "profile_tables",
     "purge_expired",
     "residual_scan",
     "safe_stream",

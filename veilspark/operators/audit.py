@@ -85,16 +85,18 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
 def checked_events(events: DataFrame) -> DataFrame:
     """Every event with ``error``: null, or the first test it fails.
 
-    The predecessor comes from an equi-join on (chain, seq - 1), not a window, so one
-    chain of any length spreads over all tasks."""
-    prior = events.select(
-        "chain", (F.col("seq") + 1).alias("seq"), F.col("event_hash").alias("prior_hash"),
-        F.lit(True).alias("has_prior"),
+    The predecessor comes from equi-joins on (chain, seq), not a window over the chain,
+    so one chain of any length spreads over all tasks. A repeated seq is a broken link."""
+    places = events.groupBy("chain", "seq").agg(
+        F.count(F.lit(1)).alias("copies"), F.min("event_hash").alias("hash")
     )
-    linked = events.join(prior, ["chain", "seq"], "left")
-    link_ok = F.when(
-        F.col("seq") == 1, F.col("previous_hash").isNull() & F.col("has_prior").isNull()
-    ).otherwise(F.col("has_prior") & F.col("previous_hash").eqNullSafe(F.col("prior_hash")))
+    prior = places.select("chain", (F.col("seq") + 1).alias("seq"), F.col("hash").alias("prior_hash"))
+    linked = events.join(places.select("chain", "seq", "copies"), ["chain", "seq"]).join(
+        prior.withColumn("has_prior", F.lit(True)), ["chain", "seq"], "left"
+    )
+    starts = F.col("previous_hash").isNull() & F.col("has_prior").isNull()
+    follows = F.col("has_prior") & F.col("previous_hash").eqNullSafe(F.col("prior_hash"))
+    link_ok = (F.col("copies") == 1) & F.when(F.col("seq") == 1, starts).otherwise(follows)
     label = F.concat(F.lit("event "), F.col("seq"))
     error = (
         F.when(
@@ -108,7 +110,7 @@ def checked_events(events: DataFrame) -> DataFrame:
             ~F.coalesce(link_ok, F.lit(False)), F.concat(label, F.lit(" previous hash mismatch"))
         )
     )
-    return linked.withColumn("error", error).drop("prior_hash", "has_prior")
+    return linked.withColumn("error", error).drop("copies", "prior_hash", "has_prior")
 
 
 def verify_audit(events: DataFrame) -> DataFrame:

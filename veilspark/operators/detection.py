@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ from .text_scan import (
 
 MODES = ("strict", "targeted")
 VISIBLE = ("keep", "review_required")
+_FEW_CHECKS = 24
 
 
 @dataclass
@@ -75,17 +77,14 @@ def _wanted(
     return pairs
 
 
-def _suspect(plan: ColumnPlan, kind: str, recognizers: Sequence[Recognizer]) -> Column:
-    """Cheap superset of "this value has a finding"."""
+def _suspect(plan: ColumnPlan, kind: str, recognizers: Sequence[Recognizer], few: bool) -> Column:
+    """Cheap superset of "this value has a finding": rule by rule, each behind its
+    substring test, or for wide tables one combined regex, which keeps the plan small."""
     text = _text_of(plan)
-    if kind == "secret":
-        return text.rlike(any_pattern(SECRET_RULES))
-    if kind == "pii":
-        return text.rlike(any_pattern(PII_RULES))
-    suspect = F.lit(False)
-    for rule in recognizer_rules(recognizers):
-        suspect = suspect | may_match(text, rule)
-    return suspect
+    rules = {"secret": SECRET_RULES, "pii": PII_RULES}.get(kind) or recognizer_rules(recognizers)
+    if kind != "custom" and not few:
+        return text.rlike(any_pattern(rules))
+    return reduce(Column.__or__, [may_match(text, rule) for rule in rules])
 
 
 def _exact(
@@ -111,6 +110,7 @@ def column_findings(
     plans = resolve_actions(df.schema, policy)
     wanted = _wanted(plans, mode, recognizers, detector)
     checks = [(plan, kind) for plan, kind in wanted if kind != "entity"]
+    few = len(checks) <= _FEW_CHECKS
     subjects = set(subject_columns(df.columns, policy).values())
     shifting = {p.action for p in plans} & {"date_shift", "time_shift"}
     keyed = [
@@ -121,7 +121,7 @@ def column_findings(
     ]
     row = df.agg(
         F.count(F.lit(1)),
-        *[F.count_if(_suspect(plan, kind, recognizers)) for plan, kind in checks],
+        *[F.count_if(_suspect(plan, kind, recognizers, few)) for plan, kind in checks],
         *[F.count_if(~is_ascii(_text_of(plan))) for plan in keyed],
     ).first()
     suspects = {(plan.name, kind) for (plan, kind), n in zip(checks, row[1:]) if n}
@@ -195,8 +195,10 @@ def leaked_values(df: DataFrame, text: str, least: int = 4) -> DataFrame:
         if isinstance(column.dataType, T.BinaryType):
             continue
         cell = strip(canonical_string(quoted(column.name), column.dataType))
+        # a cell longer than the text is not in it, and is not worth folding
         found = found | F.coalesce(
-            (F.length(cell) >= least) & folded.contains(fold_case(cell)), F.lit(False)
+            F.when(F.length(cell).between(least, len(text)), folded.contains(fold_case(cell))),
+            F.lit(False),
         )
     return df.where(found)
 

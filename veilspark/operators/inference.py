@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.numbers import is_number
 from ..policy import is_secret_column, schema_type
 from .naming import canonical_name, name_features, token_domain
-from .profile import profile_columns
+from .profile import profile_tables
 
 
 @dataclass(frozen=True)
@@ -218,18 +218,35 @@ class InferredPolicy:
 
 def infer_policy(df: DataFrame) -> InferredPolicy:
     """Profile all columns in one job, then let the first matching rule decide each."""
-    names = df.columns
-    subjects = [name for name in names if canonical_name(name) == "customer_id"]
-    profiles = {row["column_name"]: row.asDict() for row in profile_columns(df).collect()}
+    return infer_policies({"table": df})["table"]
+
+
+def infer_policies(tables: Mapping[str, DataFrame]) -> dict[str, InferredPolicy]:
+    """A policy for each of many tables, all profiled by the same job. What reaches the
+    driver is one row per column."""
+    profiles = {
+        (row["table_name"], row["column_name"]): row.asDict()
+        for row in profile_tables(tables).collect()
+    }
+    return {
+        name: _decide(df, {c: profiles[name, c] for c in df.columns}) for name, df in tables.items()
+    }
+
+
+def _decide(df: DataFrame, profiles: Mapping[str, Mapping[str, Any]]) -> InferredPolicy:
+    subjects = [name for name in df.columns if canonical_name(name) == "customer_id"]
     decisions = []
-    for name in names:
+    for column in df.schema.fields:
+        features = name_features(column.name)
         evidence = Evidence(
-            name, df.schema[name].dataType, name_features(name), profiles[name], bool(subjects)
+            column.name, column.dataType, features, profiles[column.name], bool(subjects)
         )
         rule = next(rule for rule in RULES if rule.when(evidence))
-        canonical = evidence.features["canonical_name"]
+        canonical = features["canonical_name"]
         reason = rule.reason.format(canonical=canonical)
-        decisions.append(Decision(name, canonical, rule.action, rule.confidence, reason, rule.role))
+        decisions.append(
+            Decision(column.name, canonical, rule.action, rule.confidence, reason, rule.role)
+        )
     return InferredPolicy(tuple(decisions), subjects[-1] if subjects else None)
 
 

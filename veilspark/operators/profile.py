@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,17 +52,28 @@ def half_even_sqrt(n: Column) -> Column:
 
 
 def profile_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row per column, also for empty ones: counts, ratios, average length, and the
-    category tests. Long values travel as digests."""
-    names = list(columns or df.columns)
+    """One row per column of a table; see ``profile_tables``."""
+    chosen = df.select(*[quoted(c) for c in columns]) if columns else df
+    return profile_tables({"": chosen}).drop("table_name")
+
+
+def profile_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """One row per table and column, also for empty columns: counts, ratios, average
+    length, and the category tests. All tables share the same two aggregations; long
+    values travel as digests."""
     value = F.col("value")
     long = F.length(value) > _LONG_TEXT
-    keyed = unpivot(df, names).select(
-        "place",
-        F.when(long, F.sha2(value, 256)).otherwise(value).alias("v"),
-        F.length(value).alias("width"),
-    )
-    frequencies = keyed.groupBy("place", "v").agg(
+    places, parts = [], []
+    for name, df in tables.items():
+        keyed = unpivot(df, df.columns).select(
+            (F.col("place") + len(places)).alias("place"),
+            F.when(long, F.sha2(value, 256)).otherwise(value).alias("v"),
+            F.length(value).alias("width"),
+        )
+        parts.append(keyed)
+        places += [(len(places) + i, name, column) for i, column in enumerate(df.columns)]
+    cells = reduce(DataFrame.unionByName, parts)
+    frequencies = cells.groupBy("place", "v").agg(
         F.count(F.lit(1)).alias("n"), F.max("width").alias("width")
     )
     # tested once per distinct value; a clock text is never long
@@ -77,7 +89,8 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         F.sum(n * F.col("width")).alias("characters"),
         F.sum(n * F.col("clock")).alias("clock_count"),
     )
-    every = df.sparkSession.range(len(names)).select(F.col("id").cast("int").alias("place"))
+    spark = cells.sparkSession
+    every = spark.createDataFrame(places, "place int, table_name string, column_name string")
     counts = [c for c in measured.columns if c != "place"]
     filled = every.join(measured, "place", "left").na.fill(0, counts)
 
@@ -87,7 +100,8 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         return F.when(total > 0, part / total).otherwise(F.lit(0.0))
 
     profile = filled.select(
-        _name_of(names).alias("column_name"),
+        "table_name",
+        "column_name",
         "non_null_count",
         "unique_count",
         share(unique).alias("unique_ratio"),

@@ -14,7 +14,6 @@ from ..functions.numbers import coerce_numeric, is_integral
 from ..functions.text import canonical_string, quoted
 from ..keys import ProjectKey
 from .quantiles import exact_quantiles
-from .lineage import settled
 from .skew import skew_join
 
 MAX_BINS = 16
@@ -95,8 +94,8 @@ def synthesize_numeric(
         .where(F.col("draws") & ~F.col("only_draws"))
         .select("value")
     )
-    taken = settled(taken)
     value = F.col(drawn)
+    # not checkpointed: the values are originals and should not be written in the clear
     if taken.take(1):
         originals = drafted.select(F.col(number_name).alias("value")).where(F.col("value").isNotNull())
         move = _free_whole_number if as_integer else _free_number

@@ -60,6 +60,10 @@ def pii_label(kind: Column, match: Column) -> Column:
     return F.concat(F.lit("[REDACTED_"), kind, F.lit("]"))
 
 
+def without_secrets(text: Column) -> Column:
+    return replace_spans(text, find_spans(text, SECRET_RULES), secret_label)
+
+
 def pii_findings(text: Column) -> Column:
     return find_spans(text, PII_RULES)
 

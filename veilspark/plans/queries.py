@@ -16,9 +16,9 @@ from ..functions.spans import find_spans, replace_spans, span_text
 from ..operators.actions import time_shift, tokenize
 from ..operators.audit import CHAIN_VERSION, HASHED, verify_audit
 from ..operators.detection import column_findings, findings_table, leaked_values, residual_findings
-from ..operators.inference import infer_policy, union_tables
+from ..operators.inference import infer_policies, infer_policy, union_tables
 from ..operators.metadata import table_metadata
-from ..operators.profile import profile_columns, value_frequencies
+from ..operators.profile import profile_tables, value_frequencies
 from ..operators.quantiles import exact_quantiles
 from ..operators.report import Report, utility_impact
 from ..operators.sanitize import gate_columns, sanitize_table, sanitize_tables, sanitize_text
@@ -30,6 +30,7 @@ from ..operators.text_scan import (
     recognizer_rules,
     scan_distinct_text,
     scan_text,
+    without_secrets,
 )
 from ..operators.vault import (
     detokenize,
@@ -328,7 +329,7 @@ def export_gate(spark, sf):
     customers, orders = table(spark, sf, "customer"), table(spark, sf, "orders")
     keep_text = {"columns": {"text": "keep"}, "default": {"unknown_column": "drop"}}
     # text that lost its secrets but still shows personal data
-    no_secrets = documents.where(count_secrets(F.col("text")) == 0)
+    no_secrets = documents.withColumn("text", without_secrets(F.col("text")))
     cases = {
         "safe customers": sanitize_table(customers, c.CUSTOMER_POLICY, KEY).gate,
         "detector missing": sanitize_table(customers, Policy.from_dict({"default": {"unknown_column": "hash"}}), KEY).gate,
@@ -387,15 +388,14 @@ def frequencies(spark, sf):
 PROFILED = ("customer", "orders", "lineitem", "part", "supplier", "nation", "events", "documents")
 
 
+def _profiled(spark, sf):
+    return {name: spread_table(spark, sf, name) for name in PROFILED}
+
+
 def profiles(spark, sf):
-    parts = []
-    for name in PROFILED:
-        profile = profile_columns(spread_table(spark, sf, name))
-        ratios = [n for n, kind in profile.dtypes if kind == "double"]
-        parts.append(
-            profile.withColumns({n: F.round(n, 6) for n in ratios}).withColumn("table_name", F.lit(name))
-        )
-    return reduce(DataFrame.unionByName, parts)
+    profile = profile_tables(_profiled(spark, sf))
+    ratios = [n for n, kind in profile.dtypes if kind == "double"]
+    return profile.withColumns({n: F.round(n, 6) for n in ratios})
 
 
 def business_events(spark, sf):
@@ -419,15 +419,16 @@ def business_events(spark, sf):
     return events
 
 
-def _decisions(df, name):
-    return infer_policy(df).frame(df.sparkSession).withColumn("table_name", F.lit(name))
-
-
 def draft_policies(spark, sf):
-    parts = [_decisions(spread_table(spark, sf, name), name) for name in PROFILED]
-    parts.append(_decisions(business_events(spark, sf), "business"))
-    return reduce(DataFrame.unionByName, parts).select(
-        "table_name", "column_name", "action", "confidence", "reason", "role"
+    tables = {**_profiled(spark, sf), "business": business_events(spark, sf)}
+    rows = [
+        (name, d.column_name, d.action, d.confidence, d.reason, d.role)
+        for name, inferred in infer_policies(tables).items()
+        for d in inferred.decisions
+    ]
+    return spark.createDataFrame(
+        rows,
+        "table_name string, column_name string, action string, confidence double, reason string, role string",
     )
 
 
