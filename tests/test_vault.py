@@ -193,3 +193,11 @@ def test_file_to_file_and_blocked_files(spark, key, stores, tmp_path):
     import_file(spark, str(source), str(tmp_path / "out"), POLICY, key, "job-c", stores, fmt="tsv")
     back = spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "out")).collect()
     assert len(back) == 2 and all(r["customer_id"].startswith("CUSTOMER_ID_") for r in back)
+
+
+def test_a_token_stored_twice_stops_the_import(spark, key, safe, tmp_path):
+    from veilspark.operators.vault import repeated_tokens
+
+    pairs = spark.createDataFrame([("T_1", "T", "a"), ("T_1", "T", "b"), ("T_2", "T", "c")], safe.mapping().schema)
+    write_vault(seal_mapping(pairs, key, "job", DAY, NOW), str(tmp_path / "v"))
+    assert [r["token"] for r in repeated_tokens(read_vault(spark, str(tmp_path / "v")), "project", "job").collect()] == ["T_1"]

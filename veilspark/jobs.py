@@ -18,9 +18,9 @@ from .operators.vault import (
     detokenize,
     job_exists,
     read_vault,
+    repeated_tokens,
     seal_mapping,
     seal_rows,
-    token_collisions,
     write_vault,
 )
 from .policy import Policy, Recognizer
@@ -76,11 +76,10 @@ def import_table(
         raw = seal_rows(df, key, job_id, timedelta(hours=policy.security.raw_ttl_hours))
         write_vault(raw, stores.vault)
     if any(p.action == "tokenize" for p in result.plans) or result.policy.recognizers:
-        mapping = result.mapping()
-        if token_collisions(mapping).take(1):
-            raise TokenCollision("token collision detected")
         ttl = timedelta(days=policy.security.mapping_ttl_days)
-        write_vault(seal_mapping(mapping, key, job_id, ttl), stores.vault)
+        write_vault(seal_mapping(result.mapping(), key, job_id, ttl), stores.vault)
+        if repeated_tokens(read_vault(spark, stores.vault), key.project_id, job_id).take(1):
+            raise TokenCollision("token collision detected")
     append_event(
         spark,
         stores.audit,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_string, is_missing, quoted
@@ -71,6 +71,15 @@ class SanitizeResult:
             for kind, column in text_counters(_scan_name(plan)).items()
         ]
 
+    def observed(self) -> tuple[DataFrame, Observation | None]:
+        """The safe rows, and an observation that counts free-text findings while they
+        are written, so that text is scanned once."""
+        aggregates = self.text_aggregates()
+        if not aggregates:
+            return self.safe, None
+        seen = Observation()
+        return self.staged.observe(seen, *aggregates).select(*self.safe_columns()), seen
+
     def add_text_counts(self, counts: Mapping[str, int]) -> None:
         if self._text_done:
             return

@@ -71,6 +71,15 @@ def token_collisions(mapping: DataFrame) -> DataFrame:
     return counted.agg(F.count(F.lit(1)).alias("originals")).where(F.col("originals") > 1)
 
 
+def repeated_tokens(vault: DataFrame, project_id: str, job_id: str) -> DataFrame:
+    """Tokens stored more than once by a job. A mapping is distinct, so these stand for
+    several originals; seen here, the check needs one column of the written vault."""
+    rows = vault.where(
+        (F.col("project_id") == project_id) & (F.col("job_id") == job_id) & (F.col("kind") == "mapping")
+    )
+    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+
+
 def _stamped(df: DataFrame, key: ProjectKey, job_id: str, kind: str, ttl: timedelta, now: datetime) -> DataFrame:
     return df.withColumns(
         {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 
 from ..operators.report import ExportBlocked, Report
 from ..operators.sanitize import SanitizeResult
@@ -29,14 +29,10 @@ def write_safe(
     through the job committer, all or none."""
     if not result.can_export:
         raise ExportBlocked("export is blocked: " + ", ".join(result.gate.block_reasons))
-    aggregates = result.text_aggregates()
-    if not aggregates:
-        write_rows(result.safe, path, fmt, mode)
-        return result.report()
-    seen = Observation()
-    observed = result.staged.observe(seen, *aggregates)
-    write_rows(observed.select(*result.safe_columns()), path, fmt, mode)
-    result.add_text_counts(seen.get)
+    rows, seen = result.observed()
+    write_rows(rows, path, fmt, mode)
+    if seen is not None:
+        result.add_text_counts(seen.get)
     return result.report()
 
 

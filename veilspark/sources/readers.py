@@ -29,11 +29,17 @@ def without_missing_texts(df: DataFrame) -> DataFrame:
 
 
 def read_delimited(
-    spark: SparkSession, path: str, separator: str = ",", schema: T.StructType | str | None = None
+    spark: SparkSession,
+    path: str,
+    separator: str = ",",
+    schema: T.StructType | str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """A delimited file with a header; unnamed columns become ``column_<i>``."""
+    """A delimited file with a header; unnamed columns become ``column_<i>``. With
+    ``multi_line`` a quoted cell may hold line breaks, and a file is read by one task;
+    without, big files are split."""
     reader = spark.read.option("header", True).option("sep", separator).option("escape", '"')
-    reader = reader.option("multiLine", True)
+    reader = reader.option("multiLine", multi_line)
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     df = reader.csv(path)
     names = [f"column_{i + 1}" if c == f"_c{i}" else c for i, c in enumerate(df.columns)]

@@ -14,12 +14,15 @@ from ..functions.text import quoted
 from ..keys import ProjectKey
 from ..operators.actions import action_column
 from ..operators.report import ExportBlocked
-from ..operators.sanitize import SanitizeResult, sanitize_table
+from ..operators.sanitize import sanitize_table
 from ..operators.text_scan import EntityDetector, scan_text
 from ..operators.vault import VAULT_SCHEMA, seal_mapping
 from ..policy import Policy, Recognizer, resolve_actions
 
 
+BROADCAST_TOKENS = 100_000
+
+
 @dataclass(frozen=True)
 class StreamPaths:
     """Shared folders of one streaming job. Everything is written per batch id with
@@ -51,16 +54,13 @@ def safe_stream(df: DataFrame, policy: Policy, key: ProjectKey) -> DataFrame:
     return df.select(*columns)
 
 
-def stable_columns(result: SanitizeResult, schema) -> DataFrame:
-    """Safe rows with every non-dropped policy column: a column lost to a secret found in
-    this batch is null, so the stream keeps its schema."""
-    planned = {p.name: p for p in resolve_actions(schema, result.policy)}
-    safe = result.safe
+def stable_columns(safe: DataFrame, planned: Sequence[str]) -> DataFrame:
+    """Safe rows with every planned column: a column lost to a secret found in this batch
+    is null, so the stream keeps its schema."""
     return safe.select(
         *[
             quoted(name) if name in safe.columns else F.lit(None).cast("string").alias(name)
-            for name, plan in planned.items()
-            if plan.action != "drop" and not plan.secret_name
+            for name in planned
         ]
     )
 
@@ -86,21 +86,32 @@ def sanitize_stream(
         empty = df.sparkSession.createDataFrame([], VAULT_SCHEMA)
         empty.write.mode("overwrite").parquet(f"{paths.vault}/batch_id=-1")
 
+    planned = [
+        p.name
+        for p in resolve_actions(schema, policy)
+        if p.action != "drop" and not p.secret_name
+    ]
+
     def run(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # gate, rows and tokens each read it
+        try:
+            gated(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def gated(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         result = sanitize_table(batch, policy, key, mode, detector=detector, row_key=row_key)
-        rows = stable_columns(result, schema)
-        lost = [
-            p.name
-            for p in resolve_actions(schema, policy)
-            if p.action != "drop" and not p.secret_name and p.name not in result.safe.columns
-        ]
+        safe, seen = result.observed()
+        lost = [name for name in planned if name not in safe.columns]
         blocked = not result.can_export or bool(lost)
         if blocked and paths.quarantine is None:
             reasons = result.gate.block_reasons or [f"secret in {name}" for name in lost]
             raise ExportBlocked(f"batch {batch_id} is blocked: " + ", ".join(reasons))
         target = paths.quarantine if blocked else paths.out
-        rows.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        stable_columns(safe, planned).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        if seen is not None:
+            result.add_text_counts(seen.get)
         if paths.report:
             result.report().counters(spark).coalesce(1).write.mode("overwrite").parquet(
                 f"{paths.report}/batch_id={batch_id}"
@@ -125,9 +136,16 @@ def vault_columns() -> str:
 
 
 def new_tokens(spark: SparkSession, mapping: DataFrame, vault: str, batch_id: int) -> DataFrame:
-    """Tokens no earlier batch stored; a rerun of a batch does not see its own rows."""
+    """Tokens no earlier batch stored; a rerun of a batch does not see its own rows.
+
+    The vault outgrows any batch, so it is filtered to the batch's tokens first: by a
+    broadcast of them if they are few (a token is at most 81 bytes), else by a shuffle."""
     stored = spark.read.schema(vault_columns()).parquet(vault)
-    return mapping.join(stored.where(F.col("batch_id") < batch_id).select("token"), "token", "left_anti")
+    stored = stored.where(F.col("batch_id") < batch_id).select("token")
+    tokens = mapping.select("token")
+    if tokens.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS:
+        tokens = F.broadcast(tokens)
+    return mapping.join(stored.join(tokens, "token", "left_semi"), "token", "left_anti")
 
 
 def read_stream_table(spark: SparkSession, path: str) -> DataFrame:
