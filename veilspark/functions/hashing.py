@@ -73,4 +73,4 @@ def keyed_offset(
     # as a table the digest is referenced once, and so computed once, wherever this stands
     table = [-(low + i) for i in range(width)] + [low + i for i in range(width)]
     # (get, not element_at: the latter reads a null index as a value)
-    return F.get(F.lit(table), turn)
+    return F.get(F.expr(f"array({', '.join(map(str, table))})"), turn)

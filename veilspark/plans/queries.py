@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +48,8 @@ from ..operators.vault import (
     write_vault,
 )
 from ..policy import Policy, resolve_actions
-from ..sinks.writers import write_rows, write_safe
+from ..sinks.writers import write_report, write_rows, write_safe
+from ..sources.decoders import archive_members, decoded
 from ..sources.preview import preview_table
 from ..sources.readers import load_any
 from ..streaming.stream import (
@@ -542,7 +546,7 @@ def raw_retention(spark, sf):
 def audit_chain(spark, sf):
     """Chains of at most 64 import events, one event per order; urgent finished orders are
     altered after hashing. A chain is keyed by order key / 64, so its size is bounded."""
-    chain = F.floor(F.col("o_orderkey") / 64).cast("string")
+    chain = F.shiftright("o_orderkey", 6).cast("string")
     events = table(spark, sf, "orders").select(
         chain.alias("chain"),
         "o_orderkey",
@@ -614,6 +618,71 @@ def source_formats(spark, sf):
     return reduce(DataFrame.unionByName, parts)
 
 
+FILE_FORMATS = ("yaml", "feather", "json", "csv", "orc", "parquet")
+
+
+def _encode(fmt, frame):
+    """One small frame as the bytes of a file."""
+    stream = io.BytesIO()
+    if fmt == "yaml":
+        import yaml
+
+        return yaml.safe_dump(frame.to_dict("records")).encode()
+    if fmt == "json":
+        return frame.to_json(orient="records").encode()
+    if fmt == "csv":
+        return frame.to_csv(index=False).encode()
+    getattr(frame, f"to_{fmt}")(stream)
+    return stream.getvalue()
+
+
+def _customer_files(spark, sf, pack):
+    """Customers as many small files: a file holds a run of at most 512 keys."""
+    customers = table(spark, sf, "customer").withColumn("run", F.shiftright("c_custkey", 9))
+
+    def write(frame):
+        run = int(frame["run"].iloc[0])
+        frame = frame.drop(columns="run").sort_values("c_custkey", ignore_index=True)
+        return pd.DataFrame([pack(run, frame)], columns=["name", "fmt", "content"])
+
+    return customers.groupBy("run").applyInPandas(write, "name string, fmt string, content binary")
+
+
+def decode_files(spark, sf):
+    """Files of six formats, each decoded by one task, as one table."""
+
+    def pack(run, frame):
+        fmt = FILE_FORMATS[run % len(FILE_FORMATS)]
+        return f"{run}.{fmt}", fmt, _encode(fmt, frame)
+
+    return decoded(_customer_files(spark, sf, pack))
+
+
+def decode_archives(spark, sf):
+    """Zip archives of two members each, exploded and decoded."""
+
+    def pack(run, frame):
+        stream = io.BytesIO()
+        with zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr("part/first.csv", _encode("csv", frame.iloc[::2]))
+            archive.writestr("second.json", _encode("json", frame.iloc[1::2]))
+        return f"{run}.zip", "zip", stream.getvalue()
+
+    return decoded(archive_members(_customer_files(spark, sf, pack)))
+
+
+def written_report(spark, sf):
+    """The report of the orders, stored as tables and read back."""
+    folder = work_folder(spark)
+    report = sanitize_table(spread_table(spark, sf, "orders"), c.ORDERS_POLICY, KEY).report()
+    write_report(report, spark, folder)
+    columns = spark.read.parquet(f"{folder}/columns")
+    counters = spark.read.parquet(f"{folder}/counters").where("section = 'action'")
+    return columns.join(counters, columns["action"] == counters["name"]).select(
+        "column_name", "action", F.col("n").alias("rows_of_action")
+    )
+
+
 def _event_stream(spark, sf):
     """The event table read as a stream, through the gate of every batch."""
     folder = work_folder(spark)
@@ -649,7 +718,8 @@ QUERIES: dict[str, Query] = {
         drop_secret_columns, scan_residuals, export_gate, redaction_report, report_impact, gated_write,
         override_leaks, frequencies, profiles, draft_policies, token_domains, merged_tables,
         merged_policy, preview_customer, quantiles, metadata, vault_mapping, detokenize_orders,
-        purge_vault, colliding_tokens, raw_retention, audit_chain, source_formats, stream_events,
+        purge_vault, colliding_tokens, raw_retention, audit_chain, source_formats, decode_files,
+        decode_archives, written_report, stream_events,
         stream_report, stream_tokens,
     )
 }

@@ -99,8 +99,13 @@ def binary_files(spark: SparkSession, path: str, fmt: str) -> DataFrame:
         .alias("name"),
         "content",
     )
-    if fmt != "zip":
-        return files.select("name", F.lit(fmt).alias("fmt"), "content")
+    if fmt == "zip":
+        return archive_members(files)
+    return files.select("name", F.lit(fmt).alias("fmt"), "content")
+
+
+def archive_members(archives: DataFrame) -> DataFrame:
+    """(name, fmt, content) of every member of the zip archives in column ``content``."""
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -108,7 +113,7 @@ def binary_files(spark: SparkSession, path: str, fmt: str) -> DataFrame:
                 for member in zip_members(bytes(content)):
                     yield pd.DataFrame([member], columns=["name", "fmt", "content"])
 
-    return files.mapInPandas(explode, "name string, fmt string, content binary")
+    return archives.select("content").mapInPandas(explode, "name string, fmt string, content binary")
 
 
 def decoded(files: DataFrame) -> DataFrame:
