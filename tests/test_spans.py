@@ -9,10 +9,18 @@ from pyspark.sql import functions as F
 
 from veilspark import EntityDetector, Recognizer
 from veilspark.functions.patterns import PII_RULES
-from veilspark.functions.spans import SpanRule, find_spans, replace_spans, span_text
+from veilspark.functions.spans import (
+    SpanRule,
+    count_by_line,
+    find_spans,
+    replace_by_line,
+    replace_spans,
+    span_text,
+)
 from veilspark.operators.text_scan import (
     callback_flags,
     count_secrets,
+    pii_label,
     recognizer_rules,
     scan_distinct_text,
     scan_text,
@@ -209,3 +217,29 @@ def test_rule_with_regex_groups_still_finds_whole_matches(spark):
     assert [tuple(s) for s in df.select(find_spans(F.col("t"), [rule]).alias("s")).first()["s"]] == [
         (0, 4, "PAIR"), (5, 9, "PAIR"),
     ]
+
+
+def brute_redaction(text):
+    pieces, at = [], 0
+    for start, end, kind in brute(text):
+        pieces += [text[at:start], f"[REDACTED_{kind}]"]
+        at = end
+    return "".join(pieces) + text[at:]
+
+
+def test_line_by_line_redaction_equals_brute_force_on_whole_texts(spark):
+    texts = HAND_WRITTEN + random_texts(1500)
+    texts += ["\n".join(texts[i : i + 40]) + "\n\n" for i in range(0, len(texts), 40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(8)
+    done = df.withColumn("r", replace_by_line(F.col("t"), PII_RULES, pii_label)).select(
+        "i",
+        F.coalesce("r.text", "t").alias("safe"),
+        F.coalesce("r.n", F.lit(0)).alias("n"),
+        count_by_line(F.col("t"), PII_RULES).alias("counted"),
+    )
+    rows = done.collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        text = texts[row["i"]]
+        assert row["safe"] == brute_redaction(text), text
+        assert row["n"] == row["counted"] == len(brute(text))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.numbers import is_number
 from ..functions.patterns import PII_RULES, SECRET_RULES
-from ..functions.spans import any_pattern, may_match
+from ..functions.spans import any_pattern, any_rule
 from ..functions.text import canonical_string, fold_case, is_ascii, quoted, strip
 from ..policy import ColumnPlan, Policy, Recognizer, resolve_actions
 from .actions import subject_columns
@@ -84,7 +83,7 @@ def _suspect(plan: ColumnPlan, kind: str, recognizers: Sequence[Recognizer], few
     rules = {"secret": SECRET_RULES, "pii": PII_RULES}.get(kind) or recognizer_rules(recognizers)
     if kind != "custom" and not few:
         return text.rlike(any_pattern(rules))
-    return reduce(Column.__or__, [may_match(text, rule) for rule in rules])
+    return any_rule(text, rules)
 
 
 def _exact(
@@ -208,9 +207,7 @@ def check_override(df: DataFrame, override: ReviewOverride | None) -> None:
     if override is None:
         return
     reason = F.lit(override.reason)
-    suspicious = F.lit(False)
-    for rule in (*SECRET_RULES, *PII_RULES):
-        suspicious = suspicious | may_match(reason, rule)
+    suspicious = any_rule(reason, (*SECRET_RULES, *PII_RULES))
     one = df.sparkSession.range(1)
     if one.where(suspicious).where(count_secrets(reason) + count_pii(reason) > 0).take(1):
         raise ValueError("override reason must not contain secrets or personal data")

@@ -14,7 +14,15 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import token_for
 from ..functions.patterns import PII_RULES, SECRET_LABEL, SECRET_RULES
-from ..functions.spans import SpanRule, count_spans, find_spans, replace_spans, span_text
+from ..functions.spans import (
+    SpanRule,
+    count_by_line,
+    count_spans,
+    find_spans,
+    replace_by_line,
+    replace_spans,
+    span_text,
+)
 from ..functions.text import canonical_string, is_missing, quoted
 from ..keys import ProjectKey
 from ..policy import Recognizer
@@ -73,7 +81,7 @@ def count_secrets(text: Column) -> Column:
 
 
 def count_pii(text: Column) -> Column:
-    return count_spans(text, PII_RULES)
+    return count_by_line(text, PII_RULES)
 
 
 def recognizer_rules(recognizers: Sequence[Recognizer]) -> list[SpanRule]:
@@ -177,8 +185,8 @@ def scan_text(
     raw = stage("raw", F.when(~is_missing(value, dtype), canonical_string(value, dtype)))
     secrets = stage("secrets", find_spans(raw, SECRET_RULES))
     clean = stage("clean", replace_spans(raw, secrets, secret_label))
-    pii = stage("pii", find_spans(clean, PII_RULES))
-    text = stage("text", replace_spans(clean, pii, pii_label))
+    pii = stage("pii", replace_by_line(clean, PII_RULES, pii_label))
+    text = stage("text", F.coalesce(pii["text"], clean))
     entities = F.lit(0)
     if detector is not None:
         # used twice, the text stays a projection of its own below the Python step
@@ -198,7 +206,7 @@ def scan_text(
         F.struct(
             text.alias("safe"),
             F.size(secrets).alias("secrets"),
-            F.size(pii).alias("pii"),
+            F.coalesce(pii["n"], F.lit(0)).alias("pii"),
             entities.alias("entities"),
             kinds.alias("kinds"),
             tokens.alias("tokens"),
