@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data is not here")
 
 SAMPLED = (
-    "sanitize_customer", "sanitize_orders", "time_shift_events", "synthesize_custkey", "redact_documents",
+    "sanitize_customer", "sanitize_orders", "import_orders", "time_shift_events", "synthesize_custkey", "redact_documents",
     "find_pii", "custom_recognizers", "count_findings", "export_gate", "redaction_report", "draft_policies",
     "detokenize_orders", "audit_chain", "stream_events",
 )

@@ -66,6 +66,21 @@ EVENTS_POLICY = Policy.from_dict(
         "date_shift": {"subject_column": "user_id", "min_days": 3, "max_days": 9, "direction": "forward"},
     }
 )
+IMPORT_POLICY = Policy.from_dict(
+    {
+        "security": NO_DETECTOR,
+        "columns": {
+            "o_orderkey": "keep",
+            "o_custkey": "tokenize",
+            "o_totalprice": "synthesize",
+            "o_orderstatus": "keep",
+            "o_orderdate": "date_shift",
+            "o_orderpriority": "tokenize",
+        },
+        "token_domains": {"o_custkey": "CUSTOMER_ID", "o_orderpriority": "PRIORITY"},
+        "date_shift": {"subject_column": "o_custkey", "min_days": 1, "max_days": 30},
+    }
+)
 CLOCK_POLICY = Policy.from_dict(
     {"columns": {}, "time_shift": {"subject_column": "user_id", "min_minutes": 1, "max_minutes": 720}}
 )

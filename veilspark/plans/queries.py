@@ -16,6 +16,7 @@ from ..functions.checks import ip_valid, luhn_valid, thai_id_valid
 from ..functions.dates import parse_date
 from ..functions.numbers import coerce_numeric
 from ..functions.spans import find_spans, replace_spans, span_text
+from ..jobs import Stores, import_table
 from ..operators.actions import time_shift, tokenize
 from ..operators.audit import CHAIN_VERSION, HASHED, verify_audit
 from ..operators.detection import column_findings, findings_table, leaked_values, residual_findings
@@ -97,6 +98,19 @@ def sanitize_many_tables(spark, sf):
     )
 
 
+def import_orders(spark, sf):
+    """A whole import: gate, synthesis, encrypted mapping, audit event, gated write."""
+    folder = work_folder(spark)
+    stores = Stores(f"{folder}/vault", f"{folder}/audit")
+    result = import_table(
+        spread_table(spark, sf, "orders"), c.IMPORT_POLICY, KEY, "import", stores, "targeted",
+        row_key=["o_orderkey"],
+    )
+    write_safe(result, f"{folder}/safe")
+    safe = spark.read.parquet(f"{folder}/safe")
+    return safe.withColumn("o_totalprice", F.round("o_totalprice", 4))
+
+
 def time_shift_events(spark, sf):
     events = spread_table(spark, sf, "events").select(
         "event_id",
@@ -711,7 +725,7 @@ def stream_tokens(spark, sf):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        sanitize_customer, sanitize_orders, sanitize_many_tables, time_shift_events, parse_order_dates,
+        sanitize_customer, sanitize_orders, sanitize_many_tables, import_orders, time_shift_events, parse_order_dates,
         coerce_amounts, synthesize_price, synthesize_quantity, synthesize_custkey, token_linkage,
         redact_documents, redact_pages, redact_conversations, redact_distinct_documents, find_pii,
         find_secrets, custom_recognizers, text_tokens, digit_checks, count_findings,
