@@ -14,13 +14,14 @@ from ..functions.text import quoted
 from ..keys import ProjectKey
 from ..operators.actions import action_column
 from ..operators.report import ExportBlocked
-from ..operators.sanitize import sanitize_table
+from ..operators.sanitize import SanitizeResult, sanitize_table
 from ..operators.text_scan import EntityDetector, scan_text
 from ..operators.vault import VAULT_SCHEMA, seal_mapping
 from ..policy import Policy, Recognizer, resolve_actions
 
 
-BROADCAST_TOKENS = 100_000
+# a token is at most 81 bytes, so this is a broadcast of 16 MB at most
+BROADCAST_TOKENS = 200_000
 
 
 @dataclass(frozen=True)
@@ -117,11 +118,18 @@ def sanitize_stream(
                 f"{paths.report}/batch_id={batch_id}"
             )
         if paths.vault:
-            mapping = new_tokens(spark, result.mapping(), paths.vault, batch_id)
-            sealed = seal_mapping(
-                mapping, key, job_id, timedelta(days=policy.security.mapping_ttl_days)
-            )
-            sealed.write.mode("overwrite").parquet(f"{paths.vault}/batch_id={batch_id}")
+            store_tokens(spark, result, batch_id)
+
+    def store_tokens(spark: SparkSession, result: SanitizeResult, batch_id: int) -> None:
+        mapping = result.mapping().persist()  # read for the lookup and for the rows
+        # without tokens from text, a batch mints at most one per cell
+        minted = result.gate.rows * sum(p.action == "tokenize" for p in result.plans)
+        few = not policy.recognizers and minted <= BROADCAST_TOKENS
+        fresh = new_tokens(spark, mapping, paths.vault, batch_id, few)
+        ttl = timedelta(days=policy.security.mapping_ttl_days)
+        sealed = seal_mapping(fresh, key, job_id, ttl)
+        sealed.write.mode("overwrite").parquet(f"{paths.vault}/batch_id={batch_id}")
+        mapping.unpersist()
 
     return (
         df.writeStream.foreachBatch(run)
@@ -135,17 +143,18 @@ def vault_columns() -> str:
     return f"{VAULT_SCHEMA}, batch_id bigint"
 
 
-def new_tokens(spark: SparkSession, mapping: DataFrame, vault: str, batch_id: int) -> DataFrame:
+def new_tokens(
+    spark: SparkSession, mapping: DataFrame, vault: str, batch_id: int, few: bool = False
+) -> DataFrame:
     """Tokens no earlier batch stored; a rerun of a batch does not see its own rows.
 
     The vault outgrows any batch, so it is filtered to the batch's tokens first: by a
-    broadcast of them if they are few (a token is at most 81 bytes), else by a shuffle."""
+    broadcast where their number is known to be ``few``, else by a shuffle."""
     stored = spark.read.schema(vault_columns()).parquet(vault)
     stored = stored.where(F.col("batch_id") < batch_id).select("token")
     tokens = mapping.select("token")
-    if tokens.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS:
-        tokens = F.broadcast(tokens)
-    return mapping.join(stored.join(tokens, "token", "left_semi"), "token", "left_anti")
+    known = stored.join(F.broadcast(tokens) if few else tokens, "token", "left_semi")
+    return mapping.join(known, "token", "left_anti")
 
 
 def read_stream_table(spark: SparkSession, path: str) -> DataFrame:
