@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, substring_dedup
+from . import decontaminate, simhash, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +24,23 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op4_substring_dedup": op4_substring_dedup, "op8_simhash": op8_simhash}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+QUERIES = {
+    "op4_substring_dedup": op4_substring_dedup,
+    "op8_simhash": op8_simhash,
+    "op10_decontamination": op10_decontamination,
+}
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
@@ -45,4 +61,27 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)
     """,
+    "op10_decontamination": r"""
+        WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(
+                       translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+        b AS (SELECT DISTINCT item_id, regexp_extract_all(
+                  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+        i AS (SELECT item_id, w, least(len(w), 13) AS n FROM b WHERE len(w) > 0),
+        ip AS (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS pos FROM i),
+        win AS (SELECT DISTINCT item_id, n, array_to_string(w[pos : pos + n - 1], ' ') AS span FROM ip),
+        sizes AS (SELECT DISTINCT n FROM win),
+        dp AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS pos FROM d, sizes WHERE len(w) >= n),
+        hit AS (SELECT doc_id, pos, dp.n, item_id FROM dp JOIN win
+                ON dp.n = win.n AND array_to_string(w[pos : pos + dp.n - 1], ' ') = span),
+        word AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM
+                 (SELECT doc_id, unnest(range(pos, pos + n)) AS k FROM hit) GROUP BY doc_id),
+        item AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM
+                 (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hit) GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+               coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)
+    """,
 }
