@@ -64,3 +64,8 @@ def lower_ascii(text: Column) -> Column:
 def bounded(df: DataFrame, most: int) -> bool:
     """Whether df has at most `most` rows; counts no more than that."""
     return df.limit(most + 1).count() <= most
+
+
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df, to be broadcast if it has at most `most` rows (of a few numbers or short texts each), else joined."""
+    return F.broadcast(df) if bounded(df, most) else df

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, let, lower_ascii, stage
+from .common import bounded, let, lower_ascii, small, stage
 
 _OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -120,9 +120,7 @@ def hits(
     spans = stage(_windows(items, F.col("length"), "item").select("item", "span", "length").distinct(), "spans")
     lengths = [r[0] for r in spans.select("length").distinct().collect()]  # window at most
     suspects = rows.where(F.col("text").isNotNull()).select("row", words(F.col("text")).alias("words"))
-    texts = spans.select("span").distinct()
-    if bounded(texts, 100_000):
-        texts = F.broadcast(texts)
+    texts = small(spans.select("span").distinct())
     if not lengths:
         lengths = [window]
     places = None

@@ -59,16 +59,16 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, mark (xxhash64 of the text, which tells rows of one doc_id apart) and fp (signed) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found.view(np.int64))], names=["doc_id", "mark", "fp"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return picked.mapInArrow(run, f"doc_id {kind}, fp bigint")
+    picked = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).cast("binary").alias("text"))
+    return picked.mapInArrow(run, f"doc_id {kind}, mark bigint, fp bigint")
 
 
 class _Groups:
@@ -223,11 +223,11 @@ def components(edges: DataFrame, a: str = "fp", b: str = "root") -> DataFrame:
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, shard_rows: int = 50_000
 ) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id that links reach) of every row of docs."""
+    """doc_id, mark, fp, component_id (the smallest doc_id that links reach) and root (one fingerprint of all it has) of every row."""
     found = stage(fingerprints(docs, doc_id, text, shingle), "fingerprints")
     points = stage(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
     stars = components(links(points.select("fp"), radius, shard_rows))
     rooted = points.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(named, "root").select("fp", "component_id")
-    return found.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(named, "root").select("fp", "component_id", "root")
+    return found.join(named, "fp").select("doc_id", "mark", "fp", "component_id", "root")
