@@ -7,8 +7,8 @@ Every window gets a 64-bit rolling hash of its words' hashes. A task cuts its do
 words, keeps the first window of each hash in the run (the others repeat already), and sends the rest packed, 9
 bytes a window, to buckets by hash. Buckets follow the input's size, so each holds about `bucket_words` windows,
 and a passage that a third of all documents share costs a bucket one entry per run. A bucket finds each hash's
-first window; all others repeat. Their starts go back to their documents, where overlapping windows merge into
-maximal intervals. Two different windows are taken for equal with odds of about 2^-63 a pair.
+first window; all others repeat. Their starts are packed by groups of documents, and one task a group merges
+overlapping windows into maximal intervals. Two different windows are taken for equal with odds of about 2^-63 a pair.
 
 Defined results: null text has no words; a null doc_id sorts after all others; rows with one doc_id are one
 document's texts, each judged on its own words, and a window at the same place of the same doc_id isn't earlier;
@@ -32,8 +32,9 @@ from .common import word_pieces
 
 _LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
-_SENT = "bucket int, hashes binary, at binary, words binary, doc bigint, variant int, starts binary"
-_FLAGGED = "doc bigint, variant int, starts binary"
+_SENT = "bucket int, hashes binary, at binary, words binary"
+_SHEAF = "part int, sheaf binary"
+_INTERVALS = "doc bigint, variant int, removed array<struct<start:bigint,end:bigint>>"
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -60,13 +61,24 @@ def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
     return found
 
 
-def _by_document(doc: np.ndarray, variant: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    order = np.lexsort((start, variant, doc))
-    doc, variant, start = doc[order], variant[order], start[order].astype(np.uint32)
-    edges = np.flatnonzero((doc[1:] != doc[:-1]) | (variant[1:] != variant[:-1])) + 1
-    for a, b in zip(np.append(0, edges), np.append(edges, len(doc))):
+def _sheaves(doc: np.ndarray, variant: np.ndarray, start: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """Repeated windows, packed by groups of documents."""
+    mixed = (doc.astype(np.uint64) * np.uint64(_BASE)) ^ (variant.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    part = ((mixed >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((start, variant, doc, part))
+    part, doc, variant, start = part[order], doc[order], variant[order].astype(np.int32), start[order]
+    edges = np.flatnonzero(np.diff(part)) + 1
+    for a, b in zip(np.append(0, edges), np.append(edges, len(part))):
         if b > a:
-            yield int(doc[a]), int(variant[a]), start[a:b].tobytes()
+            columns = (np.diff(doc[a:b], prepend=0), variant[a:b], np.diff(start[a:b], prepend=0))
+            yield int(part[a]), zlib.compress(b"".join(c.tobytes() for c in columns), 1)
+
+
+def _opened(sheaf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data = zlib.decompress(sheaf)
+    n = len(data) // 20
+    doc, start = np.cumsum(np.frombuffer(data, np.int64, n)), np.cumsum(np.frombuffer(data, np.int64, n, 12 * n))
+    return doc, np.frombuffer(data, np.int32, n, 8 * n), start
 
 
 def _split(hashes: np.ndarray, doc: np.ndarray, start: np.ndarray, variant: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,8 +132,8 @@ class _Run:
             keep = np.ones(len(at), bool)
             keep[twice] = False
             keep[twice[first]] = True
-            for d, v, starts in _by_document(doc[k], variant[k], places - (ends - size)[k] + place[k]):
-                yield self.buckets + (d ^ v) % self.buckets, None, None, None, d, v, starts
+            for part, sheaf in _sheaves(doc[k], variant[k], places - (ends - size)[k] + place[k], self.buckets):
+                yield self.buckets + part, None, None, sheaf
             at, hashes = at[keep], hashes[keep]
         directory = zlib.compress(
             b"".join([np.diff(doc, prepend=0).tobytes(), variant.astype(np.int32).tobytes(), place.astype(np.uint32).tobytes(), size.astype(np.uint32).tobytes()]), 1
@@ -132,7 +144,7 @@ class _Run:
         for b, (i, j) in enumerate(zip(edges, edges[1:])):
             if j > i:
                 places = at[i:j].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-                yield b, _pack(hashes[i:j]), places.tobytes(), directory, None, None, None
+                yield b, _pack(hashes[i:j]), places.tobytes(), directory
 
 
 def _pack(hashes: np.ndarray) -> bytes:
@@ -152,11 +164,11 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
-def _repeated(group: pa.Table) -> pa.Table:
-    """The repeated windows of one bucket, by document; rows that hold such windows already pass through."""
-    group = group.combine_chunks()
-    if group.num_rows and group.column("hashes")[0].as_py() is None:
-        return group.select(["doc", "variant", "starts"])
+def _repeated(group: pa.Table, buckets: int) -> pa.Table:
+    """The repeated windows of one bucket, packed by documents; those packed already pass through."""
+    bucket = group.column("bucket")[0].as_py()
+    if bucket >= buckets:
+        return pa.table({"part": pa.array([bucket - buckets] * group.num_rows, pa.int32()), "sheaf": group.column("words")})
     hashes, at, doc, variant, place, size, base = [], [], [], [], [], [], 0
     for packed, places, words in zip(*(group.column(c).to_pylist() for c in ("hashes", "at", "words"))):
         hashes.append(_unpack(packed))
@@ -181,8 +193,22 @@ def _repeated(group: pa.Table) -> pa.Table:
     start = at - (ends - size)[k] + place[k]
     _, later = _split(hashes, doc[k], start, variant[k]) if len(hashes) else (None, np.empty(0, np.int64))
     k = k[later]
-    found = list(zip(*_by_document(doc[k], variant[k], start[later]))) or [(), (), ()]
-    return pa.table({"doc": pa.array(found[0], pa.int64()), "variant": pa.array(found[1], pa.int32()), "starts": pa.array(found[2], pa.binary())})
+    found = list(zip(*_sheaves(doc[k], variant[k], start[later], buckets))) or [(), ()]
+    return pa.table({"part": pa.array(found[0], pa.int32()), "sheaf": pa.array(found[1], pa.binary())})
+
+
+def _merged(group: pa.Table, window: int) -> pa.Table:
+    """The maximal intervals of words that a group of documents has in repeated windows."""
+    doc, variant, start = map(np.concatenate, zip(*map(_opened, group.column("sheaf").to_pylist())))
+    order = np.lexsort((start, variant, doc))
+    doc, variant, start = doc[order], variant[order], start[order]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (variant[1:] != variant[:-1]))
+    first = np.flatnonzero(new | np.append(True, start[1:] > start[:-1] + window))
+    last = np.append(first[1:], len(start)) - 1
+    spans = pa.StructArray.from_arrays([pa.array(start[first]), pa.array(start[last] + window)], names=["start", "end"])
+    own = np.flatnonzero(new)
+    offsets = np.append(np.searchsorted(first, own), len(first)).astype(np.int32)
+    return pa.table({"doc": pa.array(doc[own]), "variant": pa.array(variant[own]), "removed": pa.ListArray.from_arrays(pa.array(offsets), spans)})
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> list[Column]:
@@ -196,7 +222,7 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> list[Column]:
 def repeated_windows(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20, run_words: int = 2_000_000, bucket_words: int = 2_000_000
 ) -> DataFrame:
-    """doc, variant and the packed starts of the repeated windows of each text that has some."""
+    """doc, variant and removed (maximal intervals of words in repeated windows) of each text that has some."""
     if not 0 < run_words < (1 << 23):
         raise ValueError("run_words must be below 2^23: a place in a run takes three bytes")
     picked = docs.select(*_keyed(docs, doc_id, text), F.col(text).cast("binary").alias("body"))
@@ -206,7 +232,7 @@ def repeated_windows(
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split(" ")[0] for f in _SENT.split(", ")]
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         run = _Run(window, buckets)
 
         def flush():
@@ -231,7 +257,8 @@ def repeated_windows(
         yield from flush()
 
     sent = picked.mapInArrow(send, _SENT)
-    return sent.groupBy("bucket").applyInArrow(_repeated, _FLAGGED)
+    sheaves = sent.groupBy("bucket").applyInArrow(lambda group: _repeated(group, buckets), _SHEAF)
+    return sheaves.groupBy("part").applyInArrow(lambda group: _merged(group, window), _INTERVALS)
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20, **sizes: int) -> DataFrame:
@@ -240,13 +267,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     kept holds the words outside the intervals, joined by one space. Columns of these three names that docs
     already has are replaced.
     """
-    starts = repeated_windows(docs, doc_id, text, window, **sizes)
-    starts = starts.groupBy("doc", "variant").agg(F.collect_list("starts").alias("starts"))
+    cuts = repeated_windows(docs, doc_id, text, window, **sizes)
     keyed = docs.select(F.struct("*").alias("row"), *_keyed(docs, doc_id, text))
     own = [c for c in docs.columns if c.lower() not in ("n_words", "removed", "kept") or c in (doc_id, text)]
-    joined = keyed.join(starts, ["doc", "variant"], "left")
-    joined = joined.select(*(F.col("row")[c].alias(f"c{i}") for i, c in enumerate(own)), "starts")
-    spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    joined = keyed.join(cuts, ["doc", "variant"], "left")
+    joined = joined.select(*(F.col("row")[c].alias(f"c{i}") for i, c in enumerate(own)), F.coalesce("removed", F.array().cast(_INTERVALS.split()[-1])))
     added = T.StructType(
         [
             T.StructField("n_words", T.LongType()),
@@ -258,21 +283,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, removed, kept = [], [], []
-            for body, found in zip(batch.column(own.index(text)).to_pylist(), batch.column(len(own)).to_pylist()):
+            n, kept = [], []
+            for body, removed in zip(batch.column(own.index(text)).to_pylist(), batch.column(len(own)).to_pylist()):
                 words = (body or "").encode().split()
-                cover = np.zeros(len(words) + 1, np.int32)
-                for part in found or ():
-                    part = np.unique(np.frombuffer(part, np.uint32))
-                    cover[part] += 1
-                    cover[part + window] -= 1
-                inside = np.cumsum(cover[:-1]) > 0
-                edges = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
                 n.append(len(words))
-                removed.append([{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)])
-                left = [w for w, gone in zip(words, inside.tolist()) if not gone] if found else words
-                kept.append(b" ".join(left))
-            columns = [*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(removed, spans), pa.array(kept, pa.binary()).cast(pa.string())]
+                for span in reversed(removed):
+                    del words[span["start"] : span["end"]]
+                kept.append(b" ".join(words))
+            columns = [*batch.columns[:-1], pa.array(n, pa.int64()), batch.columns[-1], pa.array(kept, pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return joined.mapInArrow(cut, schema)
