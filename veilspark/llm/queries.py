@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, packing, simhash, substring_dedup, topk_search, toxicity
+from . import chat_format, decontaminate, language_id, lm, packing, simhash, substring_dedup, topk_search, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.score(table(spark, sf_dir, "documents"))
+    held_out = F.coalesce(~lm.learned_on(F.col("doc_id")), F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings")).select("query_id", "rank", "vec_id", "score")
 
@@ -70,6 +76,7 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_toxicity": op3_toxicity,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_lm_scoring": op5_lm_scoring,
     "op7_topk_search": op7_topk_search,
     "op8_simhash": op8_simhash,
     "op9_language_id": op9_language_id,
