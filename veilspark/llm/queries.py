@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, lm, packing, simhash, substring_dedup, topk_search, toxicity
+from . import chat_format, decontaminate, language_id, lm, packing, simhash, substring_dedup, token_files, topk_search, toxicity
+from .common import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +21,12 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), path)
+    return token_files.digests(token_files.read(spark, path))
+
+
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings")).select("query_id", "rank", "vec_id", "score")
 
@@ -77,6 +86,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_lm_scoring": op5_lm_scoring,
+    "op6_token_files": op6_token_files,
     "op7_topk_search": op7_topk_search,
     "op8_simhash": op8_simhash,
     "op9_language_id": op9_language_id,
