@@ -1,4 +1,4 @@
-"""Profiles, policy inference, quantiles, synthesis, skewed joins, previews."""
+"""Profiles, policy inference, quantiles, synthesis, previews."""
 
 import math
 import random
@@ -13,7 +13,6 @@ from veilspark import Policy, combined_policy, infer_policy, preview_table, prof
 from veilspark import value_frequencies
 from veilspark.operators.naming import canonical_name, name_features, token_domain
 from veilspark.operators.quantiles import exact_quantiles
-from veilspark.operators.skew import hot_keys, skew_join
 from veilspark.operators.synthesize import synthesize_numeric
 
 
@@ -181,9 +180,8 @@ SHARES = [0.0, 0.01, 0.2, 0.25, 0.5, 0.77, 0.99, 1.0]
 def test_narrowed_quantiles_equal_numpy(spark, values):
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double").repartition(5)
     expected = np.quantile(np.array(values), SHARES)
-    for small in (0, 10**6):
-        got = exact_quantiles(df, F.col("x"), SHARES, small=small)
-        assert np.allclose(got, expected, rtol=1e-12, atol=0)
+    got = exact_quantiles(df, F.col("x"), SHARES)
+    assert np.allclose(got, expected, rtol=1e-12, atol=0)
     assert exact_quantiles(df.where("x IS NULL"), F.col("x"), SHARES) == []
 
 
@@ -218,22 +216,3 @@ def test_synthesis_does_not_depend_on_partitioning(spark, key):
     one = synthesize_numeric(df.coalesce(1), "v", "o", key).orderBy("id").collect()
     many = synthesize_numeric(df.repartition(11), "v", "o", key).orderBy("id").collect()
     assert one == many
-
-
-def test_skew_join_spreads_a_hot_key_and_keeps_every_row(spark):
-    left = spark.range(9000).select(
-        "id",
-        F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.concat(F.lit("k"), "id")).alias("k"),
-    )
-    right = spark.createDataFrame([("hot", 1), ("k1", 2), ("absent", 3)], "k string, v int")
-    assert sorted(map(str, hot_keys(left, "k", hot_rows=1000))) == ["None", "hot"]
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        got = skew_join(left, right, "k", hot_rows=1000)
-        plain = left.join(right, "k", "left")
-        key = ("id", "k", "v")
-        assert sorted(map(str, got.select(*key).collect())) == sorted(map(str, plain.select(*key).collect()))
-        inner = skew_join(left, right, "k", "inner", hot_rows=1000)
-        assert inner.count() == 3001
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from veilspark import load_any, load_tables, preview_file
-from veilspark.operators.metadata import safe_table_name, table_metadata
+from veilspark.operators.metadata import table_metadata
 from veilspark.sources import decoders
 from veilspark.sources.formats import file_format
 
@@ -143,4 +143,3 @@ def test_metadata_ignores_row_order_but_not_content(spark):
     assert (digest["row_count"], digest["column_count"]) == (3, 2)
     assert table_metadata(df.repartition(3).orderBy("s"), "t").first()["digest"] == digest["digest"]
     assert table_metadata(df.na.fill(""), "t").first()["digest"] != digest["digest"]
-    assert safe_table_name("a/b:c" + "x" * 40) == ("a_b_c" + "x" * 40)[:31] and safe_table_name(" ") == "Sheet1"

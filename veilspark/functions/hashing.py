@@ -8,12 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..keys import ProjectKey
+from .text import let
 
 _CONV_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 # RFC 4648 base32 alphabet.
 BASE32_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-# widest offset range kept as a lookup table
-_TABLE_WIDTH = 2048
 _TOKEN_TYPE = re.compile(r"[A-Z][A-Z0-9_]{0,63}")
 
 
@@ -64,13 +63,8 @@ def keyed_offset(
     # the magnitude is low + choice mod width; the sign, where it varies, is the parity
     # of choice div width: both follow from choice mod 2*width
     turn = (choice % F.lit(2 * width).cast("decimal(20,0)")).cast("int")
-    back, forth = -(low + turn), low + turn - width
     if direction != "both":
         turn = (choice % F.lit(width).cast("decimal(20,0)")).cast("int")
         return low + turn if direction == "forward" else -(low + turn)
-    if width > _TABLE_WIDTH:
-        return F.when(turn >= width, forth).otherwise(back)
-    # as a table the digest is referenced once, and so computed once, wherever this stands
-    table = [-(low + i) for i in range(width)] + [low + i for i in range(width)]
-    # (get, not element_at: the latter reads a null index as a value)
-    return F.get(F.expr(f"array({', '.join(map(str, table))})"), turn)
+    # bound once, so that the digest is computed once wherever this stands
+    return let(turn, lambda t: F.when(t >= width, low + t - width).otherwise(-(low + t)))

@@ -54,7 +54,7 @@ SECRET_RULES = (
     SpanRule("JWT", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", hints=("eyJ",)),
     SpanRule(
         "GITHUB_TOKEN",
-        r"(?:gh[pousr]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{22,255})",
+        r"(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,})",
         hints=("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"),
     ),
     SpanRule("SLACK_TOKEN", r"xox[abprs]-[A-Za-z0-9-]{10,}", hints=("xox",)),
@@ -63,7 +63,7 @@ SECRET_RULES = (
         r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
         hints=("AKIA", "ASIA"),
     ),
-    SpanRule("BEARER", r"(?i)bearer\s+[A-Za-z0-9._~+/-]{16,}=*", hints=("earer", "EARER")),
+    SpanRule("BEARER", r"(?i)bearer\s+[A-Za-z0-9._~+/-]{16,}=*"),
     SpanRule(
         "ASSIGNMENT",
         r"(?i)(?:api[_-]?key|token|secret|password|passwd|pwd|connection[_-]?string)"

@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .keys import ProjectKey, validate_identifier
-from .operators.audit import append_event
+from .operators.audit import append_event, read_audit
 from .operators.report import ReviewOverride
 from .operators.sanitize import SanitizeResult, sanitize_table, sanitize_text
 from .operators.text_scan import EntityDetector
@@ -18,9 +19,9 @@ from .operators.vault import (
     detokenize,
     job_exists,
     read_vault,
-    repeated_tokens,
     seal_mapping,
     seal_rows,
+    token_collisions,
     write_vault,
 )
 from .policy import Policy, Recognizer
@@ -49,6 +50,14 @@ def vault_exists(spark: SparkSession, stores: Stores, project_id: str, job_id: s
         return False
 
 
+def was_run(spark: SparkSession, stores: Stores, project_id: str, job_id: str) -> bool:
+    """Whether a job left vault rows or, having nothing to store, its event."""
+    events = read_audit(spark, stores.audit).where(
+        (F.col("event") == "import_sanitized") & (F.col("project_id") == project_id) & (F.col("job_id") == job_id)
+    )
+    return vault_exists(spark, stores, project_id, job_id) or bool(events.select("seq").take(1))
+
+
 def import_table(
     df: DataFrame,
     policy: Policy,
@@ -66,8 +75,8 @@ def import_table(
     mapping encrypted and record the event. The result still has to pass the gate."""
     spark = df.sparkSession
     validate_identifier(job_id, "job_id")
-    if policy.security.reject_duplicate_job_id and vault_exists(spark, stores, key.project_id, job_id):
-        raise DuplicateJob(f"secure rows already exist for job_id '{job_id}'")
+    if policy.security.reject_duplicate_job_id and was_run(spark, stores, key.project_id, job_id):
+        raise DuplicateJob(f"job_id '{job_id}' was used before")
     if text_column is None:
         result = sanitize_table(df, policy, key, mode, override, recognizers, detector, row_key)
     else:
@@ -77,9 +86,10 @@ def import_table(
         write_vault(raw, stores.vault)
     if any(p.action == "tokenize" for p in result.plans) or result.policy.recognizers:
         ttl = timedelta(days=policy.security.mapping_ttl_days)
-        write_vault(seal_mapping(result.mapping(), key, job_id, ttl), stores.vault)
-        if repeated_tokens(read_vault(spark, stores.vault), key.project_id, job_id).take(1):
+        # before anything is stored: a job that fails leaves no rows and keeps its id
+        if token_collisions(result.mapping()).take(1):
             raise TokenCollision("token collision detected")
+        write_vault(seal_mapping(result.mapping(), key, job_id, ttl), stores.vault)
     append_event(
         spark,
         stores.audit,

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.numbers import is_number
 from ..functions.patterns import PII_RULES, SECRET_RULES
-from ..functions.spans import any_pattern, any_rule
+from ..functions.spans import any_rule
 from ..functions.text import canonical_string, fold_case, is_ascii, quoted, strip
 from ..policy import ColumnPlan, Policy, Recognizer, resolve_actions
 from .actions import subject_columns
@@ -28,7 +28,6 @@ from .text_scan import (
 
 MODES = ("strict", "targeted")
 VISIBLE = ("keep", "review_required")
-_FEW_CHECKS = 24
 
 
 @dataclass
@@ -76,14 +75,11 @@ def _wanted(
     return pairs
 
 
-def _suspect(plan: ColumnPlan, kind: str, recognizers: Sequence[Recognizer], few: bool) -> Column:
-    """Cheap superset of "this value has a finding": rule by rule, each behind its
-    substring test, or for wide tables one combined regex, which keeps the plan small."""
-    text = _text_of(plan)
+def _suspect(plan: ColumnPlan, kind: str, recognizers: Sequence[Recognizer]) -> Column:
+    """Cheap superset of "this value has a finding": rule by rule, each behind its substring
+    test; a user's patterns as they are."""
     rules = {"secret": SECRET_RULES, "pii": PII_RULES}.get(kind) or recognizer_rules(recognizers)
-    if kind != "custom" and not few:
-        return text.rlike(any_pattern(rules))
-    return any_rule(text, rules)
+    return any_rule(_text_of(plan), rules)
 
 
 def _exact(
@@ -109,7 +105,6 @@ def column_findings(
     plans = resolve_actions(df.schema, policy)
     wanted = _wanted(plans, mode, recognizers, detector)
     checks = [(plan, kind) for plan, kind in wanted if kind != "entity"]
-    few = len(checks) <= _FEW_CHECKS
     subjects = set(subject_columns(df.columns, policy).values())
     shifting = {p.action for p in plans} & {"date_shift", "time_shift"}
     keyed = [
@@ -120,7 +115,7 @@ def column_findings(
     ]
     row = df.agg(
         F.count(F.lit(1)),
-        *[F.count_if(_suspect(plan, kind, recognizers, few)) for plan, kind in checks],
+        *[F.count_if(_suspect(plan, kind, recognizers)) for plan, kind in checks],
         *[F.count_if(~is_ascii(_text_of(plan))) for plan in keyed],
     ).first()
     suspects = {(plan.name, kind) for (plan, kind), n in zip(checks, row[1:]) if n}
@@ -188,7 +183,8 @@ def residual_scan(
 
 def leaked_values(df: DataFrame, text: str, least: int = 4) -> DataFrame:
     """Rows that hold a cell of ``least`` characters or more found inside ``text``."""
-    folded = F.lit(text.casefold())
+    reason = text.casefold()
+    folded = F.lit(reason)
     found = F.lit(False)
     for column in df.schema.fields:
         if isinstance(column.dataType, T.BinaryType):
@@ -196,7 +192,7 @@ def leaked_values(df: DataFrame, text: str, least: int = 4) -> DataFrame:
         cell = strip(canonical_string(quoted(column.name), column.dataType))
         # a cell longer than the text is not in it, and is not worth folding
         found = found | F.coalesce(
-            F.when(F.length(cell).between(least, len(text)), folded.contains(fold_case(cell))),
+            F.when(F.length(cell).between(least, len(reason)), folded.contains(fold_case(cell))),
             F.lit(False),
         )
     return df.where(found)

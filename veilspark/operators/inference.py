@@ -265,6 +265,6 @@ def union_tables(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), cast)
 
 
-def combined_policy(tables: list[DataFrame], preview_rows: int = 100) -> InferredPolicy:
-    """One policy for many tables, from a bounded sample of each."""
-    return infer_policy(union_tables([table.limit(preview_rows) for table in tables]))
+def combined_policy(tables: list[DataFrame]) -> InferredPolicy:
+    """One policy for many tables, from all their rows."""
+    return infer_policy(union_tables(tables))

@@ -29,8 +29,3 @@ def table_metadata(df: DataFrame, name: str) -> DataFrame:
         F.lit(name).alias("table_name"), "row_count", F.lit(len(df.columns)).alias("column_count"),
         "digest",
     )
-
-
-def safe_table_name(name: str) -> str:
-    """A table or sheet name without reserved characters, at most 31 long."""
-    return ("".join("_" if c in "[]:*?/\\" else c for c in name).strip() or "Sheet1")[:31]

@@ -11,8 +11,6 @@ from pyspark.sql import types as T
 
 from ..functions.text import canonical_string, quoted, strip
 
-_LONG_TEXT = 64
-
 # Fixed value: a clock time, optionally with seconds, fraction and AM/PM.
 CLOCK_TEXT = r"(?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d{1,6})?)?(?:\s*[AaPp][Mm])?"
 
@@ -59,26 +57,24 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
 def profile_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row per table and column, also for empty columns: counts, ratios, average
-    length, and the category tests. All tables share the same two aggregations; long
-    values travel as digests."""
+    length, and the category tests. All tables share the same two aggregations; values
+    travel as digests."""
     value = F.col("value")
-    long = F.length(value) > _LONG_TEXT
+    clock = value.contains(":") & value.rlike(rf"\A(?:{CLOCK_TEXT})\z")
     places, parts = [], []
     for name, df in tables.items():
         keyed = unpivot(df, df.columns).select(
             (F.col("place") + len(places)).alias("place"),
-            F.when(long, F.sha2(value, 256)).otherwise(value).alias("v"),
+            F.unhex(F.sha2(value, 256)).alias("v"),
             F.length(value).alias("width"),
+            clock.cast("int").alias("clock"),
         )
         parts.append(keyed)
         places += [(len(places) + i, name, column) for i, column in enumerate(df.columns)]
     cells = reduce(DataFrame.unionByName, parts)
     frequencies = cells.groupBy("place", "v").agg(
-        F.count(F.lit(1)).alias("n"), F.max("width").alias("width")
+        F.count(F.lit(1)).alias("n"), F.max("width").alias("width"), F.max("clock").alias("clock")
     )
-    # tested once per distinct value; a clock text is never long
-    clock = F.col("v").rlike(rf"\A(?:{CLOCK_TEXT})\z") & (F.col("width") <= _LONG_TEXT)
-    frequencies = frequencies.withColumn("clock", clock.cast("int"))
     n = F.col("n")
     measured = frequencies.groupBy("place").agg(
         F.sum(n).alias("non_null_count"),

@@ -8,28 +8,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL = 1_000_000
 _ACCURACY = 10_000
-_ROUNDS = 3
 
 
 def exact_quantiles(
-    df: DataFrame, value: Column, probabilities: Sequence[float], n: int | None = None, small: int = SMALL
+    df: DataFrame, value: Column, probabilities: Sequence[float]
 ) -> list[float]:
-    """Quantiles of the non-null values. A column of up to ``small`` values uses the
-    built-in aggregate, whose buffer is then bounded; a larger one is narrowed by
-    approximate sketches to a few candidate values per quantile, counted exactly."""
+    """Quantiles of the non-null values: approximate sketches narrow each to a few candidate
+    values, which are counted exactly. (The built-in one holds all values in one task.)"""
     data = df.select(value.cast("double").alias("x")).where(F.col("x").isNotNull())
-    if n is None:
-        n = data.count()
+    n, least, most = data.agg(F.count("x"), F.min("x"), F.max("x")).first()
     if n == 0:
         return []
-    points = F.array(*[F.lit(float(p)) for p in probabilities])
-    if n <= small:
-        return list(data.agg(F.percentile("x", points)).first()[0])
     positions = [p * (n - 1) for p in probabilities]
     wanted = sorted({r for at in positions for r in (math.floor(at), min(math.floor(at) + 1, n - 1))})
-    found = _order_statistics(data, n, wanted)
+    found = _order_statistics(data, n, wanted, least, most)
     result = []
     for at in positions:
         low = math.floor(at)
@@ -38,14 +31,18 @@ def exact_quantiles(
     return result
 
 
-def _order_statistics(data: DataFrame, n: int, ranks: list[int]) -> dict[int, float]:
+def _order_statistics(
+    data: DataFrame, n: int, ranks: list[int], least: float, most: float
+) -> dict[int, float]:
     """Value at each 0-based rank. Every rank keeps a bracket [low, high] that holds it;
-    each round shrinks all brackets by one sketch pass and one counting pass."""
+    each round shrinks all brackets by one sketch pass and one counting pass, until they
+    hold few rows or no round helps."""
     x = F.col("x")
-    least, most = data.agg(F.min("x"), F.max("x")).first()
     # rank -> (low, high, rows below low, rows up to high)
     brackets = {rank: (least, most, 0, n) for rank in ranks}
-    for _ in range(_ROUNDS):
+    before = None
+    while brackets != before:
+        before = dict(brackets)
         wide = [r for r, (low, high, below, upto) in brackets.items() if low < high and upto - below > _ACCURACY]
         if not wide:
             break

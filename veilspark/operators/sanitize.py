@@ -29,6 +29,8 @@ class SanitizeResult:
     key: ProjectKey = field(repr=False)
     gate: Report
     ascii_only: set[str] = field(default_factory=set)
+    #: Kept columns that show findings: nothing gives them out while the gate is shut.
+    shown: tuple[str, ...] = ()
     _text_done: bool = False
 
     @property
@@ -40,6 +42,11 @@ class SanitizeResult:
         """The safe rows, whether or not the gate passes; sinks use ``export``."""
         return self.staged.select(*self.safe_columns())
 
+    @property
+    def masked(self) -> DataFrame:
+        """The safe rows, with null in place of the columns that show findings."""
+        return self.safe.withColumns({c: F.lit(None).cast("string") for c in self.shown})
+
     def export(self) -> DataFrame:
         if not self.can_export:
             raise ExportBlocked("export is blocked: " + ", ".join(self.gate.block_reasons))
@@ -126,11 +133,16 @@ class SanitizeResult:
 
 
 def _scan_name(plan: ColumnPlan) -> str:
-    return f"__scan_{plan.name}".replace(".", "_")
+    return _work_name("scan", plan.name)
 
 
 def _draw_name(plan: ColumnPlan) -> str:
-    return f"__draw_{plan.name}".replace(".", "_")
+    return _work_name("draw", plan.name)
+
+
+def _work_name(kind: str, column: str) -> str:
+    """A working column's name, one for each column, whatever characters that has."""
+    return f"__{kind}_{column.encode().hex()}"
 
 
 def gate_columns(
@@ -213,7 +225,12 @@ def sanitize_table(
         elif plan.action == "redact_text":
             scan = scan_distinct_text if distinct_text else scan_text
             staged = scan(staged, plan.name, _scan_name(plan), key, policy.recognizers, detector)
-    return SanitizeResult(staged, final, policy, key, report, findings.ascii_only)
+    shown = tuple(
+        p.name
+        for p in final
+        if p.action == "keep" and any(findings.of(p.name, k) for k in ("pii", "entity", "custom"))
+    )
+    return SanitizeResult(staged, final, policy, key, report, findings.ascii_only, shown)
 
 
 def sanitize_tables(

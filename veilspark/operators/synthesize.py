@@ -14,7 +14,6 @@ from ..functions.numbers import coerce_numeric, is_integral
 from ..functions.text import canonical_string, quoted
 from ..keys import ProjectKey
 from .quantiles import exact_quantiles
-from .skew import skew_join
 
 MAX_BINS = 16
 MAX_STEPS = 128
@@ -58,7 +57,7 @@ def synthesize_numeric(
     bins = min(MAX_BINS, max(2, math.isqrt(n)))
     shares = [0.01 + 0.98 * i / bins for i in range(bins + 1)]
     shares[-1] = 0.99
-    edges = exact_quantiles(df, number, shares, n)
+    edges = exact_quantiles(df, number, shares)
     if edges[0] == edges[-1]:
         spread = max(abs(edges[0]) * 0.05, 1.0)
         edges[0], edges[-1] = edges[0] - spread, edges[-1] + spread
@@ -101,7 +100,7 @@ def synthesize_numeric(
         move = _free_whole_number if as_integer else _free_number
         moved = move(taken, originals.distinct(), edges[0], edges[-1])
         moved = moved.select(F.col("value").alias(drawn), F.col("free").alias(f"{out}__free"))
-        drafted = skew_join(drafted, moved, drawn)
+        drafted = drafted.join(moved, drawn, "left")
         value = F.coalesce(F.col(f"{out}__free"), value)
     return drafted.withColumn(out, value.cast("bigint") if as_integer else value).drop(
         digest, number_name, place, drawn, f"{out}__free"

@@ -26,7 +26,6 @@ from ..functions.spans import (
 from ..functions.text import canonical_string, is_missing, quoted
 from ..keys import ProjectKey
 from ..policy import Recognizer
-from .skew import skew_join
 
 EntityFinder = Callable[[str], list[tuple[int, int, str]]]
 
@@ -225,7 +224,7 @@ def scan_distinct_text(
     """Same result as ``scan_text`` with every distinct text scanned once.
 
     Texts travel once, in the distinct (combined map-side); rows join back on a
-    digest, so a text shared by many rows neither moves with them nor piles up.
+    digest, whose repeats adaptive execution splits.
     """
     dtype = df.schema[column].dataType
     digest = F.sha2(canonical_string(quoted(column), dtype), 256)
@@ -234,7 +233,7 @@ def scan_distinct_text(
     scanned = scan_text(
         texts.dropDuplicates([f"{out}__digest"]), column, out, key, recognizers, detector
     ).select(f"{out}__digest", out)
-    return skew_join(keyed, scanned, f"{out}__digest").drop(f"{out}__digest")
+    return keyed.join(scanned, f"{out}__digest", "left").drop(f"{out}__digest")
 
 
 def text_counters(out: str) -> dict[str, Column]:

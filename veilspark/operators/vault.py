@@ -12,9 +12,8 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_case
+from ..functions.text import fold_case, quoted
 from ..keys import ProjectKey, validate_identifier
-from .skew import skew_join
 
 VAULT_SCHEMA = (
     "kind string, token string, token_type string, sealed binary, key_id string, "
@@ -111,7 +110,7 @@ def seal_rows(
     now: datetime | None = None,
 ) -> DataFrame:
     """Opt-in encrypted copy of raw rows, each as JSON, kept under the same rules."""
-    raw = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("original"))
+    raw = df.select(F.to_json(F.struct(*map(quoted, df.columns)), {"ignoreNullFields": "false"}).alias("original"))
     raw = raw.withColumns({"token": F.sha2("original", 256), "token_type": F.lit("RAW")})
     stamped = _stamped(raw, key, job_id, "raw", ttl, now or datetime.now(timezone.utc))
     return _columns(stamped.withColumn("sealed", _seal(F.col("original"), key, "raw")))
@@ -130,18 +129,27 @@ def job_exists(vault: DataFrame, project_id: str, job_id: str) -> bool:
 
 
 def write_vault(rows: DataFrame, path: str, mode: str = "append") -> None:
-    rows.write.mode(mode).partitionBy("project_id", "job_id").parquet(path)
+    """Rows by project, job and batch; a job that isn't a stream has the one batch -1."""
+    if "batch_id" not in rows.columns:
+        rows = rows.withColumn("batch_id", F.lit(-1).cast("bigint"))
+    rows.write.mode(mode).partitionBy("project_id", "job_id", "batch_id").parquet(path)
+
+
+def job_path(path: str, project_id: str, job_id: str) -> str:
+    """Folder of one job's rows: identifiers are safe in paths as they are."""
+    return f"{path}/project_id={project_id}/job_id={job_id}"
 
 
 def read_vault(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(VAULT_SCHEMA).parquet(path)
+    return spark.read.schema(f"{VAULT_SCHEMA}, batch_id bigint").parquet(path).drop("batch_id")
 
 
 def open_mapping(
     vault: DataFrame, key: ProjectKey, job_id: str, purpose: str, now: datetime | None = None
 ) -> DataFrame:
-    """(token, original) of one job, after every check: the rows exist, match the key, are
-    not expired, all authenticate, and the stated purpose quotes no original value."""
+    """(token, original) of one job, after every check: the rows exist, match the key, some
+    are not expired (the others are left out: a stream's first batches expire first), all
+    authenticate, and the stated purpose quotes no original value."""
     if not isinstance(purpose, str) or not purpose.strip():
         raise ValueError("a purpose is required to open a mapping")
     now = now or datetime.now(timezone.utc)
@@ -153,7 +161,7 @@ def open_mapping(
     opened = rows.select("token", "expires_at", "key_id", _opened(key).alias("original"))
     original = F.col("original")
     quotes = (F.trim(original) != "") & F.lit(purpose.casefold()).contains(fold_case(original))
-    n, wrong_key, sealed, expired, quoted = opened.agg(
+    n, wrong_key, sealed, expired, told = opened.agg(
         F.count(F.lit(1)),
         F.count_if(F.col("key_id") != key.key_id),
         F.count_if(original.isNull()),
@@ -164,11 +172,11 @@ def open_mapping(
         raise VaultError("no mapping of this job matches the project key")
     if sealed:
         raise VaultError("mapping authentication failed")
-    if expired:
+    if expired == n:
         raise VaultError("mapping has expired")
-    if quoted:
+    if told:
         raise ValueError("purpose must not contain an original value")
-    return opened.select("token", "original")
+    return opened.where(F.col("expires_at") > F.lit(now)).select("token", "original")
 
 
 def detokenize(
@@ -180,7 +188,7 @@ def detokenize(
     mapping = open_mapping(vault, key, job_id, purpose, now)
     for token_column, out in columns.items():
         side = mapping.select(F.col("token").alias(token_column), F.col("original").alias(out))
-        df = skew_join(df, side, token_column)
+        df = df.join(side, token_column, "left")
     return df
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..keys import ProjectKey
 from ..policy import Policy, Recognizer
-from ..sources.readers import read_table
 
 # A fixed key, so that the SQL side can compute the same tokens.
 KEY = ProjectKey("acceptance", hashlib.sha256(b"veilspark acceptance queries").digest())
@@ -109,10 +108,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet")
+    """A table whose rows cost much CPU. One that is a single split, so one row group, is
+    dealt over the cores; nothing larger is moved."""
+    df = table(spark, sf_dir, name)
+    return df.repartition(spark.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder in the shared place the cluster names; a temporary one only if none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilspark-")
+    """A new folder in the shared place the cluster names. Only a session on one machine may
+    do without: its temporary folder is shared by nature."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="veilspark-")
     return f"{root.rstrip('/')}/veilspark-{uuid.uuid4().hex}"

@@ -16,9 +16,9 @@ from ..functions.checks import ip_valid, luhn_valid, thai_id_valid
 from ..functions.dates import parse_date
 from ..functions.numbers import coerce_numeric
 from ..functions.spans import find_spans, replace_spans, span_text
-from ..jobs import Stores, import_table
+from ..jobs import DuplicateJob, Stores, import_table
 from ..operators.actions import time_shift, tokenize
-from ..operators.audit import CHAIN_VERSION, HASHED, verify_audit
+from ..operators.audit import CHAIN_VERSION, HASHED, read_audit, verify_audit
 from ..operators.detection import column_findings, findings_table, leaked_values, residual_findings
 from ..operators.inference import infer_policies, infer_policy, union_tables
 from ..operators.metadata import table_metadata
@@ -261,6 +261,74 @@ def find_secrets(spark, sf):
     return counted.select("table_name", "id", F.col("n").cast("bigint").alias("n"))
 
 
+def planted_secrets(spark, sf):
+    """Documents with long tokens and mixed-case headers planted: found, and nothing left."""
+    plant = (
+        F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(" ghp_"), F.repeat(F.lit("aB3"), 100)))
+        .when(F.col("doc_id") % 4 == 1, F.concat(F.lit(" BeArEr abcdefghijklmnopqrst"), F.col("doc_id")))
+        .when(
+            F.col("doc_id") % 4 == 2,
+            F.concat(F.lit(" github_pat_"), F.repeat(F.lit("x_Y"), 200), F.lit(" TOKEN : abcdef12"), F.col("doc_id")),
+        )
+        .otherwise("")
+    )
+    documents = spread_table(spark, sf, "documents").select("doc_id", F.concat("text", plant).alias("text"))
+    scanned = scan_text(documents, "text", "scan", KEY).select(
+        "doc_id", F.col("scan.secrets").cast("bigint").alias("found"), F.col("scan.safe").alias("safe")
+    )
+    shows = F.col("safe").rlike("aB3aB3|x_Yx_Y|abcdef12[0-9]|abcdefghijklmnopqrst")
+    return scanned.select("doc_id", "found", count_secrets(F.col("safe")).cast("bigint").alias("remaining"), shows.alias("shows"))
+
+
+def null_rules(spark, sf):
+    """Nulls, blanks and decomposed letters under each action, in columns spelled otherwise
+    than in the policy."""
+    key = F.col("c_custkey")
+    name = F.when(key % 4 == 0, None).when(key % 4 == 1, "  ").otherwise(F.concat(F.lit(" e\u0301"), "c_name"))
+    customers = table(spark, sf, "customer").select(
+        key.alias("CustomerKey"),
+        name.alias("Full Name"),
+        name.alias("HashedName"),
+        name.alias("redactedName"),
+        F.when(key % 3 == 0, None).otherwise(F.col("c_acctbal")).alias("AccountBalance"),
+    )
+    policy = Policy.from_dict(
+        {
+            "security": c.NO_DETECTOR,
+            "columns": {
+                "customer_key": "keep",
+                "FullName": "tokenize",
+                "hashed name": "hash",
+                "redacted_name": "redact",
+                "account-balance": "bucket",
+            },
+            "token_domains": {"full_name": "PERSON"},
+            "bucket": {"accountbalance": c.ACCOUNT_BUCKETS},
+        }
+    )
+    return sanitize_table(customers, policy, KEY).export()
+
+
+def import_books(spark, sf):
+    """What an import leaves in the vault and the audit table, and that its id is used up."""
+    folder = work_folder(spark)
+    stores = Stores(f"{folder}/vault", f"{folder}/audit")
+    orders = spread_table(spark, sf, "orders")
+    import_table(orders, c.IMPORT_POLICY, KEY, "books", stores, "targeted", row_key=["o_orderkey"])
+    vault = read_vault(spark, stores.vault).groupBy("token_type").agg(F.count(F.lit(1)).alias("n"))
+    events = read_audit(spark, stores.audit).groupBy("event").agg(F.count(F.lit(1)).alias("n"))
+    try:
+        import_table(orders, c.IMPORT_POLICY, KEY, "books", stores, "targeted")
+        second = "accepted"
+    except DuplicateJob:
+        second = "refused"
+    return (
+        vault.select(F.lit("vault").alias("book"), F.col("token_type").alias("entry"), "n")
+        .union(events.select(F.lit("audit"), "event", "n"))
+        .union(spark.createDataFrame([("second import", second, 1)], "book string, entry string, n bigint"))
+    )
+
+
 def custom_recognizers(spark, sf):
     documents = spread_table(spark, sf, "documents").select("doc_id", "text")
     spans = documents.withColumn("spans", find_spans(F.col("text"), recognizer_rules(c.RECOGNIZERS)))
@@ -470,18 +538,19 @@ def merged_policy(spark, sf):
 
 
 def preview_customer(spark, sf):
-    preview = preview_table(table(spark, sf, "customer"), KEY, 10)
-    return preview["sample"]
+    """The ten customers of the lowest keys, sanitized."""
+    customers = table(spark, sf, "customer")
+    return preview_table(customers, KEY, 10, c.CUSTOMER_POLICY, order_by="c_custkey")["sample"]
 
 
 def quantiles(spark, sf):
-    """Nine quantiles by narrowing, as a column too big for one buffer would get."""
+    """Nine quantiles of three columns, by narrowing."""
     line = table(spark, sf, "lineitem")
     shares = [0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
     rows = [
         (column, share, round(value, 4))
         for column in ("l_extendedprice", "l_quantity", "l_discount")
-        for share, value in zip(shares, exact_quantiles(line, F.col(column), shares, small=1000))
+        for share, value in zip(shares, exact_quantiles(line, F.col(column), shares))
     ]
     return spark.createDataFrame(rows, "column_name string, share double, value double")
 
@@ -541,11 +610,14 @@ def purge_vault(spark, sf):
 
 
 def colliding_tokens(spark, sf):
-    """Collisions among tokens cut to three symbols, where they must occur."""
+    """Collisions in a mapping where every seventh customer's token also stands for another value."""
     customers = table(spark, sf, "customer")
     token = tokenize(F.col("c_name"), customers.schema["c_name"].dataType, "PERSON", KEY)
-    cut = customers.select(F.substring(token, 1, 9).alias("token"), F.col("c_name").alias("original"))
-    return token_collisions(cut)
+    mapping = customers.select(token.alias("token"), F.col("c_name").alias("original"))
+    planted = customers.where(F.col("c_custkey") % 7 == 0).select(
+        token.alias("token"), F.concat(F.lit("planted "), "c_name").alias("original")
+    )
+    return token_collisions(mapping.union(planted))
 
 
 def raw_retention(spark, sf):
@@ -697,13 +769,16 @@ def written_report(spark, sf):
     )
 
 
-def _event_stream(spark, sf):
+def _event_stream(spark, sf, folder=None, job="stream-job"):
     """The event table read as a stream, through the gate of every batch."""
+    vault = f"{folder or work_folder(spark)}/vault"
     folder = work_folder(spark)
-    source = f"{sf}/events.parquet*"  # a pattern: the table may be one file or a folder
-    stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(source)
-    paths = StreamPaths(f"{folder}/out", f"{folder}/checkpoint", f"{folder}/vault", f"{folder}/report")
-    sanitize_stream(stream, c.EVENTS_POLICY, KEY, "stream-job", paths).awaitTermination()
+    events = table(spark, sf, "events")
+    for part in range(3):  # so that there are several batches, with users and types in common
+        events.where(F.col("event_id") % 3 == part).write.parquet(f"{folder}/in/part={part}")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/part=*")
+    paths = StreamPaths(f"{folder}/out", f"{folder}/checkpoint", vault, f"{folder}/report")
+    sanitize_stream(stream, c.EVENTS_POLICY, KEY, job, paths).awaitTermination()
     return paths
 
 
@@ -722,6 +797,35 @@ def stream_tokens(spark, sf):
     )
 
 
+def stream_quarantine(spark, sf):
+    """A batch that shows mail addresses is held back, and that column with it."""
+    folder = work_folder(spark)
+    events = table(spark, sf, "events").select("event_id", "event_type")
+    for part in range(3):
+        kind = F.concat("event_type", F.lit(" a@b.co")) if part == 1 else F.col("event_type")
+        rows = events.where(F.col("event_id") % 3 == part).select("event_id", kind.alias("event_type"))
+        rows.write.parquet(f"{folder}/in/part={part}")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/part=*")
+    policy = Policy.from_dict({"security": c.NO_DETECTOR, "columns": {"event_id": "tokenize", "event_type": "keep"}})
+    paths = StreamPaths(f"{folder}/out", f"{folder}/checkpoint", quarantine=f"{folder}/held")
+    sanitize_stream(stream, policy, KEY, "held-job", paths).awaitTermination()
+
+    def counted(place, path):
+        rows = read_stream_table(spark, path)
+        return rows.agg(F.lit(place).alias("place"), F.count(F.lit(1)).alias("rows"), F.count("event_type").alias("shown"))
+
+    return counted("out", paths.out).union(counted("quarantine", paths.quarantine))
+
+
+def vault_of_two_streams(spark, sf):
+    """Two jobs over the same events in one vault: each has all its tokens, once."""
+    folder = work_folder(spark)
+    for job in ("first", "second"):
+        _event_stream(spark, sf, folder, job)
+    vault = read_vault(spark, f"{folder}/vault")
+    return vault.groupBy("job_id").agg(F.count(F.lit(1)).alias("stored"), F.count_distinct("token").alias("tokens"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -734,6 +838,6 @@ QUERIES: dict[str, Query] = {
         merged_policy, preview_customer, quantiles, metadata, vault_mapping, detokenize_orders,
         purge_vault, colliding_tokens, raw_retention, audit_chain, source_formats, decode_files,
         decode_archives, written_report, stream_events,
-        stream_report, stream_tokens,
+        stream_report, stream_tokens, planted_secrets, null_rules, import_books, stream_quarantine, vault_of_two_streams,
     )
 }

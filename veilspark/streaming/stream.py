@@ -9,19 +9,17 @@ from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.numbers import is_integral
 from ..functions.text import quoted
-from ..keys import ProjectKey
+from ..keys import ProjectKey, validate_identifier
 from ..operators.actions import action_column
 from ..operators.report import ExportBlocked
 from ..operators.sanitize import SanitizeResult, sanitize_table
 from ..operators.text_scan import EntityDetector, scan_text
-from ..operators.vault import VAULT_SCHEMA, seal_mapping
-from ..policy import Policy, Recognizer, resolve_actions
-
-
-# a token is at most 81 bytes, so this is a broadcast of 16 MB at most
-BROADCAST_TOKENS = 200_000
+from ..operators.vault import VAULT_SCHEMA, job_path, seal_mapping, token_collisions
+from ..policy import ColumnPlan, Policy, Recognizer, resolve_actions
 
 
 @dataclass(frozen=True)
@@ -55,15 +53,18 @@ def safe_stream(df: DataFrame, policy: Policy, key: ProjectKey) -> DataFrame:
     return df.select(*columns)
 
 
-def stable_columns(safe: DataFrame, planned: Sequence[str]) -> DataFrame:
-    """Safe rows with every planned column: a column lost to a secret found in this batch
-    is null, so the stream keeps its schema."""
-    return safe.select(
-        *[
-            quoted(name) if name in safe.columns else F.lit(None).cast("string").alias(name)
-            for name in planned
-        ]
-    )
+def stable_columns(safe: DataFrame, plans: Sequence[ColumnPlan], hidden: Sequence[str] = ()) -> DataFrame:
+    """Safe rows with every planned column in a type that the schema alone decides. A column
+    lost to a secret found in this batch, or hidden, is null, so the stream keeps its schema."""
+    columns = []
+    for plan in plans:
+        kind = plan.dtype if plan.action == "keep" else T.StringType()
+        if plan.action == "synthesize":  # whether all numbers are whole is chance in a batch
+            kind = T.LongType() if is_integral(plan.dtype) else T.DoubleType()
+        there = plan.name in safe.columns and plan.name not in hidden
+        value = quoted(plan.name) if there else F.lit(None)
+        columns.append(value.cast(kind).alias(plan.name))
+    return safe.select(*columns)
 
 
 def sanitize_stream(
@@ -79,27 +80,23 @@ def sanitize_stream(
     trigger: dict | None = None,
 ):
     """Start a query that gates every batch. A blocked batch goes to the quarantine folder
-    (already sanitized) or, without one, fails the query. New tokens enter the vault once;
-    report rows carry their batch id and add up on read."""
+    (sanitized, and without the columns that still show findings) or, without one, fails the
+    query. New tokens enter the vault once a job; report rows carry their batch id and add up
+    on read."""
     policy = replace(policy, recognizers=(*policy.recognizers, *recognizers))
     schema = df.schema
-    if paths.vault:  # an empty first part, so that the first batch has a vault to read
-        empty = df.sparkSession.createDataFrame([], VAULT_SCHEMA)
-        empty.write.mode("overwrite").parquet(f"{paths.vault}/batch_id=-1")
-
-    planned = [
-        p.name
-        for p in resolve_actions(schema, policy)
-        if p.action != "drop" and not p.secret_name
-    ]
+    validate_identifier(job_id, "job_id")
+    own = job_path(paths.vault, key.project_id, job_id) if paths.vault else None
+    if own:  # an empty first part, so that the first batch has a vault to read
+        _vault_part(df.sparkSession.createDataFrame([], VAULT_SCHEMA)).write.mode("append").parquet(f"{own}/batch_id=-1")
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()  # gate, rows and tokens each read it
-        try:
-            gated(batch, batch_id)
-        finally:
-            batch.unpersist()
+    plans = [
+        p for p in resolve_actions(schema, policy) if p.action != "drop" and not p.secret_name
+    ]
+    planned = [p.name for p in plans]
 
+    # not persisted: gate, rows and tokens read the source again rather than leave originals
+    # on executor disks
     def gated(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         result = sanitize_table(batch, policy, key, mode, detector=detector, row_key=row_key)
@@ -110,51 +107,45 @@ def sanitize_stream(
             reasons = result.gate.block_reasons or [f"secret in {name}" for name in lost]
             raise ExportBlocked(f"batch {batch_id} is blocked: " + ", ".join(reasons))
         target = paths.quarantine if blocked else paths.out
-        stable_columns(safe, planned).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        rows = stable_columns(safe, plans, result.shown if blocked else ())
+        rows.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
         if seen is not None:
             result.add_text_counts(seen.get)
         if paths.report:
             result.report().counters(spark).coalesce(1).write.mode("overwrite").parquet(
                 f"{paths.report}/batch_id={batch_id}"
             )
-        if paths.vault:
+        if own:
             store_tokens(spark, result, batch_id)
 
     def store_tokens(spark: SparkSession, result: SanitizeResult, batch_id: int) -> None:
-        mapping = result.mapping().persist()  # read for the lookup and for the rows
-        # without tokens from text, a batch mints at most one per cell
-        minted = result.gate.rows * sum(p.action == "tokenize" for p in result.plans)
-        few = not policy.recognizers and minted <= BROADCAST_TOKENS
-        fresh = new_tokens(spark, mapping, paths.vault, batch_id, few)
+        mapping = result.mapping()
+        if token_collisions(mapping).take(1):
+            raise ValueError("token collision detected")
+        fresh = new_tokens(spark, mapping, own, batch_id)
         ttl = timedelta(days=policy.security.mapping_ttl_days)
-        sealed = seal_mapping(fresh, key, job_id, ttl)
-        sealed.write.mode("overwrite").parquet(f"{paths.vault}/batch_id={batch_id}")
-        mapping.unpersist()
+        sealed = _vault_part(seal_mapping(fresh, key, job_id, ttl))
+        sealed.write.mode("overwrite").parquet(f"{own}/batch_id={batch_id}")
 
     return (
-        df.writeStream.foreachBatch(run)
+        df.writeStream.foreachBatch(gated)
         .option("checkpointLocation", paths.checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
-def vault_columns() -> str:
-    return f"{VAULT_SCHEMA}, batch_id bigint"
-
+def _vault_part(rows: DataFrame) -> DataFrame:
+    """Vault rows without the columns that the folder's path holds."""
+    return rows.drop("project_id", "job_id")
 
-def new_tokens(
-    spark: SparkSession, mapping: DataFrame, vault: str, batch_id: int, few: bool = False
-) -> DataFrame:
-    """Tokens no earlier batch stored; a rerun of a batch does not see its own rows.
 
-    The vault outgrows any batch, so it is filtered to the batch's tokens first: by a
-    broadcast where their number is known to be ``few``, else by a shuffle."""
-    stored = spark.read.schema(vault_columns()).parquet(vault)
+def new_tokens(spark: SparkSession, mapping: DataFrame, own: str, batch_id: int) -> DataFrame:
+    """Tokens that no earlier batch of the job stored, of which only the token column is
+    read; a rerun of a batch does not see its own rows."""
+    stored = spark.read.schema("token string, batch_id bigint").parquet(own)
     stored = stored.where(F.col("batch_id") < batch_id).select("token")
-    tokens = mapping.select("token")
-    known = stored.join(F.broadcast(tokens) if few else tokens, "token", "left_semi")
-    return mapping.join(known, "token", "left_anti")
+    return mapping.join(stored, "token", "left_anti")
 
 
 def read_stream_table(spark: SparkSession, path: str) -> DataFrame:
