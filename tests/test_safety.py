@@ -71,6 +71,18 @@ def test_preview_hides_columns_that_show_findings(spark, key):
     assert preview["report"].blocked
 
 
+def test_originals_that_synthesis_leaves_are_counted(spark, key):
+    df = spark.createDataFrame([(i, i) for i in range(300)], "id int, n int")
+    policy = Policy.from_dict({**OPEN, "columns": {"id": "hash", "n": "synthesize"}})
+    result = sanitize_table(df, policy, key, row_key=["id"])
+    rows = [r.n for r in result.export().collect()]
+    left = sum(n in range(300) for n in rows)
+    assert left > 0 and result.report().originals_left == {"n": left}
+    assert ("synthesis", "original_left in n", left) in [tuple(r) for r in result.report().counters(spark).collect()]
+    sparse = spark.createDataFrame([(i, i * 1000) for i in range(300)], "id int, n int")
+    assert sanitize_table(sparse, policy, key, row_key=["id"]).report().originals_left == {"n": 0}
+
+
 def test_folded_cells_are_found_in_a_reason(spark):
     df = spark.createDataFrame([("STRASSE",), ("other",)], "cell string")
     assert [r.cell for r in leaked_values(df, "straße").collect()] == ["STRASSE"]

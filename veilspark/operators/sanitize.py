@@ -15,7 +15,7 @@ from . import report as r
 from .actions import action_column, subject_columns, tokenize
 from .detection import VISIBLE, Findings, check_override, column_findings, residual_findings
 from .report import ExportBlocked, Report, ReviewOverride
-from .synthesize import synthesize_numeric
+from .synthesize import left_name, synthesize_numeric
 from .text_scan import EntityDetector, scan_distinct_text, scan_text, text_counters
 
 
@@ -70,12 +70,17 @@ class SanitizeResult:
         return columns
 
     def text_aggregates(self) -> list:
-        """Counters of the free-text columns, for a report or an observed write."""
+        """Counters of free-text columns, and of originals that synthesis left in place, for a
+        report or an observed write."""
         return [
             column.alias(f"{kind}_{plan.name}")
             for plan in self.plans
             if plan.action == "redact_text"
             for kind, column in text_counters(_scan_name(plan)).items()
+        ] + [
+            F.count_if(F.col(left_name(_draw_name(plan)))).alias(f"left_{plan.name}")
+            for plan in self.plans
+            if plan.action == "synthesize"
         ]
 
     def observed(self) -> tuple[DataFrame, Observation | None]:
@@ -94,6 +99,8 @@ class SanitizeResult:
             if plan.action == "redact_text":
                 kinds = ("secrets", "pii", "entities", "custom")
                 self.gate.add_text(*[int(counts.get(f"{kind}_{plan.name}") or 0) for kind in kinds])
+            elif plan.action == "synthesize":
+                self.gate.originals_left[plan.name] = int(counts.get(f"left_{plan.name}") or 0)
         self._text_done = True
 
     def report(self) -> Report:

@@ -42,7 +42,8 @@ def synthesize_numeric(
     df: DataFrame, column: str, out: str, key: ProjectKey, row_key: Sequence[str] | None = None
 ) -> DataFrame:
     """Add ``out``: for each number a draw from a random quantile bin between q01 and q99,
-    moved off any original value; null stays null. Whole-number columns give whole numbers."""
+    moved off any original value; null stays null. Whole-number columns give whole numbers.
+    A draw with no free value near stays as it is, and ``left_name(out)`` says so."""
     dtype = df.schema[column].dataType
     number = coerce_numeric(quoted(column), dtype)
     nearest = F.rint(number)
@@ -51,7 +52,7 @@ def synthesize_numeric(
         F.count(F.lit(1)), F.count(number), F.bool_and(whole), F.max(F.abs(number))
     ).first()
     if n == 0:
-        return df.withColumn(out, F.lit(None).cast("double"))
+        return df.withColumns({left_name(out): F.lit(False), out: F.lit(None).cast("double")})
     as_integer = is_integral(dtype) or (bool(all_whole) and size < 2.0**53)
 
     bins = min(MAX_BINS, max(2, math.isqrt(n)))
@@ -93,18 +94,26 @@ def synthesize_numeric(
         .where(F.col("draws") & ~F.col("only_draws"))
         .select("value")
     )
-    value = F.col(drawn)
+    value, stays = F.col(drawn), F.lit(False)
     # not checkpointed: the values are originals and should not be written in the clear
     if taken.take(1):
         originals = drafted.select(F.col(number_name).alias("value")).where(F.col("value").isNotNull())
         move = _free_whole_number if as_integer else _free_number
         moved = move(taken, originals.distinct(), edges[0], edges[-1])
-        moved = moved.select(F.col("value").alias(drawn), F.col("free").alias(f"{out}__free"))
+        moved = moved.select(
+            F.col("value").alias(drawn), F.col("free").alias(f"{out}__free"), F.lit(True).alias(f"{out}__taken")
+        )
         drafted = drafted.join(moved, drawn, "left")
         value = F.coalesce(F.col(f"{out}__free"), value)
-    return drafted.withColumn(out, value.cast("bigint") if as_integer else value).drop(
-        digest, number_name, place, drawn, f"{out}__free"
-    )
+        stays = F.col(f"{out}__taken") & F.col(f"{out}__free").isNull()
+    return drafted.withColumns(
+        {left_name(out): F.coalesce(stays, F.lit(False)), out: value.cast("bigint") if as_integer else value}
+    ).drop(digest, number_name, place, drawn, f"{out}__free", f"{out}__taken")
+
+
+def left_name(out: str) -> str:
+    """The column that says whether a drawn value is an original that could not be moved."""
+    return f"{out}__left"
 
 
 def _free_whole_number(taken: DataFrame, originals: DataFrame, low: float, high: float) -> DataFrame:
