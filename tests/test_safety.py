@@ -133,6 +133,20 @@ def test_gzipped_files_sizes_and_gaps_in_numbers(spark, tmp_path):
     assert sorted(map(tuple, df.collect()), key=str) == [(1, None, "x", 2.5), (7, 9, "y", 1000.0), (None, 3, None, None)]
 
 
+def test_names_that_decide_spare_the_profile(spark, monkeypatch):
+    from veilspark.operators import inference
+
+    seen = []
+    original = inference.profile_tables
+    monkeypatch.setattr(inference, "profile_tables", lambda tables: seen.append({n: t.columns for n, t in tables.items()}) or original(tables))
+    df = spark.createDataFrame([("a", "x", 1, "n")], ["email", "label", "customer id", "note"])
+    policy = inference.infer_policy(df)
+    assert seen == [{"table": ["label"]}]
+    assert policy.columns == {"email": "tokenize", "label": policy.columns["label"], "customer id": "tokenize", "note": "redact_text"}
+    inference.infer_policy(df.drop("label"))
+    assert len(seen) == 1
+
+
 def test_long_names_have_domains_of_their_own():
     a, b = (token_domain("part_" * 30 + end) for end in "ab")
     assert a != b and len(a) == len(b) == 64

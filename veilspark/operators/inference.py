@@ -1,4 +1,5 @@
-"""Draft a policy from a table: one profiling job, then an ordered list of rules."""
+"""Draft a policy from a table by an ordered list of rules. Names and types decide what they
+can; one profiling job reads the other columns."""
 
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..functions.numbers import is_number
+from ..functions.text import quoted
 from ..policy import is_secret_column, schema_type
 from .naming import canonical_name, name_features, token_domain
 from .profile import profile_tables
@@ -26,6 +28,15 @@ class Decision:
     role: str
 
 
+class NeedsValues(LookupError):
+    """A rule asks for the values of a column that was not profiled."""
+
+
+class _Unprofiled(dict):
+    def __missing__(self, feature: str):
+        raise NeedsValues(feature)
+
+
 @dataclass(frozen=True)
 class Evidence:
     """All that is known about one column when the rules run."""
@@ -40,7 +51,8 @@ class Evidence:
         return self.features["canonical_name"] in names
 
     def __getitem__(self, feature: str) -> bool:
-        return bool(self.features.get(feature, self.profile.get(feature)))
+        known = self.features if feature in self.features else self.profile
+        return bool(known[feature])
 
     @property
     def clock_values(self) -> bool:
@@ -217,32 +229,52 @@ class InferredPolicy:
 
 
 def infer_policy(df: DataFrame) -> InferredPolicy:
-    """Profile all columns in one job, then let the first matching rule decide each."""
+    """Let the first matching rule decide each column."""
     return infer_policies({"table": df})["table"]
 
 
 def infer_policies(tables: Mapping[str, DataFrame]) -> dict[str, InferredPolicy]:
-    """A policy for each of many tables, all profiled by the same job. What reaches the
-    driver is one row per column."""
-    profiles = {
-        (row["table_name"], row["column_name"]): row.asDict()
-        for row in profile_tables(tables).collect()
-    }
+    """A policy for each of many tables. Columns that no rule can decide by name and type
+    are profiled, all by the same job; one row for each of them reaches the driver."""
+    open_columns = {}
+    for name, df in tables.items():
+        subject = bool(_subjects(df))
+        undecided = [c.name for c in df.schema.fields if _matching(c, _Unprofiled(), subject) is None]
+        if undecided:
+            open_columns[name] = df.select(*map(quoted, undecided))
+    profiles = (
+        {
+            (row["table_name"], row["column_name"]): row.asDict()
+            for row in profile_tables(open_columns).collect()
+        }
+        if open_columns
+        else {}
+    )
     return {
-        name: _decide(df, {c: profiles[name, c] for c in df.columns}) for name, df in tables.items()
+        name: _decide(df, {c: profiles.get((name, c), _Unprofiled()) for c in df.columns})
+        for name, df in tables.items()
     }
 
 
+def _subjects(df: DataFrame) -> list[str]:
+    return [name for name in df.columns if canonical_name(name) == "customer_id"]
+
+
+def _matching(column: T.StructField, profile: Mapping[str, Any], has_subject: bool) -> Rule | None:
+    """The first rule that holds; none if one before it asks for values that are not there."""
+    evidence = Evidence(column.name, column.dataType, name_features(column.name), profile, has_subject)
+    try:
+        return next(rule for rule in RULES if rule.when(evidence))
+    except NeedsValues:
+        return None
+
+
 def _decide(df: DataFrame, profiles: Mapping[str, Mapping[str, Any]]) -> InferredPolicy:
-    subjects = [name for name in df.columns if canonical_name(name) == "customer_id"]
+    subjects = _subjects(df)
     decisions = []
     for column in df.schema.fields:
-        features = name_features(column.name)
-        evidence = Evidence(
-            column.name, column.dataType, features, profiles[column.name], bool(subjects)
-        )
-        rule = next(rule for rule in RULES if rule.when(evidence))
-        canonical = features["canonical_name"]
+        rule = _matching(column, profiles[column.name], bool(subjects))
+        canonical = canonical_name(column.name)
         reason = rule.reason.format(canonical=canonical)
         decisions.append(
             Decision(column.name, canonical, rule.action, rule.confidence, reason, rule.role)
