@@ -13,7 +13,7 @@ from .operators.sanitize import (
     sanitize_text,
 )
 from .operators.text_scan import EntityDetector
-from .operators.vault import detokenize, purge_expired
+from .operators.vault import purge_expired
 from .policy import Policy, Recognizer
 from .sinks.writers import write_safe
 from .sources.preview import preview_file, preview_table
@@ -32,7 +32,6 @@ __all__ = [
     "StreamPaths",
     "column_findings",
     "combined_policy",
-    "detokenize",
     "import_file",
     "import_table",
     "infer_policies",

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .keys import ProjectKey, validate_identifier
-from .operators.audit import append_event, read_audit
+from .operators.audit import append_event, job_chain, read_audit
 from .operators.report import ReviewOverride
 from .operators.sanitize import SanitizeResult, sanitize_table, sanitize_text
 from .operators.text_scan import EntityDetector
@@ -53,7 +53,7 @@ def vault_exists(spark: SparkSession, stores: Stores, project_id: str, job_id: s
 def was_run(spark: SparkSession, stores: Stores, project_id: str, job_id: str) -> bool:
     """Whether a job left vault rows or, having nothing to store, its event."""
     events = read_audit(spark, stores.audit).where(
-        (F.col("event") == "import_sanitized") & (F.col("project_id") == project_id) & (F.col("job_id") == job_id)
+        (F.col("chain") == job_chain(project_id, job_id)) & (F.col("event") == "import_sanitized")
     )
     return vault_exists(spark, stores, project_id, job_id) or bool(events.select("seq").take(1))
 
@@ -103,6 +103,7 @@ def import_table(
             "review_actor": override.actor if override else None,
             "review_reason": override.reason if override else None,
         },
+        job_chain(key.project_id, job_id),
     )
     return result
 
@@ -145,5 +146,6 @@ def open_tokens(
             "artifact_id": f"{key.project_id}/{job_id}",
             "purpose": purpose.strip(),
         },
+        job_chain(key.project_id, job_id),
     )
     return opened

@@ -56,7 +56,8 @@ def append_event(
     spark: SparkSession, path: str, event: dict[str, Any], chain: str = "default",
     timestamp: str | None = None,
 ) -> None:
-    """Append one event to the chain. The table has one writer, as a log has."""
+    """Append one event to the chain. A chain has one writer, as a log has; chains lie in
+    folders of their own, so that writers of different ones neither meet nor read much."""
     payload = checked_event(event)
     tail = read_audit(spark, path).where(F.col("chain") == chain)
     last = tail.agg(F.max("seq").alias("seq"), F.max_by("event_hash", "seq").alias("hash")).first()
@@ -72,12 +73,18 @@ def append_event(
     }
     spark.createDataFrame([row], AUDIT_SCHEMA).withColumn("event_hash", event_hash()).coalesce(
         1
-    ).write.mode("append").parquet(path)
+    ).write.mode("append").partitionBy("chain").parquet(path)
+
+
+def job_chain(project_id: str, job_id: str) -> str:
+    """The chain of one job's events."""
+    return f"{project_id}.{job_id}"
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    names = [part.split(" ")[0] for part in AUDIT_SCHEMA.split(", ")]
     try:
-        return spark.read.schema(AUDIT_SCHEMA).parquet(path)
+        return spark.read.schema(AUDIT_SCHEMA).parquet(path).select(*names)
     except Exception as error:  # a log that was never written is empty
         if "PATH_NOT_FOUND" not in str(error):
             raise

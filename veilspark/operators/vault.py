@@ -184,7 +184,7 @@ def detokenize(
     purpose: str, now: datetime | None = None,
 ) -> DataFrame:
     """Add the original of each token column (``{token column: new column}``); tokens the
-    vault does not know stay null. The caller records the access in the audit table."""
+    vault does not know stay null. ``jobs.open_tokens`` does this and records it."""
     mapping = open_mapping(vault, key, job_id, purpose, now)
     for token_column, out in columns.items():
         side = mapping.select(F.col("token").alias(token_column), F.col("original").alias(out))
