@@ -67,11 +67,15 @@ def test_gradients():
         return -M.token_logs(w, states.reshape(-1, M.UNITS)[at], goals.ravel()[at]).sum() / len(at)
 
     after = {k: v.copy() for k, v in w.items()}
-    sums = {k: np.zeros_like(v) for k, v in w.items()}
+    sums = {"input": np.zeros_like(w["input"]), "dense": np.zeros_like(M._like(w)[0])}
     with np.errstate(all="ignore"):
         M._descend(after, sums, ids, fresh, goals, real, np.zeros((ids.shape[1], M.UNITS), np.float32), 0.0)
+    squares, at = {"input": sums["input"]}, 0
+    for name in M._DENSE:
+        squares[name] = sums["dense"][at : at + w[name].size]
+        at += w[name].size
     for name in w:
-        flat = sums[name].ravel()
+        flat = squares[name].ravel()
         for at in np.argsort(-flat)[[0, 1, 5, 9]]:
             other = {k: v.copy() for k, v in w.items()}
             other[name].ravel()[at] += 1e-3

@@ -69,3 +69,10 @@ def bounded(df: DataFrame, most: int) -> bool:
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """df, to be broadcast if it has at most `most` rows (of a few numbers or short texts each), else joined."""
     return F.broadcast(df) if bounded(df, most) else df
+
+
+def hashed_share(hashed: Column, most: int, of: int) -> Column:
+    """About `most` of the `of` rows, evenly by a 64-bit hash: a test that each row passes or not by itself, where a
+    sorted limit would make every task send that many rows."""
+    share = min(1.0, most / max(of, 1))
+    return hashed <= F.lit(min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64))))

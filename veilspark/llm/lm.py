@@ -10,7 +10,7 @@ Counts cover all training documents and are summed in Spark. The words frequent
 the input is broadcast.
 
 Training is numpy, by truncated backpropagation: windows of `steps` tokens, gradients end at a window, the state
-goes on to the next one of the document. It starts on the driver from `first_docs` documents picked by hash; then
+goes on to the next one of the document. It starts on the driver from about `first_docs` documents picked by hash; then
 each task descends over a fixed share of its training documents, one in `one_in` by hash, so that training grows
 with the input, and the tasks' weights are averaged by tokens, in two levels.
 
@@ -27,13 +27,14 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, word_pieces
+from .common import hashed_share, stage, word_pieces
 
 CLASSES, MEMBERS, UNITS = 64, 64, 16
 GROUPS = 511  # of words outside the vocabulary; with the end they fill the first classes
@@ -44,6 +45,7 @@ _TRAINED = 64  # lanes of training: few, for many steps
 _TOKENS = 4_000_000  # that a task holds at once
 _DISTINCT = 400_000  # counted words that a task holds
 _CHUNK = 1 << 14
+_DENSE = ("state", "class", "class_bias", "member", "member_bias")
 
 
 def group_of(word: bytes) -> int:
@@ -101,12 +103,20 @@ def _run(w: dict[str, np.ndarray], ids: np.ndarray, fresh: np.ndarray, h: np.nda
     return states, h
 
 
-def _log_softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp(x - max) normalized, and the logarithm of the sum that x must lose."""
-    top = x.max(axis=1)
-    x -= top[:, None]
+def _safe(w: dict[str, np.ndarray]) -> bool:
+    """Whether no logit can leave the range of exp: units lie within -1 and 1, so weights bound the logits."""
+    parts = ((w["class"], w["class_bias"], 0), (w["member"], w["member_bias"], 1))
+    return all(float((np.abs(m).sum(axis=axis) + np.abs(b)).max()) < 80 for m, b, axis in parts)
+
+
+def _exp_sums(x: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """x becomes its exponentials, of differences to each row's largest if not safe; their sums, and the logarithm
+    by which a row's logits exceed log-probabilities."""
+    top = 0 if safe else x.max(axis=1)
+    if not safe:
+        x -= top[:, None]
     np.exp(x, out=x)
-    total = x.sum(axis=1)
+    total = x @ np.ones(x.shape[1], x.dtype)
     return total, top + np.log(total)
 
 
@@ -120,19 +130,28 @@ def _by_class(of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def token_logs(w: dict[str, np.ndarray], states: np.ndarray, goals: np.ndarray) -> np.ndarray:
     """Natural log-probability of each goal token; states [n, units]."""
-    of, member = goals >> 6, goals & 63
+    of, member, safe = goals >> 6, goals & 63, _safe(w)
     x = states @ w["class"]
     x += w["class_bias"]
     own = x[np.arange(len(of)), of]
-    logs = own - _log_softmax(x)[1]
+    logs = own - _exp_sums(x, safe)[1]
     for c, at in _by_class(of):
         x = states[at] @ w["member"][c]
         x += w["member_bias"][c]
         own = x[np.arange(len(at)), member[at]]
-        logs[at] += own - _log_softmax(x)[1]
+        logs[at] += own - _exp_sums(x, safe)[1]
     return logs
 
 
+def _like(w: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Zeros for all weights but the inputs, as one array and as parts of it."""
+    every, parts, at = np.zeros(sum(w[k].size for k in _DENSE), w["state"].dtype), {}, 0
+    for name in _DENSE:
+        parts[name] = every[at : at + w[name].size].reshape(w[name].shape)
+        at += w[name].size
+    return every, parts
+
+
 def _descend(w: dict, sums: dict, ids: np.ndarray, fresh: np.ndarray, goals: np.ndarray, real: np.ndarray, h: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
     """One window of truncated backpropagation; returns the state after it and the summed log-probability."""
     keep: list = []
@@ -141,30 +160,33 @@ def _descend(w: dict, sums: dict, ids: np.ndarray, fresh: np.ndarray, goals: np.
     units = UNITS
     at = np.flatnonzero(real.ravel())
     flat, goal = states.reshape(-1, units)[at], goals.ravel()[at]
-    of, member = goal >> 6, goal & 63
+    of, member, safe = goal >> 6, goal & 63, _safe(w)
     n = np.float32(len(at))
     x = flat @ w["class"] + w["class_bias"]
     own = x[np.arange(len(of)), of]
-    total, lost = _log_softmax(x)
+    total, lost = _exp_sums(x, safe)
     logs = own - lost
     x /= total[:, None]
     x[np.arange(len(of)), of] -= 1
-    grads = {"class": flat.T @ x, "class_bias": x.sum(axis=0), "member": np.zeros_like(w["member"]), "member_bias": np.zeros_like(w["member_bias"])}
+    every, grads = _like(w)
+    np.matmul(flat.T, x, out=grads["class"])
+    x.sum(axis=0, out=grads["class_bias"])
     d_flat = x @ w["class"].T
     for c, rows in _by_class(of):
         part = flat[rows]
         x = part @ w["member"][c] + w["member_bias"][c]
         own = x[np.arange(len(rows)), member[rows]]
-        total, lost = _log_softmax(x)
+        total, lost = _exp_sums(x, safe)
         logs[rows] += own - lost
         x /= total[:, None]
         x[np.arange(len(rows)), member[rows]] -= 1
-        grads["member"][c], grads["member_bias"][c] = part.T @ x, x.sum(axis=0)
+        np.matmul(part.T, x, out=grads["member"][c])
+        x.sum(axis=0, out=grads["member_bias"][c])
         d_flat[rows] += x @ w["member"][c].T
     d_states = np.zeros((time * lanes, units), np.float32)
     d_states[at] = d_flat
     d_states = d_states.reshape(time, lanes, units)
-    u, du, dh = w["state"], np.zeros_like(w["state"]), np.zeros((lanes, units), np.float32)
+    u, du, dh = w["state"], grads["state"], np.zeros((lanes, units), np.float32)
     d_x = np.empty((time, lanes, 3 * units), np.float32)
     live = 1 - fresh.astype(np.float32)
     gates, new_u = np.ascontiguousarray(u[:, : 2 * units].T), np.ascontiguousarray(u[:, 2 * units :].T)
@@ -183,7 +205,6 @@ def _descend(w: dict, sums: dict, ids: np.ndarray, fresh: np.ndarray, goals: np.
         du[:, 2 * units :] += rh.T @ d_new
         du[:, : 2 * units] += h0.T @ both
         dh = (dh * (1 - z) + d_rh * r + both @ gates) * live[t][:, None]
-    grads["state"] = du
     order = np.argsort(ids.ravel(), kind="stable")
     tokens = ids.ravel()[order]
     first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
@@ -191,10 +212,15 @@ def _descend(w: dict, sums: dict, ids: np.ndarray, fresh: np.ndarray, goals: np.
     d_input = np.add.reduceat(d_x.reshape(-1, 3 * units)[order], first, axis=0) / n
     sums["input"][rows] += d_input**2
     w["input"][rows] -= rate * d_input / np.sqrt(sums["input"][rows])
-    for name, g in grads.items():
-        g /= n
-        sums[name] += g**2
-        w[name] -= rate * g / np.sqrt(sums[name])
+    every /= n
+    seen = sums["dense"]
+    seen += every * every
+    every /= np.sqrt(seen)
+    every *= -rate
+    at = 0
+    for name in _DENSE:
+        w[name] += every[at : at + w[name].size].reshape(w[name].shape)
+        at += w[name].size
     return last, float(logs.sum())
 
 
@@ -231,7 +257,7 @@ class Lanes:
 
 def fresh_sums(w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Sums of squared gradients, by which steps shrink."""
-    return {k: np.full_like(v, 1e-5) for k, v in w.items()}
+    return {"input": np.full_like(w["input"], 1e-5), "dense": _like(w)[0] + np.float32(1e-5)}
 
 
 def train_on(w: dict[str, np.ndarray], docs: list[np.ndarray], steps: int, rate: float, sums: dict[str, np.ndarray]) -> float:
@@ -340,7 +366,7 @@ class Reader:
         those outside the vocabulary; the group tokens."""
         tokens, tail, known, base, own = [], [], 0, 0.0, 0.0
         for words in word_pieces((text or b"").lower()):
-            at = np.fromiter((self.at.get(w, -1) for w in words), np.int64, len(words))
+            at = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
             ids = self.token[at]
             missing = np.flatnonzero(at < 0)
             if len(missing):
@@ -379,11 +405,10 @@ def train(docs: DataFrame, counts: Counts, steps: int = 16, rate: float = 0.2, f
     """The network's weights from training documents (doc_id, text binary)."""
     w = first_weights(counts.unigram)
     order = F.xxhash64("text", "doc_id")
-    sample = docs.where(F.length("text") <= first_chars).orderBy(order, "doc_id").limit(first_docs).select("text").collect()
-    if not sample:
-        return w
+    picked = docs.where((F.length("text") <= first_chars) & hashed_share(order, first_docs, counts.docs))
+    sample = picked.groupBy(order.alias("order")).agg(F.min("text").alias("text")).collect()
     reader = Reader(counts.words, counts.head)
-    train_on(w, [reader.read(bytes(r.text))[0] for r in sample], steps, rate, fresh_sums(w))
+    train_on(w, [reader.read(bytes(r.text))[0] for r in sorted(sample)], steps, rate, fresh_sums(w))
     shared = docs.sparkSession.sparkContext.broadcast((counts.words, counts.head, w))
     share = docs.where(F.pmod(order, F.lit(one_in)) == 0).select("text", F.spark_partition_id().alias("part"))
 
