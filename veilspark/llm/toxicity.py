@@ -6,8 +6,8 @@ apart, cover the whole text. In a window two gated recurrent layers read the wor
 weighs their states, and one logit comes out; the text's score is the logistic of its highest window's logit.
 
 Training, in numpy on the driver: labels are of whole texts, so each step takes the highest window of each text
-and descends on that. The sample is bounded by parameters: `per_class` texts of either label, picked by hash,
-of `train_chars` characters at most. Scoring reads every whole text.
+and descends on that. The sample is bounded by parameters: about `per_class` texts of either label, picked by
+hash, of `train_chars` characters at most. Scoring reads every whole text.
 
 Defined results: a null, empty or wordless text is one window without words; repeated rows score alike; several
 labels of one doc_id count as toxic if one is; null labels and null doc_ids teach nothing; without both labels in
@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hashed_share, stage
+
 _WORD = re.compile(r"[^\W_]+")
 _GRAMS = 1 << 15
 _MOST_TYPES = 200_000  # words whose inputs a worker keeps at hand
@@ -342,11 +344,14 @@ def learned_on(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, train_chars: int = 8_000, **options) -> Model:
-    """Fit a model on up to per_class labelled texts of either class, of up to train_chars characters each."""
+    """Fit a model on about per_class labelled texts of either class, of up to train_chars characters each."""
     known = labels.where("doc_id is not null and toxic is not null").where(learned_on(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    picked = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (1, 0)]
-    picked = docs.sparkSession.createDataFrame(picked[0].union(picked[1]).collect(), "doc_id long, toxic int")
+    known = stage(known, "labels")
+    sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect() if r.toxic in (0, 1)}
+    share = [known.where((F.col("toxic") == k) & hashed_share(F.xxhash64("doc_id"), per_class, n)) for k, n in sizes.items()]
+    rows = [tuple(r) for part in share for r in part.collect()]
+    picked = docs.sparkSession.createDataFrame(rows, "doc_id long, toxic int")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.length("text") <= train_chars)
     texts = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     rows = sorted(texts.collect())
