@@ -65,14 +65,15 @@ def profile_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
     for name, df in tables.items():
         keyed = unpivot(df, df.columns).select(
             (F.col("place") + len(places)).alias("place"),
-            F.unhex(F.sha2(value, 256)).alias("v"),
+            F.xxhash64(value).alias("v"),
+            F.xxhash64(F.lit(1), value).alias("w"),  # another seed: 128 bits together
             F.length(value).alias("width"),
             clock.cast("int").alias("clock"),
         )
         parts.append(keyed)
         places += [(len(places) + i, name, column) for i, column in enumerate(df.columns)]
     cells = reduce(DataFrame.unionByName, parts)
-    frequencies = cells.groupBy("place", "v").agg(
+    frequencies = cells.groupBy("place", "v", "w").agg(
         F.count(F.lit(1)).alias("n"), F.max("width").alias("width"), F.max("clock").alias("clock")
     )
     n = F.col("n")
