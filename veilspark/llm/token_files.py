@@ -29,6 +29,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +44,11 @@ from .common import small
 
 MAGIC = b"VTB1"
 BLOCK = 2048
-LANES = 2048  # blocks coded side by side
+LANES = 1536  # blocks coded side by side
 END = 2
 _HEAD = 24  # bytes
-_SLOTS = 2048  # of a prediction table
-_PIECES = 400_000  # tokenized pieces that a worker remembers
+_SLOTS = 1024  # of a prediction table
+_PIECES = 200_000  # tokenized pieces that a worker remembers
 _FILE = "shard int, block int, first bigint, n int, docs array<struct<ordinal:bigint,doc_id:bigint,n:int,opens:boolean>>, body binary"
 
 # Letters, numbers and white space up to U+024F, for the tokenizer's published split pattern: below that, Python's re
@@ -57,6 +58,12 @@ _PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L
 _OTHER = re.compile("[^\x00-ɏ]")
 
 
+@lru_cache(1)
+def tokenizer_of(path: str) -> Ids:
+    """One for all tasks of a worker, with what it remembers."""
+    return Ids(path)
+
+
 class Ids:
     """Whole texts to ids. Pieces between which the tokenizer never merges are tokenized once and remembered."""
 
@@ -64,6 +71,8 @@ class Ids:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        if self.tokenizer.get_vocab_size() > 65534:
+            raise ValueError("ids of 16 bits are written: the vocabulary may hold 65,534")
         self._forget()
 
     def _forget(self) -> None:
@@ -71,18 +80,18 @@ class Ids:
         self.first, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _learn(self, pieces: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
         self.at.update(zip(pieces, range(len(self.at), len(self.at) + len(pieces))))
         self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.array([x for ids in found for x in ids], np.int32)])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.at) > _PIECES:
             self._forget()
         split = [None if _OTHER.search(t or "") else _PATTERN.findall(t or "") for t in texts]
-        new = {p for pieces in split if pieces for p in pieces if p not in self.at}
+        new = set(chain.from_iterable(filter(None, split))) - self.at.keys()
         if new:
             self._learn(sorted(new))
         out = []
@@ -101,14 +110,14 @@ class _Model:
 
     def __init__(self, lanes: int):
         self.lanes = lanes
-        self.next = [np.zeros(lanes * _SLOTS, np.int32) for _ in range(2)]  # predicted id + 1, for order 2 and 1
+        self.next = [np.zeros(lanes * _SLOTS, np.uint16) for _ in range(2)]  # predicted id + 1, for order 2 and 1
         self.right = [np.zeros(lanes * _SLOTS, np.uint8) for _ in range(2)]  # how often in a row, up to 7
-        self.flag = np.full(lanes * 2 * 8, 1 << 14, np.int64)
-        self.past = np.full(lanes * 2 * 16, 1 << 14, np.int64)
+        self.flag = np.full(lanes * 2 * 8, 1 << 14, np.int32)
+        self.past = np.full(lanes * 2 * 16, 1 << 14, np.int32)
         self.last = [np.zeros(lanes, np.int64) for _ in range(2)]  # the last four flags
-        self.size0 = np.full(lanes * 16, 1 << 15, np.int64)
-        self.size1 = np.full(lanes * 17 * 16, 1 << 15, np.int64)
-        self.high = np.full(lanes * 17 * 8, 1 << 15, np.int64)
+        self.size0 = np.full(lanes * 16, 1 << 15, np.int32)
+        self.size1 = np.full(lanes * 17 * 16, 1 << 15, np.int32)
+        self.high = np.full(lanes * 17 * 8, 1 << 15, np.int32)
         self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)  # the last ids
 
 
@@ -167,14 +176,16 @@ class _Coder:
 
 
 def _moved(p: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    return p + np.where(bit, 65535 - p, -p) // 16
+    return p + ((np.where(bit, 65535, 0) - p) >> 4)
 
 
 def _mixed(coder: _Coder, k: np.ndarray, a: np.ndarray, ia: np.ndarray, b: np.ndarray, ib: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
     """A choice whose probability is the mean of two adaptive ones, each the more sure the more it counts."""
     pa_, pb = a[ia], b[ib]
     sure_a, sure_b = np.abs(pa_ - 32768) + 4096, np.abs(pb - 32768) + 4096
-    p = np.clip((pa_ * sure_a + pb * sure_b) // (sure_a + sure_b), 64, 65472)
+    # whole numbers below 2^53, so the same on every machine; floats only because they divide faster
+    p = ((pa_ * sure_a.astype(np.float64) + pb * sure_b.astype(np.float64)) / (sure_a + sure_b)).astype(np.int64)
+    np.clip(p, 64, 65472, out=p)
     bit = coder.code(k, p, bit)
     a[ia], b[ib] = _moved(pa_, bit), _moved(pb, bit)
     return bit
@@ -192,7 +203,7 @@ def _step(model: _Model, coder: _Coder, k: np.ndarray, ids: np.ndarray | None, r
         lane = k[left]
         can = np.flatnonzero(guess >= 0)
         if order:  # order 1 only speaks if it doesn't repeat what order 2 got wrong
-            can = can[guess[can] != model.next[0][slots[0][left[can]]] - 1]
+            can = can[guess[can] != model.next[0][slots[0][left[can]]].astype(np.int64) - 1]
         lane, guess, slot, at = lane[can], guess[can], slot[can], left[can]
         hit = None if ids is None else ids[at] == guess
         state = model.last[order][lane]
@@ -243,7 +254,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     for start in range(0, len(order), LANES):
         part = order[start : start + LANES]
         lengths = np.array([len(blocks[i]) for i in part])
-        ids = np.zeros((max(lengths, default=0), len(part)), np.int64)
+        ids = np.zeros((max(lengths, default=0), len(part)), np.uint16)
         for lane, i in enumerate(part):
             ids[: len(blocks[i]), lane] = blocks[i]
         model, coder = _Model(len(part)), _Coder(len(part))
@@ -256,7 +267,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
 
         for t in range(len(ids)):
             k = np.arange(int(np.searchsorted(-lengths, -t, side="left")))
-            _step(model, coder, k, ids[t, : len(k)].copy(), raw)
+            _step(model, coder, k, ids[t, : len(k)].astype(np.int64), raw)
         coded = coder.finish()
         lane, bits, values = (np.concatenate([x[j] for x in taken]) for j in range(3)) if taken else (np.zeros(0, int),) * 3
         by_lane = np.argsort(lane, kind="stable")
@@ -280,7 +291,7 @@ def decode_blocks(bodies: list[bytes]) -> list[np.ndarray]:
         if body[:4] != MAGIC or head[0] > BLOCK or len(body) != _HEAD + head[2] + head[3] or zlib.crc32(body[_HEAD:]) != head[4]:
             raise ValueError("not a block, or a damaged one")
         heads.append(head)
-    out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(bodies)
+    out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(bodies)
     order = sorted(range(len(bodies)), key=lambda i: -heads[i][0])
     for start in range(0, len(order), LANES):
         part = order[start : start + LANES]
@@ -298,7 +309,7 @@ def decode_blocks(bodies: list[bytes]) -> list[np.ndarray]:
             at[lane] += bits
             return value
 
-        ids = np.zeros((max(lengths, default=0), len(part)), "<u4")
+        ids = np.zeros((max(lengths, default=0), len(part)), np.uint16)
         try:
             for t in range(len(ids)):
                 k = np.arange(int(np.searchsorted(-lengths, -t, side="left")))
@@ -307,7 +318,7 @@ def decode_blocks(bodies: list[bytes]) -> list[np.ndarray]:
             raise ValueError("a block is damaged") from error
         for lane, i in enumerate(part):
             out[i] = np.ascontiguousarray(ids[: heads[i][0], lane])
-            if zlib.crc32(out[i].tobytes()) != heads[i][1]:
+            if zlib.crc32(out[i].astype("<u4").tobytes()) != heads[i][1]:
                 raise ValueError("a block is damaged: its checksum differs")
     return out
 
@@ -347,7 +358,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = public_tokenizers.path("b
     picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, ids = TaskContext.get().partitionId(), Ids(tokenizer)
+        shard, ids = TaskContext.get().partitionId(), tokenizer_of(tokenizer)
         held: list[np.ndarray] = []
         docs: list[tuple[int, int | None, int]] = []  # ordinal, doc_id and ids of documents not yet in blocks
         size = written = block = ordinal = 0
@@ -355,7 +366,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = public_tokenizers.path("b
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, size, written, block, carried
-            stream = np.concatenate(held) if held else np.zeros(0, np.int32)
+            stream = np.concatenate(held) if held else np.zeros(0, np.uint16)
             whole = len(stream) if last else len(stream) // BLOCK * BLOCK
             blocks = [stream[i : min(i + BLOCK, whole)] for i in range(0, whole, BLOCK)]
             rows = []
@@ -383,7 +394,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = public_tokenizers.path("b
             keys, texts = (c.to_pylist() for c in batch.columns)
             for i in range(0, len(texts), 256):
                 for doc_id, found in zip(keys[i : i + 256], ids.encode(texts[i : i + 256])):
-                    held.append(np.append(found, np.int32(end)))
+                    held.append(np.append(found, end).astype(np.uint16))
                     docs.append((ordinal, doc_id, len(found) + 1))
                     size += len(found) + 1
                     ordinal += 1
