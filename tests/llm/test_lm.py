@@ -124,6 +124,20 @@ def test_words_of_a_group_share_its_probability(spark):
         assert abs(sum((n + 0.5) / 10 ** counts.groups[g] for n in own) + 0.5 / 10 ** counts.groups[g] - 1) < 1e-9
 
 
+def test_training_descends_over_every_document(spark, monkeypatch):
+    docs = spark.createDataFrame(rows_for(np.random.default_rng(4), 200), "doc_id long, text string").repartition(4)
+    docs = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    counts, averaged, seen = M.count_words(docs, 100), M._averaged, []
+
+    def spy(parts, tasks):
+        seen.append(parts.where("chunk = 0").agg({"tokens": "sum"}).first()[0])
+        return averaged(parts, tasks)
+
+    monkeypatch.setattr(M, "_averaged", spy)
+    M.train(docs, counts, first_docs=5)
+    assert seen == [counts.tokens]
+
+
 def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     out = M.score(docs, learned=F.lit(False)).collect()

@@ -11,8 +11,8 @@ the input is broadcast.
 
 Training is numpy, by truncated backpropagation: windows of `steps` tokens, gradients end at a window, the state
 goes on to the next one of the document. It starts on the driver from about `first_docs` documents picked by hash; then
-each task descends over a fixed share of its training documents, one in `one_in` by hash, so that training grows
-with the input, and the tasks' weights are averaged by tokens, in two levels.
+each task descends over all of its training documents, a bounded batch of them at a time, and the tasks' weights
+are averaged by tokens, in two levels.
 
 Scoring runs documents side by side, each from its first token to its end with one state, in windows that bound
 memory. Defined results: null text is empty and has its end only; repeated rows score alike; null doc_ids teach
@@ -401,7 +401,7 @@ def _averaged(parts: DataFrame, tasks: int) -> list:
     return some.groupBy("chunk").applyInArrow(mean, schema).orderBy("chunk").collect()
 
 
-def train(docs: DataFrame, counts: Counts, steps: int = 16, rate: float = 0.2, first_docs: int = 800, first_chars: int = 8000, one_in: int = 5) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, counts: Counts, steps: int = 16, rate: float = 0.2, first_docs: int = 800, first_chars: int = 8000) -> dict[str, np.ndarray]:
     """The network's weights from training documents (doc_id, text binary)."""
     w = first_weights(counts.unigram)
     order = F.xxhash64("text", "doc_id")
@@ -410,7 +410,7 @@ def train(docs: DataFrame, counts: Counts, steps: int = 16, rate: float = 0.2, f
     reader = Reader(counts.words, counts.head)
     train_on(w, [reader.read(bytes(r.text))[0] for r in sorted(sample)], steps, rate, fresh_sums(w))
     shared = docs.sparkSession.sparkContext.broadcast((counts.words, counts.head, w))
-    share = docs.where(F.pmod(order, F.lit(one_in)) == 0).select("text", F.spark_partition_id().alias("part"))
+    every = docs.select("text", F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, head, first = shared.value
@@ -433,7 +433,7 @@ def train(docs: DataFrame, counts: Counts, steps: int = 16, rate: float = 0.2, f
             columns = [pa.array(range(n), pa.int32()), pa.array([part] * n, pa.int32()), pa.array([seen] * n, pa.int64()), pa.array(chunks, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["chunk", "part", "tokens", "data"])
 
-    parts = stage(share.mapInArrow(run, "chunk int, part int, tokens bigint, data binary"), "weights")
+    parts = stage(every.mapInArrow(run, "chunk int, part int, tokens bigint, data binary"), "weights")
     rows = _averaged(parts, parts.select("part").distinct().count())
     if rows:
         flat, at = np.frombuffer(b"".join(r.data for r in rows), np.float32), 0
