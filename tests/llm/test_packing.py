@@ -34,6 +34,22 @@ def test_equals_the_plain_rule(cost):
         assert (list(zip(bins, starts)), final) == plain_pack(lengths, SIZES, cost)
 
 
+def test_larger_bins_open_where_pieces_share_them():
+    sizes = (512, 1024, 2048, 4096)
+    for lengths, most in (([300] * 3000, 1.45), ([260] * 3000, 1.65)):
+        assert sum(map(P.default_cost, P.pack(lengths, sizes)[2])) / sum(lengths) > 1.9
+        assert sum(map(P.default_cost, P.pack_cheapest(lengths, sizes)[2])) / sum(lengths) < most
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 3, 900):
+        for lengths in (rng.integers(1, 4097, n), rng.integers(257, 700, n), (rng.pareto(1.2, n) * 80 + 1).clip(1, 4096).astype(int)):
+            lengths = sorted(lengths.tolist(), reverse=True)
+            bins, starts, final = P.pack_cheapest(lengths, sizes)
+            held = np.bincount(bins, weights=lengths, minlength=len(final)) if n else []
+            assert all(min(c for c in sizes if c >= u) == f for u, f in zip(held, final)) and len(held) == len(final)
+            assert len(set(zip(bins, starts))) == n
+            assert sum(map(P.default_cost, final)) <= sum(map(P.default_cost, P.pack(lengths, sizes)[2]))
+
+
 def test_documents(spark):
     rng = np.random.default_rng(2)
     rows = [(int(rng.integers(0, 400)), " ".join("w" for _ in range(int(rng.integers(0, 90)))), "x", 1) for _ in range(500)]

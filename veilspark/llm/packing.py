@@ -1,8 +1,10 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
 Several sequence lengths (capacities) are permitted, each at a cost. Pieces go in decreasing length to the open
-bin they fill best; if none has room, a new bin of the size that costs least a token is opened, given the tokens
-that still can fill it. At the end every bin shrinks to the cheapest capacity that holds its contents.
+bin they fill best; if none has room, a new bin is opened. Its size is the one that costs least a token when filled
+from the lengths that are left, largest first, and shrunk to what they fill. At the end every bin shrinks to the
+cheapest capacity that holds its contents. A shard is also packed by the simpler rule that takes bins to be filled
+whole, and the cheaper of both results stands.
 
 Pieces are dealt by hash to shards that are packed independently, in parallel; the number of shards follows the
 number of pieces, and a shard's loss is at most its few last bins. Only ids and lengths move, never texts.
@@ -15,7 +17,8 @@ an empty result; other columns are not looked at.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -31,8 +34,38 @@ def default_cost(capacity: int) -> float:
     return capacity * (1 + capacity / 4096)
 
 
-def pack(lengths: Sequence[int], capacities: Sequence[int], cost=default_cost) -> tuple[list[int], list[int], list[int]]:
-    """Bin and start of each of the decreasing lengths, and each bin's capacity."""
+class _Left:
+    """The lengths not yet packed, as counts, and what a new bin would come to hold of them."""
+
+    def __init__(self, lengths: Sequence[int]):
+        self.count = Counter(lengths)
+        self.sizes = sorted(self.count)
+
+    def take(self, n: int) -> None:
+        self.count[n] -= 1
+        while self.sizes and not self.count[self.sizes[-1]]:
+            self.sizes.pop()
+
+    def filled(self, n: int, capacity: int) -> int:
+        """Tokens in a bin of that capacity opened for a piece of n tokens, if the largest that fit follow."""
+        free, top = capacity - n, len(self.sizes)
+        while free and top:
+            top = bisect_right(self.sizes, free, 0, top) - 1
+            if top < 0:
+                break
+            size = self.sizes[top]
+            # Pieces go in decreasing length, so lengths above n are used up; n itself is not counted again.
+            free -= size * min(self.count[size] - (size == n), free // size)
+        return capacity - free
+
+
+def pack(lengths: Sequence[int], capacities: Sequence[int], cost=default_cost, joint: bool = False) -> tuple[list[int], list[int], list[int]]:
+    """Bin and start of each of the decreasing lengths, and each bin's capacity.
+
+    A new bin's size is chosen as if it were filled whole, or, if `joint`, by what the lengths left would fill.
+    """
+    if joint:
+        remaining = _Left(lengths)
     sizes = sorted(set(capacities))
     costs = {c: cost(c) for c in sizes}
     left = int(sum(lengths))  # tokens not yet packed, this piece included
@@ -48,13 +81,19 @@ def pack(lengths: Sequence[int], capacities: Sequence[int], cost=default_cost) -
                 del open_bins[free], rooms[at]
         else:
             b, fit = len(used), [c for c in sizes if c >= n]
-            free = min(fit, key=lambda c: (costs[c] / min(c, left), c))
+            if joint:
+                fills = {c: remaining.filled(n, c) for c in fit}
+                free = min(fit, key=lambda c: (min(costs[x] for x in fit if x >= fills[c]) / fills[c], c))
+            else:
+                free = min(fit, key=lambda c: (costs[c] / min(c, left), c))
             used.append(0)
             room.append(free)
         bins.append(b)
         starts.append(used[b])
         used[b] += n
         left -= n
+        if joint:
+            remaining.take(n)
         free -= n
         if free:
             if free not in open_bins:
@@ -65,6 +104,12 @@ def pack(lengths: Sequence[int], capacities: Sequence[int], cost=default_cost) -
     return bins, starts, final
 
 
+def pack_cheapest(lengths: Sequence[int], capacities: Sequence[int], cost=default_cost) -> tuple[list[int], list[int], list[int]]:
+    """pack() by either rule, whichever result costs less."""
+    both = [pack(lengths, capacities, cost, joint) for joint in (True, False)]
+    return min(both, key=lambda found: sum(map(cost, found[2])))
+
+
 def word_tokens(text: Column) -> Column:
     """Words and one end: the length of a text where no tokenizer is given."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) + 1
@@ -103,7 +148,7 @@ def pack_documents(
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("tokens", "ascending"), ("copy", "ascending"), ("piece", "ascending")])
-        bins, starts, final = pack(group.column("length").to_pylist(), capacities, cost)
+        bins, starts, final = pack_cheapest(group.column("length").to_pylist(), capacities, cost)
         final = np.array(final, np.int32)
         return pa.table(
             {
