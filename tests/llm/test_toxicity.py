@@ -80,6 +80,20 @@ def test_very_long_text_counts_whole(monkeypatch):
     assert low < 0.5 < 0.7 < high
 
 
+def test_long_runs_are_read_whole():
+    rng = np.random.default_rng(1)
+    model = X.fit(*corpus(rng, 300))
+    run = "badaloxounnimtereda" * 12
+    low, high = X.Scorer(model).scores([run, run + "vraxol" * 12 + run])
+    assert low < 0.5 < 0.7 < high
+    text = "".join(chr(0x4E00 + i) for i in range(1000))
+    for size in (1 << 20, 100, 7):
+        pieces = [w for part in X.words_of(text, size) for w in part]
+        assert max(map(len, pieces)) <= 64
+        assert all(any(text[k : k + 20] in w for w in pieces) for k in range(981))
+    assert list(X.words_of("a" * 64 + " " + "b" * 65)) == [["a" * 64, "b" * 64, "b" * 33]]
+
+
 def test_table(spark):
     rng = np.random.default_rng(2)
     texts, labels = corpus(rng, 240)

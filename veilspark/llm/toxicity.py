@@ -4,6 +4,8 @@ A word's input is its own vector (zero for words outside the vocabulary) and the
 4-grams, so inflected and unseen words are known by their parts. Overlapping windows of `window` words, `stride`
 apart, cover the whole text. In a window two gated recurrent layers read the words forth and back, attention
 weighs their states, and one logit comes out; the text's score is the logistic of its highest window's logit.
+A word of more than 64 characters (a run of an unsegmented script, or words run together) is read whole, as pieces
+of 64 that overlap by half; each counts as a word.
 
 Training, in numpy on the driver: labels are of whole texts, so each step takes the highest window of each text
 and descends on that. The sample is bounded by parameters: about `per_class` texts of either label, picked by
@@ -30,6 +32,7 @@ from .common import hashed_share, stage
 
 _WORD = re.compile(r"[^\W_]+")
 _GRAMS = 1 << 15
+_LONG = 64  # characters; longer words are read in pieces of so many
 _MOST_TYPES = 200_000  # words whose inputs a worker keeps at hand
 _PART = 2048  # windows at once
 
@@ -44,20 +47,26 @@ class Model:
 
 
 def words_of(text: str | None, size: int = 1 << 20) -> Iterator[list[str]]:
-    """Lower-case words, in lists of those of about `size` characters."""
-    text, start = text or "", 0
+    """Lower-case words, long ones in their pieces, in lists of those of about `size` characters."""
+    text, start, most = text or "", 0, max(2 * size, 2 * _LONG)
     while start < len(text):
         end = start + size
-        if end < len(text):
-            while end < len(text) and (text[end].isalnum()):
-                end += 1
-        yield _WORD.findall(text[start:end].lower())
-        start = end
+        while end < len(text) and end - start < most and text[end].isalnum():
+            end += 1
+        yield [x for w in _WORD.findall(text[start:end].lower()) for x in (_pieces(w) if len(w) > _LONG else (w,))]
+        # A run cut here goes on with the characters that a piece shares with the one before.
+        inside = end - start >= most and end < len(text) and text[end].isalnum()
+        start = end - _LONG // 2 if inside else end
+
+
+def _pieces(word: str) -> list[str]:
+    """A long run as pieces of _LONG characters, each of which begins in the middle of the one before."""
+    return [word[k : k + _LONG] for k in range(0, len(word) - _LONG // 2, _LONG // 2)]
 
 
 def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed character 4-grams of all words with a mark at either end, and where each word's begin."""
-    marked = ["<" + (w[:64] if len(w) <= 64 else w[:32] + w[-32:]) + ">>" for w in words]
+    marked = ["<" + w + ">>" for w in words]
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
     h = codes[:-3] * np.uint64(0x9E3779B1) + codes[1:-2] * np.uint64(0x85EBCA77) + codes[2:-1] * np.uint64(0xC2B2AE3D) + codes[3:] * np.uint64(0x27D4EB2F)
