@@ -76,3 +76,19 @@ def hashed_share(hashed: Column, most: int, of: int) -> Column:
     sorted limit would make every task send that many rows."""
     share = min(1.0, most / max(of, 1))
     return hashed <= F.lit(min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64))))
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with their place in the given order, from 0, by range partitions: each is sorted and numbered by itself,
+    and the sizes of those before it (one number a partition) are added."""
+    spark = rows.sparkSession
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = stage(ordered.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_at", 33)
+    starts, total = [], 0
+    for number, size in sorted(ordered.groupBy(part.alias("part")).count().collect()):  # one row a partition
+        starts.append((number, total))
+        total += size
+    starts = F.broadcast(spark.createDataFrame(starts, "_part bigint, _start bigint"))
+    joined = ordered.join(starts, part == F.col("_part"))
+    return joined.withColumn(name, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_start")

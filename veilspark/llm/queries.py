@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, lm, packing, simhash, substring_dedup, token_files, topk_search, toxicity
+from . import chat_format, decontaminate, exact_dedup, language_id, lm, merkle, packing, resample, simhash, substring_dedup, token_files, topk_search, toxicity
 from .common import shared_folder
 
 
@@ -80,6 +80,35 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.col("n_chars") + F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, 1).otherwise(0)
+    fields = {c: F.col(c) for c in docs.columns}
+    leaves = docs.select("lang", "doc_id", merkle.leaf(*fields.values()).alias("leaf"), merkle.leaf(*(fields | {"n_chars": tampered}).values()).alias("claimed"))
+    manifest = merkle.build(leaves, "lang", "doc_id", "leaf")
+    root = F.lit(manifest.root()).cast("string")
+    found = merkle.proofs(manifest, "claimed")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        root.alias("root"),
+        F.sha2(F.concat_ws("", "siblings"), 256).alias("proof_sha256"),
+        F.col("folded").alias("folded_root"),
+        (F.col("folded") == root).alias("verified"),
+    )
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.mark_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_chat_format": op2_chat_format,
@@ -91,9 +120,22 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_ALNUM = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+# CRC-32: what one byte makes of the value, for all bytes, by the rule; then byte by byte, from the hex form of a text.
+_STEPS = "list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"
+_BYTES = "list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda h: ('0x' || h)::BIGINT)"
+_CRC = "xor(list_reduce(list_concat([4294967295], " + _BYTES + "), lambda c, b: xor(c // 256, steps[xor(c % 256, b) + 1])), 4294967295)"
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_FIELD.format, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
 
 ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": f"""
@@ -145,4 +187,91 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)
     """,
+    "op11_merkle_manifest": f"""
+        WITH RECURSIVE leaves AS (
+            SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf,
+                   CASE WHEN {_CRC.format("doc_id::VARCHAR")} % 7 = 0 THEN {_leaf_sql("(n_chars + 1)")} ELSE {_leaf_sql("n_chars")} END AS claimed,
+                   row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos
+            FROM documents, (SELECT {_STEPS} AS steps)
+        ),
+        nodes AS (
+            SELECT lang, 0 AS level, pos, leaf AS node, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+            UNION ALL
+            SELECT lang, level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (n + 1) // 2
+            FROM nodes WHERE n > 1 GROUP BY lang, level, pos // 2, n
+        ),
+        subroots AS (SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM nodes WHERE n = 1),
+        tops AS (
+            SELECT 0 AS level, pos, subroot AS node, count(*) OVER () AS n FROM subroots
+            UNION ALL
+            SELECT level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (n + 1) // 2
+            FROM tops WHERE n > 1 GROUP BY level, pos // 2, n
+        ),
+        inner_fold AS (
+            SELECT doc_id, lang, 0 AS level, pos, claimed AS value, '' AS proof FROM leaves
+            UNION ALL
+            SELECT f.doc_id, f.lang, f.level + 1, f.pos // 2,
+                   sha256(CASE WHEN s.node IS NULL THEN value WHEN f.pos % 2 = 1 THEN s.node || value ELSE value || s.node END),
+                   proof || coalesce(s.node, '')
+            FROM inner_fold f
+            JOIN nodes o ON o.lang IS NOT DISTINCT FROM f.lang AND o.level = f.level AND o.pos = f.pos AND o.n > 1
+            LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM f.lang AND s.level = f.level AND s.pos = xor(f.pos, 1)
+        ),
+        within AS (SELECT doc_id, lang, value, proof FROM inner_fold QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY level DESC) = 1),
+        outer_fold AS (
+            SELECT doc_id, 0 AS level, s.pos, subroot, value, proof FROM within w JOIN subroots s ON s.lang IS NOT DISTINCT FROM w.lang
+            UNION ALL
+            SELECT f.doc_id, f.level + 1, f.pos // 2, subroot,
+                   sha256(CASE WHEN s.node IS NULL THEN value WHEN f.pos % 2 = 1 THEN s.node || value ELSE value || s.node END),
+                   proof || coalesce(s.node, '')
+            FROM outer_fold f JOIN tops o ON o.level = f.level AND o.pos = f.pos AND o.n > 1
+            LEFT JOIN tops s ON s.level = f.level AND s.pos = xor(f.pos, 1)
+        ),
+        done AS (SELECT * FROM outer_fold QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY level DESC) = 1),
+        root AS (SELECT node AS root FROM tops WHERE n = 1)
+        SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, value AS folded_root, value = root AS verified
+        FROM done JOIN leaves USING (doc_id), root
+    """,
+    "op12_exact_dedup": r"""
+        WITH t AS (SELECT doc_id, coalesce(length(text), 0) AS points,
+                          sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
+        SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+               row_number() OVER w = 1 AS kept, text_sha256
+        FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
+    """,
+    "op13_importance_resampling": f"""
+        WITH d AS (SELECT doc_id, coalesce({_ALNUM}, []) AS w FROM documents),
+        b AS (SELECT coalesce({_ALNUM}, []) AS w FROM benchmark),
+        runs AS (
+            SELECT doc_id, array_to_string(w[i : i + k - 1], ' ') AS feature
+            FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT unnest([1, 2, 3]) AS k))
+        ),
+        f AS (SELECT doc_id, feature, count(*) AS n FROM runs GROUP BY ALL),
+        g AS (
+            SELECT array_to_string(w[i : i + k - 1], ' ') AS feature
+            FROM (SELECT w, k, unnest(range(1, len(w) - k + 2)) AS i FROM b, (SELECT unnest([1, 2, 3]) AS k))
+        ),
+        known AS (SELECT feature, {_CRC.format("feature")} % 10000 AS bucket
+                  FROM (SELECT DISTINCT feature FROM f UNION SELECT feature FROM g), (SELECT {_STEPS} AS steps)),
+        s AS (SELECT bucket, sum(n) AS s FROM f JOIN known USING (feature) GROUP BY bucket),
+        t AS (SELECT bucket, count(*) AS t FROM g JOIN known USING (feature) GROUP BY bucket),
+        gain AS (
+            SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE)
+                   / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+            FROM (SELECT unnest(range(10000)) AS bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)
+        ),
+        w AS (SELECT doc_id, sum(n * gain)::BIGINT AS weight FROM f JOIN known USING (feature) JOIN gain USING (bucket) GROUP BY doc_id),
+        scored AS (
+            SELECT doc_id, len(d.w) AS n_words, (len(d.w) + greatest(len(d.w) - 1, 0) + greatest(len(d.w) - 2, 0))::BIGINT AS n_features,
+                   coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+            FROM d LEFT JOIN w USING (doc_id)
+        ),
+        placed AS (
+            SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, 5 * count(*) OVER () // 100 AS most
+            FROM scored WHERE n_words >= 20
+        )
+        SELECT doc_id, n_features, weight, score, place AS rank
+        FROM scored LEFT JOIN (SELECT * FROM placed WHERE place <= most) USING (doc_id)
+    """,
 }
