@@ -126,7 +126,7 @@ def test_words_of_a_group_share_its_probability(spark):
 
 def test_training_descends_over_every_document(spark, monkeypatch):
     docs = spark.createDataFrame(rows_for(np.random.default_rng(4), 200), "doc_id long, text string").repartition(4)
-    docs = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    docs = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.lit(True).alias("teaches"))
     counts, averaged, seen = M.count_words(docs, 100), M._averaged, []
 
     def spy(parts, tasks):
@@ -134,10 +134,29 @@ def test_training_descends_over_every_document(spark, monkeypatch):
         return averaged(parts, tasks)
 
     monkeypatch.setattr(M, "_averaged", spy)
-    M.train(docs, counts, first_docs=5)
+    M.train(M.read_documents(docs, counts), counts, first_docs=5)
     assert seen == [counts.tokens]
 
 
+def test_long_documents_go_on_beside_the_next_batch(monkeypatch):
+    rng = np.random.default_rng(6)
+    docs = [np.append(rng.integers(1, 4096, n), 0).astype(np.int16) for n in (500, 3, 40, 7, 300, 2, 5, 9, 1, 30)]
+    inputs, descend = [], M._descend
+
+    def spy(w, sums, ids, fresh, goals, real, h, *rest):
+        out = descend(w, sums, ids, fresh, goals, real, h, *rest)
+        inputs.extend((int(a), int(b)) for a, b, ok in zip(ids.ravel(), goals.ravel(), real.ravel()) if ok)
+        return out
+
+    monkeypatch.setattr(M, "_descend", spy)
+    w = some_weights()
+    sums = M.fresh_sums(w)
+    held, begun = M.train_on(w, docs[:6], 8, 0.1, sums, 6, [], False)
+    assert begun and all(b[2].any() for b in begun)
+    M.train_on(w, held + docs[6:], 8, 0.1, sums, 6, begun)
+    assert Counter(inputs) == Counter((int(a), int(b)) for d in docs for a, b in zip([0, *d[:-1]], d))
+
+
 def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     out = M.score(docs, learned=F.lit(False)).collect()
