@@ -17,7 +17,7 @@ from veilspark.plans.common import work_folder
 from veilspark.policy import Recognizer
 from veilspark.sources.decoders import Limits
 from veilspark.sources.readers import load_any, load_tables
-from veilspark.streaming.stream import read_stream_table
+from veilspark.streaming.stream import read_stream_table, safe_stream
 
 OPEN = {"security": {"require_entity_detector": False}}
 
@@ -171,3 +171,37 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="checkpoint"):
         work_folder(Session())
+
+
+@pytest.mark.parametrize("word", ["a", "eyJ", "token", "a.", "://x:", "-----BEGIN A", "Authorization: ", "ghp_", "secret "])
+def test_secrets_are_sought_in_time_proportional_to_the_text(spark, word):
+    def seconds(size):
+        text = word * (size // len(word)) + " http://x eyJ = : PRIVATE KEY----- xox- AKIA"
+        df = spark.createDataFrame([(text,)], "t string").repartition(1).cache()
+        df.count()
+        started = time.perf_counter()
+        df.select(F.size(find_spans(F.col("t"), SECRET_RULES))).first()
+        return time.perf_counter() - started
+
+    seconds(1000)
+    assert seconds(1 << 20) <= 4 * seconds(1 << 19) + 1 and seconds(1 << 20) < 20
+
+
+def test_clashing_names_of_a_policy_are_refused():
+    with pytest.raises(ValueError, match="one name"):
+        Policy.from_dict({"columns": {"customer_name": "tokenize", "CustomerName": "keep"}})
+    with pytest.raises(ValueError, match="one name"):
+        Policy({"a_b": "keep"}, token_domains={"x_id": "A", "xId": "B"})
+    assert Policy({"customer_name": "tokenize", "CustomerName": "tokenize"}).action_for("customername") == "tokenize"
+
+
+@pytest.mark.parametrize("name", ["db_password", "userApiKey", "password_hash", "Client Secret", "my.access-token"])
+def test_secret_words_inside_names(spark, key, name):
+    df = spark.createDataFrame([("x", "y")], "n string, other string").withColumnRenamed("n", name)
+    assert sanitize_table(df, Policy.from_dict({"columns": {name: "keep", "other": "keep"}, **OPEN}), key).safe.columns == ["other"]
+
+
+def test_a_stream_projection_of_dotted_names(spark, key):
+    df = spark.createDataFrame([("mail a@b.co now", 1)], "n string, k int").withColumnRenamed("n", "n.x")
+    out = safe_stream(df, Policy.from_dict({"columns": {"n.x": "redact_text", "k": "keep"}, **OPEN}), key)
+    assert [tuple(r) for r in out.collect()] == [("mail [REDACTED_EMAIL] now", 1)]

@@ -40,34 +40,46 @@ PII_RULES = (
 )
 
 # Public token formats. A dropped secret reads [DROPPED_SECRET], whichever rule found it.
+# What may follow an anchor is bounded, or ends where the next anchor can begin, so that a text
+# of any length and make is read in time proportional to its length.
 SECRET_RULES = (
-    SpanRule(
+    SpanRule(  # a block without its end line runs to the end of the text
         "PRIVATE_KEY",
-        r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z0-9 ]*PRIVATE KEY-----",
+        r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"
+        r"(?:[\s\S]*?-----END [A-Z0-9 ]*PRIVATE KEY-----|[\s\S]*)",
         hints=("PRIVATE KEY-----",),
     ),
     SpanRule(
         "CREDENTIAL_URL",
-        r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@[^\s\"'<>]+",
+        r"[A-Za-z][A-Za-z0-9+.-]{0,30}+://[^\s/:@]++:[^\s/@]++@[^\s\"'<>]+",
         hints=("://",),
     ),
-    SpanRule("JWT", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", hints=("eyJ",)),
+    SpanRule(
+        "JWT",
+        r"eyJ[A-Za-z0-9_-]{8,1000}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}",
+        hints=("eyJ",),
+    ),
     SpanRule(
         "GITHUB_TOKEN",
         r"(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,})",
         hints=("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"),
     ),
-    SpanRule("SLACK_TOKEN", r"xox[abprs]-[A-Za-z0-9-]{10,}", hints=("xox",)),
+    SpanRule("SLACK_TOKEN", r"(?:xox[abeprs]|xapp)-[A-Za-z0-9-]{10,}", hints=("xox", "xapp-")),
     SpanRule(
         "AWS_KEY",
         r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
         hints=("AKIA", "ASIA"),
     ),
-    SpanRule("BEARER", r"(?i)bearer\s+[A-Za-z0-9._~+/-]{16,}=*"),
+    SpanRule("BEARER", r"(?i)bearer\s++[A-Za-z0-9._~+/-]{16,}=*"),
     SpanRule(
+        "BASIC",
+        r"(?i)authorization[\"']?\s*+[:=]\s*+[\"']?basic\s++[A-Za-z0-9+/_-]{8,}={0,2}",
+        hints=("=", ":"),
+    ),
+    SpanRule(  # the name may go on after the word, as in aws_secret_access_key
         "ASSIGNMENT",
-        r"(?i)(?:api[_-]?key|token|secret|password|passwd|pwd|connection[_-]?string)"
-        r"[\"']?\s*[:=]\s*(?:\"[^\"\r\n]{6,}\"|'[^'\r\n]{6,}'|[^\s\"',;<>]{6,})",
+        r"(?i)(?:api[_-]?key|token|secret|password|passwd|pwd|connection[_-]?string)[A-Za-z0-9_-]{0,40}+"
+        r"[\"']?\s*+[:=]\s*+(?:\"[^\"\r\n]{6,}+\"|'[^'\r\n]{6,}+'|[^\s\"',;<>]{6,})",
         hints=("=", ":"),
     ),
 )

@@ -140,14 +140,14 @@ class SanitizeResult:
 
 
 def _scan_name(plan: ColumnPlan) -> str:
-    return _work_name("scan", plan.name)
+    return work_name("scan", plan.name)
 
 
 def _draw_name(plan: ColumnPlan) -> str:
-    return _work_name("draw", plan.name)
+    return work_name("draw", plan.name)
 
 
-def _work_name(kind: str, column: str) -> str:
+def work_name(kind: str, column: str) -> str:
     """A working column's name, one for each column, whatever characters that has."""
     return f"__{kind}_{column.encode().hex()}"
 
@@ -288,4 +288,5 @@ __all__ = [
     "sanitize_table",
     "sanitize_tables",
     "sanitize_text",
+    "work_name",
 ]

@@ -16,7 +16,7 @@ from ..functions.text import quoted
 from ..keys import ProjectKey, validate_identifier
 from ..operators.actions import action_column
 from ..operators.report import ExportBlocked
-from ..operators.sanitize import SanitizeResult, sanitize_table
+from ..operators.sanitize import SanitizeResult, sanitize_table, work_name
 from ..operators.text_scan import EntityDetector, scan_text
 from ..operators.vault import VAULT_SCHEMA, job_path, seal_mapping, token_collisions
 from ..policy import ColumnPlan, Policy, Recognizer, resolve_actions
@@ -46,8 +46,8 @@ def safe_stream(df: DataFrame, policy: Policy, key: ProjectKey) -> DataFrame:
         if plan.action == "synthesize":
             raise ValueError("synthesize needs the quantiles of a whole batch; use sanitize_stream")
         if plan.action == "redact_text":
-            df = scan_text(df, plan.name, f"__scan_{plan.name}", key, policy.recognizers)
-            columns.append(F.col(f"__scan_{plan.name}.safe").alias(plan.name))
+            df = scan_text(df, plan.name, work_name("scan", plan.name), key, policy.recognizers)
+            columns.append(F.col(f"{work_name('scan', plan.name)}.safe").alias(plan.name))
         else:
             columns.append(action_column(plan, schema, policy, key, set()).alias(plan.name))
     return df.select(*columns)
