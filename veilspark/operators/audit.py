@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime, timezone
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sinks.commit import create_once, names_in, read_text
+
 CHAIN_VERSION = 1
+_EVENT = "event-"
+
+
+class AuditConflict(RuntimeError):
+    """Other writers took every number that this one asked for."""
+
 
 # Fields allowed per event type.
 ALLOWED_FIELDS = {
@@ -54,26 +63,34 @@ def checked_event(event: dict[str, Any]) -> dict[str, Any]:
 
 def append_event(
     spark: SparkSession, path: str, event: dict[str, Any], chain: str = "default",
-    timestamp: str | None = None,
-) -> None:
-    """Append one event to the chain. A chain has one writer, as a log has; chains lie in
-    folders of their own, so that writers of different ones neither meet nor read much."""
+    timestamp: str | None = None, tries: int = 1000,
+) -> int:
+    """Append one event to a chain, and return its number.
+
+    An event is a file named by its number and created once: of writers that saw the same end
+    of the chain one gets the number, and the others follow it. Chains lie in folders of their
+    own. Only the names in the folder and its last event are read.
+    """
     payload = checked_event(event)
-    tail = read_audit(spark, path).where(F.col("chain") == chain)
-    last = tail.agg(F.max("seq").alias("seq"), F.max_by("event_hash", "seq").alias("hash")).first()
-    row = {
-        **{name: None for name in HASHED},
-        **payload,
-        "chain": chain,
-        "seq": (last["seq"] or 0) + 1,
-        "chain_version": CHAIN_VERSION,
-        "previous_hash": last["hash"],
-        "timestamp": timestamp or datetime.now(timezone.utc).isoformat(),
-        "event_hash": None,
-    }
-    spark.createDataFrame([row], AUDIT_SCHEMA).withColumn("event_hash", event_hash()).coalesce(
-        1
-    ).write.mode("append").partitionBy("chain").parquet(path)
+    folder = f"{path}/chain={''.join(c if c.isalnum() or c in '._-' else f'%{ord(c):02X}' for c in chain)}"
+    for _ in range(tries):
+        taken = [name for name in names_in(spark, folder) if name.startswith(_EVENT)]
+        last = json.loads(read_text(spark, f"{folder}/{taken[-1]}")) if taken else {"seq": 0, "event_hash": None}
+        row = {
+            **{name: None for name in HASHED},
+            **payload,
+            "chain": chain,
+            "seq": last["seq"] + 1,
+            "chain_version": CHAIN_VERSION,
+            "previous_hash": last["event_hash"],
+            "timestamp": timestamp or datetime.now(timezone.utc).isoformat(),
+            "event_hash": None,
+        }
+        hashed = spark.createDataFrame([row], AUDIT_SCHEMA).withColumn("event_hash", event_hash()).drop("chain")
+        text = hashed.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).first()[0]
+        if create_once(spark, f"{folder}/{_EVENT}{row['seq']:018d}.json", text + "\n"):
+            return row["seq"]
+    raise AuditConflict(f"no number was free in chain '{chain}' in {tries} tries")
 
 
 def job_chain(project_id: str, job_id: str) -> str:
@@ -84,7 +101,7 @@ def job_chain(project_id: str, job_id: str) -> str:
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
     names = [part.split(" ")[0] for part in AUDIT_SCHEMA.split(", ")]
     try:
-        return spark.read.schema(AUDIT_SCHEMA).parquet(path).select(*names)
+        return spark.read.schema(AUDIT_SCHEMA).json(path).select(*names)
     except Exception as error:  # a log that was never written is empty
         if "PATH_NOT_FOUND" not in str(error):
             raise

@@ -57,7 +57,7 @@ def _text_of(plan: ColumnPlan) -> Column:
     return canonical_string(quoted(plan.name), plan.dtype)
 
 
-def _wanted(
+def wanted_pairs(
     plans: Sequence[ColumnPlan], mode: str, recognizers: Sequence[Recognizer], detector
 ) -> list[tuple[ColumnPlan, str]]:
     """The (column, detector) pairs a gate decision needs."""
@@ -93,6 +93,30 @@ def _exact(
     return count_secrets(text) if kind == "secret" else count_pii(text)
 
 
+def count_columns(
+    df: DataFrame,
+    pairs: Sequence[tuple[ColumnPlan, str]],
+    exact: set[tuple[str, str]],
+    recognizers: Sequence[Recognizer],
+    detector,
+) -> tuple[DataFrame, list[str]]:
+    """df with a count for each (column, detector) pair in a column of its own, and the names of
+    these: to be summed by an observation on the write of the same rows. Pairs in ``exact``
+    count findings, the others the values that may have one; entities are always findings."""
+    names = []
+    for i, (plan, kind) in enumerate(pairs):
+        if kind == "entity" or (plan.name, kind) in exact:
+            flags: dict[str, Column] = {}
+            if kind == "custom":
+                df, flags = with_flags(df, _text_of(plan), recognizers, f"__gate_{i}")
+            count = _exact(plan, kind, recognizers, detector, flags)
+        else:
+            count = _suspect(plan, kind, recognizers).cast("int")
+        names.append(f"__found_{i}")
+        df = df.withColumn(names[-1], F.coalesce(count, F.lit(0)).cast("bigint"))
+    return df, names
+
+
 def column_findings(
     df: DataFrame, policy: Policy, mode: str = "strict",
     recognizers: Sequence[Recognizer] = (), detector: EntityDetector | None = None,
@@ -103,7 +127,7 @@ def column_findings(
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
     plans = resolve_actions(df.schema, policy)
-    wanted = _wanted(plans, mode, recognizers, detector)
+    wanted = wanted_pairs(plans, mode, recognizers, detector)
     checks = [(plan, kind) for plan, kind in wanted if kind != "entity"]
     subjects = set(subject_columns(df.columns, policy).values())
     shifting = {p.action for p in plans} & {"date_shift", "time_shift"}

@@ -61,9 +61,9 @@ class SanitizeResult:
             if plan.action == "drop":
                 continue
             if plan.action == "redact_text":
-                column = F.col(f"{_scan_name(plan)}.safe")
+                column = F.col(f"{scan_name(plan)}.safe")
             elif plan.action == "synthesize":
-                column = F.col(_draw_name(plan))
+                column = F.col(draw_name(plan))
             else:
                 column = action_column(plan, schema, self.policy, self.key, self.ascii_only)
             columns.append(column.alias(plan.name))
@@ -76,9 +76,9 @@ class SanitizeResult:
             column.alias(f"{kind}_{plan.name}")
             for plan in self.plans
             if plan.action == "redact_text"
-            for kind, column in text_counters(_scan_name(plan)).items()
+            for kind, column in text_counters(scan_name(plan)).items()
         ] + [
-            F.count_if(F.col(left_name(_draw_name(plan)))).alias(f"left_{plan.name}")
+            F.count_if(F.col(left_name(draw_name(plan)))).alias(f"left_{plan.name}")
             for plan in self.plans
             if plan.action == "synthesize"
         ]
@@ -127,7 +127,7 @@ class SanitizeResult:
             if p.action == "tokenize"
         ]
         pairs += [
-            F.coalesce(F.col(f"{_scan_name(p)}.tokens"), F.array())
+            F.coalesce(F.col(f"{scan_name(p)}.tokens"), F.array())
             for p in self.plans
             if p.action == "redact_text" and self.policy.recognizers
         ]
@@ -139,11 +139,11 @@ class SanitizeResult:
         return minted.select("m.token", "m.token_type", "m.original").distinct()
 
 
-def _scan_name(plan: ColumnPlan) -> str:
+def scan_name(plan: ColumnPlan) -> str:
     return work_name("scan", plan.name)
 
 
-def _draw_name(plan: ColumnPlan) -> str:
+def draw_name(plan: ColumnPlan) -> str:
     return work_name("draw", plan.name)
 
 
@@ -224,20 +224,38 @@ def sanitize_table(
     if report.review_columns and override is None:
         report.block(r.REVIEW_REQUIRED)
 
-    staged = df
-    for plan in final:
-        if plan.action == "synthesize":
-            key_columns = row_key or df.columns
-            staged = synthesize_numeric(staged, plan.name, _draw_name(plan), key, key_columns)
-        elif plan.action == "redact_text":
-            scan = scan_distinct_text if distinct_text else scan_text
-            staged = scan(staged, plan.name, _scan_name(plan), key, policy.recognizers, detector)
+    result = planned_rows(
+        df, final, policy, key, row_key or df.columns, detector, distinct_text, findings.ascii_only
+    )
+    result.gate = report
     shown = tuple(
         p.name
         for p in final
         if p.action == "keep" and any(findings.of(p.name, k) for k in ("pii", "entity", "custom"))
     )
-    return SanitizeResult(staged, final, policy, key, report, findings.ascii_only, shown)
+    result.shown = shown
+    return result
+
+
+def planned_rows(
+    df: DataFrame,
+    plans: list[ColumnPlan],
+    policy: Policy,
+    key: ProjectKey,
+    row_key: Sequence[str],
+    detector: EntityDetector | None = None,
+    distinct_text: bool = False,
+    ascii_only: set[str] = frozenset(),
+) -> SanitizeResult:
+    """The rows under final plans, with a report that a gate has yet to fill."""
+    staged = df
+    for plan in plans:
+        if plan.action == "synthesize":
+            staged = synthesize_numeric(staged, plan.name, draw_name(plan), key, row_key)
+        elif plan.action == "redact_text":
+            scan = scan_distinct_text if distinct_text else scan_text
+            staged = scan(staged, plan.name, scan_name(plan), key, policy.recognizers, detector)
+    return SanitizeResult(staged, plans, policy, key, Report(), set(ascii_only))
 
 
 def sanitize_tables(
@@ -269,7 +287,7 @@ def sanitize_text(
     plan = replace(
         resolve_actions(df.select(column).schema, policy)[0], action="redact_text", secret_name=False
     )
-    staged = scan_text(df, column, _scan_name(plan), key, policy.recognizers, detector)
+    staged = scan_text(df, column, scan_name(plan), key, policy.recognizers, detector)
     result = SanitizeResult(staged, [plan], policy, key, report)
     residual = residual_findings(result.safe, [column], policy.recognizers, detector).first()["n"]
     if residual:
@@ -284,6 +302,7 @@ __all__ = [
     "SanitizeResult",
     "gate_columns",
     "needs_detector",
+    "planned_rows",
     "sanitize_records",
     "sanitize_table",
     "sanitize_tables",

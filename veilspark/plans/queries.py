@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta, timezone
 from functools import reduce
 
@@ -18,13 +19,13 @@ from ..functions.numbers import coerce_numeric
 from ..functions.spans import find_spans, replace_spans, span_text
 from ..jobs import DuplicateJob, Stores, import_table
 from ..operators.actions import time_shift, tokenize
-from ..operators.audit import CHAIN_VERSION, HASHED, read_audit, verify_audit
+from ..operators.audit import CHAIN_VERSION, HASHED, append_event, read_audit, verify_audit
 from ..operators.detection import column_findings, findings_table, leaked_values, residual_findings
 from ..operators.inference import infer_policies, infer_policy, union_tables
 from ..operators.metadata import table_metadata
 from ..operators.profile import profile_tables, value_frequencies
 from ..operators.quantiles import exact_quantiles
-from ..operators.report import Report, utility_impact
+from ..operators.report import ExportBlocked, Report, utility_impact
 from ..operators.sanitize import gate_columns, sanitize_table, sanitize_tables, sanitize_text
 from ..operators.synthesize import synthesize_numeric
 from ..operators.text_scan import (
@@ -49,6 +50,7 @@ from ..operators.vault import (
     write_vault,
 )
 from ..policy import Policy, resolve_actions
+from ..sinks.release import read_release, release_tables, releases
 from ..sinks.writers import write_report, write_rows, write_safe
 from ..sources.decoders import archive_members, decoded
 from ..sources.preview import preview_table
@@ -57,6 +59,7 @@ from ..streaming.stream import (
     StreamPaths,
     cumulative_report,
     read_stream_table,
+    release_stream,
     sanitize_stream,
 )
 from . import common as c
@@ -460,6 +463,63 @@ def gated_write(spark, sf):
     return counted.withColumn("secrets", F.lit(report.secret_detections).cast("bigint"))
 
 
+def observed_gate(spark, sf):
+    """Customers whose gate is in the write: one read, and readable by the manifest alone."""
+    folder = work_folder(spark)
+    release_tables({"customers": table(spark, sf, "customer")}, c.CUSTOMER_POLICY, KEY, folder, "one")
+    return read_release(spark, folder, "one", "customers")
+
+
+def atomic_tables(spark, sf):
+    """Three tables as one release: with one of them blocked none can be read, else all."""
+    folder = work_folder(spark)
+    tables = {n: spread_table(spark, sf, t) for n, t in (("customers", "customer"), ("orders", "orders"), ("documents", "documents"))}
+    # a column with secrets would be dropped whole, and so could show no personal data
+    tables["documents"] = tables["documents"].withColumn("text", without_secrets(F.col("text")))
+    redacting = {**c.CUSTOMER_POLICY.columns, **c.ORDERS_POLICY.columns, "text": "redact_text", "doc_id": "hash"}
+    known = {"default": {"unknown_column": "redact"}, "security": c.NO_DETECTOR, "date_shift": {"subject_column": "o_custkey"}}
+    showing = Policy.from_dict({**known, "columns": {**redacting, "text": "keep"}})
+    rows = []
+    for name, policy in (("showing", showing), ("redacted", Policy.from_dict({**known, "columns": redacting}))):
+        try:
+            release_tables(tables, policy, KEY, folder, name, mode="targeted")
+        except ExportBlocked:
+            pass
+        committed = name in releases(spark, folder)
+        for part in tables:
+            read = read_release(spark, folder, name, part).count() if committed else 0
+            rows.append((name, part, committed, read))
+    return spark.createDataFrame(rows, "release string, part string, committed boolean, row_count bigint")
+
+
+def released_stream(spark, sf):
+    """The events of a stream of several batches, readable once all of them have passed."""
+    folder = work_folder(spark)
+    source = f"{folder}/events"
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    events.repartition(3, "event_id").write.parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    policy = Policy.from_dict(
+        {"security": c.NO_DETECTOR, "columns": {"event_id": "keep", "user_id": "tokenize", "event_type": "keep"}, "token_domains": {"user_id": "USER"}}
+    )
+    release_stream(stream, policy, KEY, "events", f"{folder}/out", f"{folder}/checkpoint")
+    return read_release(spark, f"{folder}/out", "events", "rows")
+
+
+def appended_audit(spark, sf):
+    """A chain of one event for each region, written by two writers at once: still one chain."""
+    folder = f"{work_folder(spark)}/audit"
+    names = [row[0] for row in table(spark, sf, "region").select("r_name").sort("r_name").collect()]
+
+    def write(part: list[str]) -> None:
+        for name in part:
+            append_event(spark, folder, {"event": "import_sanitized", "project_id": KEY.project_id, "job_id": name, "blocked": False, "can_export": True})
+
+    with ThreadPoolExecutor(2) as writers:
+        list(writers.map(write, (names[::2], names[1::2])))
+    return verify_audit(read_audit(spark, folder)).select("chain", "valid", "event_count", "first_bad_seq", "error")
+
+
 def override_leaks(spark, sf):
     """Customers that a reviewer's reason gives away."""
     reason = "Checked CUSTOMER#000000007 and 864.52 against the household list"
@@ -844,5 +904,6 @@ QUERIES: dict[str, Query] = {
         purge_vault, colliding_tokens, raw_retention, audit_chain, source_formats, decode_files,
         decode_archives, written_report, stream_events,
         stream_report, stream_tokens, planted_secrets, null_rules, import_books, stream_quarantine, vault_of_two_streams,
+        observed_gate, atomic_tables, released_stream, appended_audit,
     )
 }

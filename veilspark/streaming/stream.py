@@ -20,6 +20,7 @@ from ..operators.sanitize import SanitizeResult, sanitize_table, work_name
 from ..operators.text_scan import EntityDetector, scan_text
 from ..operators.vault import VAULT_SCHEMA, job_path, seal_mapping, token_collisions
 from ..policy import ColumnPlan, Policy, Recognizer, resolve_actions
+from ..sinks.release import commit_release, parts_path
 
 
 @dataclass(frozen=True)
@@ -135,6 +136,25 @@ def sanitize_stream(
     )
 
 
+def release_stream(
+    df: DataFrame,
+    policy: Policy,
+    key: ProjectKey,
+    job_id: str,
+    path: str,
+    checkpoint: str,
+    name: str = "rows",
+    **options,
+) -> None:
+    """All that a stream holds now as one release (id: the job's): its batches can be read once
+    all of them have passed their gates, and not before. A job that was stopped by a blocked
+    batch goes on from there when it is called again; until it ends, nothing is readable."""
+    spark = df.sparkSession
+    out = parts_path(path, validate_identifier(job_id, "job_id"), name)
+    sanitize_stream(df, policy, key, job_id, StreamPaths(out, checkpoint), **options).awaitTermination()
+    commit_release(spark, path, job_id, {name: {"format": "parquet", "batches": True}})
+
+
 def _vault_part(rows: DataFrame) -> DataFrame:
     """Vault rows without the columns that the folder's path holds."""
     return rows.drop("project_id", "job_id")
