@@ -96,3 +96,42 @@ def test_components_of_documents_with_split_shards(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert simhash.near_duplicates(docs).collect() == []
+
+
+def plain_near_groups(texts, similarity=0.8):
+    """A group for each text, by comparing the 5-word shingle sets of all pairs."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    group = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    return group
+
+
+def test_near_copies_are_found_and_verified(spark):
+    rng = np.random.default_rng(11)
+    notice = " ".join(f"notice{i}" for i in range(40))
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 3000, int(rng.integers(30, 300)))) + (" " + notice if i % 3 == 0 else "")) for i in range(150)]
+    for i in range(150):
+        words = rows[i][1].split()
+        for at in rng.integers(0, len(words), int(rng.integers(0, max(2, len(words) // 50)))):
+            words[at] = f"new{i}"
+        rows.append((1000 + i, "\n".join(words).upper()))
+    rows += [(2000 + i, notice) for i in range(30)] + [(3000 + i, f"{notice} {i}") for i in range(30)] + [(4000, None), (4001, ""), (4002, "a b"), (4003, "A  b"), (None, rows[0][1]), rows[5]]
+    found = simhash.near_copies(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, row int").repartition(6)).collect()
+    assert len(found) == len(rows)
+    plain = {r: g for r, g in zip(rows, plain_near_groups([t for _, t in rows]))}
+    root = {r.doc_id: r.root for r in found}
+    same = lambda a, b: root[a] == root[b]
+    for (a, _), g in plain.items():  # groups are never larger than the true ones
+        assert all(plain[r] == g for r in rows if same(r[0], a))
+    true = [(r[0], rows[0 if r[0] is None else r[0] % 1000][0]) for r in rows[150:300]]
+    linked = [(a, b) for a, b in true if plain[rows[150 + b]] == plain[rows[b]]]
+    assert len(linked) > 100 and np.mean([same(a, b) for a, b in linked]) > 0.95
+    assert len({root[2000 + i] for i in range(30)}) == 1 and same(4000, 4001) and same(4002, 4003) and same(None, 0)
+    assert simhash.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -30,7 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, word_pieces
+from .common import small, stage, word_pieces
+from .substring_dedup import window_hashes, word_hashes
 
 #: xxHash seed of the shingles.
 SEED = 42
@@ -231,3 +232,111 @@ def near_duplicates(
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(named, "root").select("fp", "component_id", "root")
     return found.join(named, "fp").select("doc_id", "mark", "fp", "component_id", "root")
+
+
+_SKETCH = 16
+_RAREST = 4
+_SIDES = "row bigint, doc_id {}, mark bigint, fp bigint, words int, sequence bigint, size int, sketch array<bigint>, pieces array<bigint>, shingles binary"
+
+
+def _piece_hashes(words: np.ndarray) -> np.ndarray:
+    """Hashes of runs of words that end where a word's own hash says so, every eighth word or so: an edit changes the
+    run it is in, and the others stay."""
+    if not len(words):
+        return np.empty(0, np.uint64)
+    ends = np.flatnonzero(words >> np.uint64(61) == 0) + 1
+    edges = np.unique(np.concatenate([[0], ends, [len(words)]]))
+    order = np.arange(len(words)) - np.repeat(edges[:-1], np.diff(edges))
+    mixed = (words ^ (words >> np.uint64(31))) * (2 * order.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return np.unique(np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), edges[:-1]))
+
+
+def sides(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+    """What near_copies compares of each row: fingerprint, hash of the word sequence, shingle set (32 bits each), its
+    smallest hashes and the pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+        names = ["fp", "words", "sequence", "size", "sketch", "pieces", "shingles"]
+        for batch in batches:
+            rows = []
+            for body in batch.column(3).to_pylist():
+                words = np.concatenate([np.empty(0, np.uint64), *(word_hashes(w) for w in word_pieces((body or b"").lower()) if w)])
+                whole = int(window_hashes(words, len(words))[0]) if len(words) else 0
+                found = np.unique(window_hashes(words, min(shingle, max(len(words), 1))))
+                fp = fingerprint(body, shingle)
+                signed = lambda x: np.asarray(x, np.uint64).view(np.int64)
+                short = np.unique((found >> np.uint64(32)).astype("<u4"))
+                rows.append((int(signed(fp)), len(words), int(signed(whole)), len(short), np.sort(signed(found))[:_SKETCH], signed(_piece_hashes(words)), short.tobytes()))
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["row", "doc_id", "mark", *names])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    picked = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).cast("binary").alias("text"))
+    return picked.mapInArrow(run, _SIDES.format(kind))
+
+
+def _piece_pairs(units: DataFrame) -> DataFrame:
+    """Pairs (u, v) of rows: each with the two leaders of its rarest pieces that occur elsewhere."""
+    pieces = units.select("row", F.explode("pieces").alias("piece"))
+    by_hash = F.struct(F.xxhash64("row", "piece").alias("h"), "row")
+    often = pieces.groupBy("piece").agg(F.count("*").alias("n"), F.min(by_hash)["row"].alias("one"), F.max(by_hash)["row"].alias("two"))
+    often = stage(often.where("n > 1"), "pieces")
+    total = often.agg(F.sum("n")).first()[0] or 0
+    hot = often.where(F.col("n") > total // 1000)  # under a thousand of them
+    rest = pieces.join(F.broadcast(hot.select("piece")), "piece", "left_anti").join(often.where(F.col("n") <= total // 1000), "piece")
+    met = rest.unionByName(pieces.join(F.broadcast(hot), "piece"))
+    rarest = met.groupBy("row").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "piece", "one", "two"))), 1, _RAREST).alias("found"))
+    each = rarest.select("row", F.explode("found").alias("x")).select("row", F.explode(F.array("x.one", "x.two")).alias("other"))
+    return each.select(F.greatest("row", "other").alias("u"), F.least("row", "other").alias("v")).where("u > v")
+
+
+def _similar(pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs whose shingle sets (of `shingles` and `other`) are at least so similar, by intersection and union."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                a, b = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if both >= least * (len(a) + len(b) - both):
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)], names=["u", "v"])
+
+    return pairs.select("u", "v", "shingles", "other").mapInArrow(run, "u bigint, v bigint")
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 5, radius: int = 4, shard_rows: int = 50_000) -> DataFrame:
+    """doc_id, mark and root (one number for all rows of a group) of every row; groups are connected by links of texts
+    whose sets of `shingle`-word shingles have the given similarity (Jaccard) or more, each verified.
+
+    Candidates are the fingerprints that vantage-point trees connect within `radius` bits, and, since texts of
+    similarity 0.8 may differ in ten bits, rows that share one of their rarest pieces of text: each with two leaders of
+    that piece, so that candidates grow with the rows and not with the squares of groups. Sketches of the shingle sets
+    sort out candidates far from similar; the others meet their shingle sets. Rows of one word sequence are one.
+    """
+    found = stage(sides(docs, doc_id, text, shingle), "sides")
+    same = found.groupBy("sequence", "words").agg(F.min("row").alias("unit"))
+    of = stage(found.select("row", "doc_id", "mark", "sequence", "words").join(same, ["sequence", "words"]).select("row", "doc_id", "mark", "unit"), "units")
+    units = found.join(of.where("row = unit").select("row"), "row", "left_semi").where("words > 0")
+    units = stage(units.select("row", "fp", "size", "sketch", "pieces"), "unit-sides")
+
+    points = stage(units.groupBy("fp").agg(F.min("row").alias("first")), "points")
+    stars = links(points.select("fp"), radius, shard_rows)
+    of_root = points.select(F.col("fp").alias("root"), F.col("first").alias("other"))
+    near = stars.join(points, "fp").join(of_root, "root").select(F.greatest("first", "other").alias("u"), F.least("first", "other").alias("v"))
+    equal = units.select("row", "fp").join(points, "fp").where("row > first").select(F.col("row").alias("u"), F.col("first").alias("v"))
+    pairs = stage(near.union(equal).union(_piece_pairs(units)).distinct(), "candidates")
+
+    side = units.select("row", "size", "sketch")
+    judged = pairs.join(side.toDF("u", "size_u", "sketch_u"), "u").join(side.toDF("v", "size_v", "sketch_v"), "v")
+    least = F.slice(F.array_sort(F.array_union("sketch_u", "sketch_v")), 1, _SKETCH)
+    shared = F.size(F.array_intersect(F.array_intersect(least, F.col("sketch_u")), F.col("sketch_v")))
+    even = F.least("size_u", "size_v") >= F.lit(similarity) * F.greatest("size_u", "size_v") - 2
+    judged = stage(judged.where(even & (2 * shared >= F.lit(similarity) * F.size(least))).select("u", "v"), "judged")
+    needed = judged.select(F.explode(F.array("u", "v")).alias("row")).distinct()
+    sets = stage(found.select("row", "shingles").join(small(needed), "row", "left_semi"), "shingle-sets")
+    linked = _similar(judged.join(sets.toDF("u", "shingles"), "u").join(sets.toDF("v", "other"), "v"), similarity)
+    stars = components(linked, "u", "v").select(F.col("node").alias("unit"), "root")
+    return of.join(stars, "unit", "left").select("doc_id", "mark", F.coalesce("root", "unit").alias("root"))
