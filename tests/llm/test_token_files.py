@@ -72,7 +72,25 @@ def test_damage_is_seen():
         with pytest.raises(ValueError):
             K.decode_blocks([cut])
     with pytest.raises(ValueError):
-        K.encode_blocks([np.array([65535])])
+        K.encode_blocks([np.array([65536])])
+
+
+@pytest.mark.parametrize("size", [1, 2, 17, 300, 200_000, 4_000_000])
+def test_vocabularies_of_any_size(size):
+    rng = np.random.default_rng(9)
+    blocks = [rng.integers(0, size, n) for n in (0, 1, 200, 70)] + [np.full(40, size - 1), np.zeros(300, int)]
+    for got, want in zip(K.decode_blocks(K.encode_blocks(blocks, size)), blocks):
+        assert got.tolist() == want.tolist()
+
+
+def test_each_order_saves_bytes():
+    rng = np.random.default_rng(10)
+    drawn = rng.zipf(1.5, 2048) % 50_000  # order 0: few ids come often
+    after = {i: int(rng.integers(0, 50_000)) for i in range(40)}
+    pairs = [x for i in rng.integers(0, 40, 1024) for x in (int(i), after[int(i)])]  # order 1: an id says the next
+    phrase = rng.integers(0, 9, 700)  # order 2: two ids say more than one
+    sizes = [len(K.encode_blocks([np.array(x)], 50_257)[0]) for x in (rng.integers(0, 50_257, 2048), drawn, pairs, np.tile(phrase, 2))]
+    assert sizes[0] < 2048 * 2.4 and sizes[1] < 2048 * 1.2 and sizes[2] < 2048 * 0.7 and sizes[3] < 1400 * 0.6
 
 
 @given(st.binary(max_size=50), st.binary(max_size=50))

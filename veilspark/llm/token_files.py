@@ -5,18 +5,16 @@ their ids written one after the other, in shards of ranges of doc_id. A shard is
 by Spark's committer, so a lost executor's blocks are written anew. A block holds up to `BLOCK` ids and depends on
 no other:
 
-    magic b"VTB1" | ids u32 | crc32 of the ids as u32 | bytes coded u32 | bytes raw u32 | crc32 of what follows u32 | coded | raw
+    magic b"VTB2" | ids u32 | vocabulary u32 | crc32 of the ids as u32 | bytes coded u32 | crc32 of these u32 | coded
 
-Numbers are little-endian. Beside it stand the block's place in the
-shard and its pieces of documents. A damaged block raises, and no other is lost.
+Numbers are little-endian. Beside it stand the block's place in the shard and its pieces of documents. A damaged
+block raises, and no other is lost.
 
-Coding. Two tables predict the next id: the one that last followed the last two ids (order 2), and the last id
-(order 1). A flag for each, in that order, says whether the prediction holds; its probability mixes two adaptive
-ones, by how often that table was right in a row and by the flag's last values. If both fail, the id's number of bits
-goes through a tree of four binary choices, each mixing the order-0 and the order-1 (by the last id's number of
-bits) probability, the three bits after the first are coded by order 0, and the rest is raw. All choices drive a
-carryless arithmetic coder with bounds of 32 bits. Thousands of blocks are coded side by side in numpy, all of
-integers, so every machine decodes what any other encoded.
+Coding. Each id is one choice of an arithmetic coder among all ids of the vocabulary. Its probability is a mixture of
+three predictions: order 0, how often the id came up in the block, above a share that falls with the id; order 1, the id
+that last followed the last one; order 2, the id that last followed the last two. The weights of orders 1 and 2 are the
+odds that such predictions have held so far in the block. A thousand blocks or so are coded side by side in numpy, all of
+whole numbers, so every machine decodes what any other encoded.
 
 Defined results: null text is empty and has its end id only; repeated rows are documents of their own; a text of
 any length is whole, its ids span blocks; an empty table makes an empty file; other columns are not looked at.
@@ -42,12 +40,16 @@ from tokenizers import Tokenizer
 
 from .common import small
 
-MAGIC = b"VTB1"
+MAGIC = b"VTB2"
 BLOCK = 2048
-LANES = 1536  # blocks coded side by side
+LANES = 1024  # blocks coded side by side, at most
+MOST = 1 << 22  # ids of a vocabulary
 END = 2
 _HEAD = 24  # bytes
 _SLOTS = 1024  # of a prediction table
+_COUNT = 1000  # weight of an id for each time it came up
+_BRANCHES = np.arange(16)[:, None]
+_TOP, _BOTTOM = np.uint64(1 << 56), 1 << 48
 _PIECES = 200_000  # tokenized pieces that a worker remembers
 _FILE = "shard int, block int, first bigint, n int, docs array<struct<ordinal:bigint,doc_id:bigint,n:int,opens:boolean>>, body binary"
 
@@ -71,8 +73,7 @@ class Ids:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        if self.tokenizer.get_vocab_size() > 65534:
-            raise ValueError("ids of 16 bits are written: the vocabulary may hold 65,534")
+        self.vocabulary = self.tokenizer.get_vocab_size()
         self._forget()
 
     def _forget(self) -> None:
@@ -105,221 +106,234 @@ class Ids:
         return out
 
 
-class _Model:
-    """State of all lanes; every lane is a block of its own. Probabilities are of a 1, in 65,536ths."""
-
-    def __init__(self, lanes: int):
-        self.lanes = lanes
-        self.next = [np.zeros(lanes * _SLOTS, np.uint16) for _ in range(2)]  # predicted id + 1, for order 2 and 1
+class _Mixture:
+    """State of all lanes; every lane is a block of its own. Weights are whole numbers, so every machine agrees.
+
+    Order 0 gives each id a weight that falls with the id (frequent pieces were merged first) and grows with its count
+    in the block, kept in a tree of 16 branches; orders 1 and 2 add weight to the id that last followed the last one and two
+    ids, as much as such guesses have been right so far, by how often in a row this one was.
+    """
+
+    def __init__(self, lanes: int, size: int):
+        self.prior = np.append(0, np.cumsum(1 + 65536 // (np.arange(size, dtype=np.int64) + 64)))
+        self.levels = max(1, -(-(size - 1).bit_length() // 4))
+        self.counts, self.starts, self.widths = [], [], []
+        for level in range(self.levels):
+            step = 1 << 4 * (self.levels - 1 - level)
+            width = -(-(-(-size // step)) // 16) * 16
+            self.counts.append(np.zeros(lanes * width, np.uint8 if step == 1 else np.int16))
+            self.starts.append(self.prior[np.minimum(np.arange(width) * step, size)])
+            self.widths.append(width)
+        self.total = np.full(lanes, self.prior[-1], np.int64)
+        self.guess = [np.full(lanes * _SLOTS, -1, np.int32) for _ in range(2)]  # of order 2 and 1
         self.right = [np.zeros(lanes * _SLOTS, np.uint8) for _ in range(2)]  # how often in a row, up to 7
-        self.flag = np.full(lanes * 2 * 8, 1 << 14, np.int32)
-        self.past = np.full(lanes * 2 * 16, 1 << 14, np.int32)
-        self.last = [np.zeros(lanes, np.int64) for _ in range(2)]  # the last four flags
-        self.size0 = np.full(lanes * 16, 1 << 15, np.int32)
-        self.size1 = np.full(lanes * 17 * 16, 1 << 15, np.int32)
-        self.high = np.full(lanes * 17 * 8, 1 << 15, np.int32)
+        self.seen = np.ones((2, 2, lanes * 8), np.int64)  # by order, wrong or right, and how often in a row
         self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)  # the last ids
 
+    def guesses(self, n: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+        """Of both orders: the guessed ids (-1: none), their added weights and their slots, in the first n lanes."""
+        lane, one, two = np.arange(n), self.one[:n], self.two[:n]
+        slots = [lane * _SLOTS + ((two * 40503 + one * 30011) >> 5) % _SLOTS, lane * _SLOTS + (one * 40503 >> 4) % _SLOTS]
+        ids = [self.guess[k][slots[k]].astype(np.int64) for k in range(2)]
+        weights = []
+        for k in range(2):
+            state = lane * 8 + self.right[k][slots[k]]
+            odds = (self.seen[k, 1][state] << 8) // self.seen[k, 0][state]
+            weights.append(np.where(ids[k] >= 0, self.total[:n] * odds >> 8, 0))
+        return ids, weights, slots
+
+    def order0(self, lane: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weight of all ids before these, and of these."""
+        before = np.zeros(len(ids), np.int64)
+        for level, (counts, width) in enumerate(zip(self.counts, self.widths)):
+            node = ids >> 4 * (self.levels - 1 - level)
+            first = lane * width + (node & ~15)
+            some = counts[first + _BRANCHES]
+            some *= _BRANCHES < (node & 15)
+            before += some.sum(axis=0, dtype=np.int16)
+        own = self.counts[-1][lane * self.widths[-1] + ids].astype(np.int64)
+        return self.prior[ids] + _COUNT * before, self.prior[ids + 1] - self.prior[ids] + _COUNT * own
+
+    def find(self, lane: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The ids whose order-0 weight holds these values."""
+        node, before, each = np.zeros(len(lane), np.int64), np.zeros(len(lane), np.int32), np.arange(len(lane))
+        for counts, starts, width in zip(self.counts, self.starts, self.widths):
+            child = (node << 4) + _BRANCHES
+            some = counts[lane * width + child]
+            ahead = np.cumsum(some, axis=0, dtype=np.int32)
+            ahead -= some
+            ahead += before
+            branch = (starts[child] + _COUNT * ahead.astype(np.int64) <= value).sum(axis=0) - 1
+            before = ahead[branch, each]
+            node = (node << 4) + branch
+        return node
+
+    def learn(self, ids: np.ndarray, guessed: list[np.ndarray], slots: list[np.ndarray]) -> None:
+        """What followed in the first lanes."""
+        n = len(ids)
+        lane = np.arange(n)
+        more = (self.counts[-1][lane * self.widths[-1] + ids] < 255).astype(np.uint8)
+        for level, (counts, width) in enumerate(zip(self.counts, self.widths)):
+            counts[lane * width + (ids >> 4 * (self.levels - 1 - level))] += more
+        self.total[:n] += _COUNT * more.astype(np.int64)
+        for k in range(2):
+            hit = guessed[k] == ids
+            in_row = self.right[k][slots[k]]
+            at = np.flatnonzero(guessed[k] >= 0)
+            self.seen[k, hit[at].astype(np.int64), lane[at] * 8 + in_row[at]] += 2
+            self.right[k][slots[k]] = np.where(hit, np.minimum(in_row + 1, 7), 0)
+            self.guess[k][slots[k]] = ids
+        self.two[:n], self.one[:n] = self.one[:n], ids
+
 
 class _Coder:
-    """Bounds and bytes of all lanes."""
+    """A range coder without carries for all lanes: 64-bit bounds, of which settled top bytes go out."""
 
     def __init__(self, lanes: int, data: list[bytes] | None = None):
-        self.low, self.high = np.zeros(lanes, np.int64), np.full(lanes, 0xFFFFFFFF, np.int64)
+        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
         self.at = np.zeros(lanes, np.int64)
         self.decodes = data is not None
+        self.width = 4 * BLOCK + 16 if data is None else max(map(len, data), default=0) + 16
         if data is None:
-            self.width = 3 * BLOCK + 16
-            self.out = np.zeros(lanes * self.width, np.uint8)
+            self.out = np.zeros((lanes, self.width), np.uint8)
         else:
-            self.width = max(map(len, data), default=0) + 8
-            self.out = np.frombuffer(b"".join(x.ljust(self.width, b"\0") for x in data), np.uint8)
-            self.base = np.arange(lanes) * self.width
-            self.value = np.zeros(lanes, np.int64)
-            for _ in range(4):
-                self.value = self.value << 8 | self.out[self.base + self.at]
-                self.at += 1
-
-    def code(self, k: np.ndarray, p: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
-        """One choice in lanes k with probabilities p; the bits, given or read."""
-        low, high = self.low[k], self.high[k]
-        middle = low + ((high - low) >> 16) * p + ((((high - low) & 0xFFFF) * p) >> 16)
-        if self.decodes:
-            bit = self.value[k] <= middle
-        high = np.where(bit, middle, high)
-        low = np.where(bit, low, middle + 1)
-        shift = np.flatnonzero(((low ^ high) >> 24) == 0)
-        while len(shift):
-            lane = k[shift]
-            place = lane * self.width + self.at[lane]
+            self.out = np.frombuffer(b"".join(x.ljust(self.width, b"\0") for x in data), np.uint8).reshape(lanes, self.width)
+            self.value = np.ascontiguousarray(self.out[:, :8]).view(">u8").reshape(-1).astype(np.uint64)
+            self.at += 8
+
+    def target(self, total: np.ndarray) -> np.ndarray:
+        """The value below `total` that each of the first lanes has come to."""
+        n = len(total)
+        step = self.range[:n] // total.astype(np.uint64)
+        return np.minimum(((self.value[:n] - self.low[:n]) // step).astype(np.int64), total - 1)
+
+    def code(self, before: np.ndarray, weight: np.ndarray, total: np.ndarray) -> None:
+        """Narrow the first lanes to the part of `total` that begins at `before` and is `weight` wide."""
+        n = len(total)
+        step = self.range[:n] // total.astype(np.uint64)
+        self.low[:n] += step * before.astype(np.uint64)
+        self.range[:n] = step * weight.astype(np.uint64)
+        lane = np.arange(n)
+        while True:
+            low, width = self.low[lane], self.range[lane]
+            settled = (low ^ (low + width)) < _TOP
+            narrow = ~settled & (width < _BOTTOM)
+            go = settled | narrow
+            if not go.any():
+                return
+            width = np.where(narrow, (~low + np.uint64(1)) & np.uint64(_BOTTOM - 1), width)[go]
+            lane, low = lane[go], low[go]
+            if (self.at[lane] >= self.width).any():
+                raise ValueError("a block is damaged")
             if self.decodes:
-                self.value[lane] = (self.value[lane] << 8 & 0xFFFFFFFF) | self.out[place]
+                self.value[lane] = self.value[lane] << np.uint64(8) | self.out[lane, self.at[lane]]
             else:
-                self.out[place] = high[shift] >> 24
+                self.out[lane, self.at[lane]] = low >> np.uint64(56)
             self.at[lane] += 1
-            low[shift] = low[shift] << 8 & 0xFFFFFFFF
-            high[shift] = high[shift] << 8 & 0xFFFFFFFF | 0xFF
-            shift = shift[((low[shift] ^ high[shift]) >> 24) == 0]
-        self.low[k], self.high[k] = low, high
-        return bit
+            self.low[lane], self.range[lane] = low << np.uint64(8), width << np.uint64(8)
 
     def finish(self) -> list[bytes]:
-        """What each lane wrote, closed by bytes that lie within its bounds."""
-        for shift in (24, 16, 8, 0):
-            self.out[np.arange(self.lanes()) * self.width + self.at] = self.high >> shift & 0xFF
-            self.at += 1
-        rows = self.out.reshape(-1, self.width)
-        return [rows[i, : self.at[i]].tobytes() for i in range(len(rows))]
-
-    def lanes(self) -> int:
-        return len(self.low)
-
-
-def _moved(p: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    return p + ((np.where(bit, 65535, 0) - p) >> 4)
-
-
-def _mixed(coder: _Coder, k: np.ndarray, a: np.ndarray, ia: np.ndarray, b: np.ndarray, ib: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
-    """A choice whose probability is the mean of two adaptive ones, each the more sure the more it counts."""
-    pa_, pb = a[ia], b[ib]
-    sure_a, sure_b = np.abs(pa_ - 32768) + 4096, np.abs(pb - 32768) + 4096
-    # whole numbers below 2^53, so the same on every machine; floats only because they divide faster
-    p = ((pa_ * sure_a.astype(np.float64) + pb * sure_b.astype(np.float64)) / (sure_a + sure_b)).astype(np.int64)
-    np.clip(p, 64, 65472, out=p)
-    bit = coder.code(k, p, bit)
-    a[ia], b[ib] = _moved(pa_, bit), _moved(pb, bit)
-    return bit
-
-
-def _step(model: _Model, coder: _Coder, k: np.ndarray, ids: np.ndarray | None, raw) -> np.ndarray:
-    """Code the next id of lanes k: the given one, or the one read. raw(lanes, bits, values or None) passes raw bits."""
-    one, two = model.one[k], model.two[k]
-    slots = (k * _SLOTS + ((two * 40503 + one * 30011) >> 5) % _SLOTS, k * _SLOTS + (one * 40503 >> 4) % _SLOTS)
-    found = np.zeros(len(k), np.int64) if ids is None else ids
-    left = np.arange(len(k))
-    for order in range(2):
-        slot = slots[order][left]
-        guess = model.next[order][slot].astype(np.int64) - 1
-        lane = k[left]
-        can = np.flatnonzero(guess >= 0)
-        if order:  # order 1 only speaks if it doesn't repeat what order 2 got wrong
-            can = can[guess[can] != model.next[0][slots[0][left[can]]].astype(np.int64) - 1]
-        lane, guess, slot, at = lane[can], guess[can], slot[can], left[can]
-        hit = None if ids is None else ids[at] == guess
-        state = model.last[order][lane]
-        hit = _mixed(coder, lane, model.flag, (lane * 2 + order) * 8 + model.right[order][slot], model.past, (lane * 2 + order) * 16 + state, hit)
-        model.last[order][lane] = (state << 1 | hit) & 15
-        found[at[hit]] = guess[hit]
-        gone = np.zeros(len(left), bool)
-        gone[can[hit]] = True
-        left = left[~gone]
-    if len(left):
-        lane = k[left]
-        value = None if ids is None else ids[left] + 1
-        size = None if ids is None else np.frexp(value.astype(np.float64))[1].astype(np.int64) - 1  # bits after the first: 0 to 15
-        before = np.frexp((one[left] + 1).astype(np.float64))[1].astype(np.int64)
-        node = np.ones(len(left), np.int64)
-        for depth in (3, 2, 1, 0):
-            bit = None if size is None else (size >> depth & 1).astype(bool)
-            bit = _mixed(coder, lane, model.size0, lane * 16 + node, model.size1, (lane * 17 + before) * 16 + node, bit)
-            node = node << 1 | bit
-        size = node & 15
-        high = np.ones(len(left), np.int64)
-        for depth in range(3):
-            on = np.flatnonzero(size > depth)
-            at = (lane[on] * 17 + size[on]) * 8 + high[on]
-            bit = None if value is None else (value[on] >> (size[on] - 1 - depth) & 1).astype(bool)
-            p = model.high[at]
-            bit = coder.code(lane[on], np.clip(p, 64, 65472), bit)
-            model.high[at] = _moved(p, bit)
-            high[on] = high[on] << 1 | bit
-        rest = np.maximum(size - 3, 0)
-        low = raw(lane, rest, None if value is None else value & ((1 << rest) - 1))
-        found[left] = (high << rest | low) - 1
-    for order in range(2):
-        slot = slots[order]
-        same = model.next[order][slot] == found + 1
-        model.right[order][slot] = np.where(same, np.minimum(model.right[order][slot] + 1, 7), 0)
-        model.next[order][slot] = found + 1
-    model.two[k], model.one[k] = one, found
-    return found
-
-
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block's ids (up to BLOCK of them, below 65,535) as bytes."""
-    if any(len(b) > BLOCK or (len(b) and (b.min() < 0 or b.max() >= 65535)) for b in blocks):
-        raise ValueError(f"a block holds up to {BLOCK} ids below 65535")
+        """What each lane wrote; zeros at the end are left out, as a reader takes them for granted."""
+        tails = self.low.astype(">u8").view(np.uint8).reshape(-1, 8)
+        return [(self.out[i, : self.at[i]].tobytes() + tails[i].tobytes()).rstrip(b"\0") for i in range(len(tails))]
+
+
+def lanes_for(size: int) -> int:
+    """Blocks coded side by side with a vocabulary of this size: fewer for larger ones, so memory stays as it is."""
+    return max(16, min(LANES, (1 << 26) // size))
+
+
+def encode_blocks(blocks: list[np.ndarray], size: int = 65_536) -> list[bytes]:
+    """Each block's ids (up to BLOCK of them, below `size`) as bytes."""
+    if not 0 < size <= MOST or any(len(b) > BLOCK or (len(b) and (b.min() < 0 or b.max() >= size)) for b in blocks):
+        raise ValueError(f"a block holds up to {BLOCK} ids below the vocabulary's size, {MOST} at most")
     out: list[bytes] = [b""] * len(blocks)
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    for start in range(0, len(order), LANES):
-        part = order[start : start + LANES]
+    side = lanes_for(size)
+    for start in range(0, len(order), side):
+        part = order[start : start + side]
         lengths = np.array([len(blocks[i]) for i in part])
-        ids = np.zeros((max(lengths, default=0), len(part)), np.uint16)
+        ids = np.zeros((max(lengths, default=0), len(part)), np.int32)
         for lane, i in enumerate(part):
             ids[: len(blocks[i]), lane] = blocks[i]
-        model, coder = _Model(len(part)), _Coder(len(part))
-        taken: list[tuple] = []
-
-        def raw(lane, bits, values):
-            on = bits > 0
-            taken.append((lane[on].astype(np.int32), bits[on].astype(np.uint8), values[on].astype(np.uint16)))
-            return values
-
+        model, coder = _Mixture(len(part), size), _Coder(len(part))
         for t in range(len(ids)):
-            k = np.arange(int(np.searchsorted(-lengths, -t, side="left")))
-            _step(model, coder, k, ids[t, : len(k)].astype(np.int64), raw)
-        coded = coder.finish()
-        lane, bits, values = (np.concatenate([x[j] for x in taken]) for j in range(3)) if taken else (np.zeros(0, int),) * 3
-        by_lane = np.argsort(lane, kind="stable")
-        lane, bits, values = lane[by_lane], bits[by_lane].astype(np.int64), values[by_lane].astype(np.int64)
-        edges = np.searchsorted(lane, np.arange(len(part) + 1))
-        for j, i in enumerate(part):
-            n, v = bits[edges[j] : edges[j + 1]], values[edges[j] : edges[j + 1]]
-            each = np.repeat(n - 1 + np.cumsum(n) - n, n) - np.arange(n.sum())
-            packed = np.packbits((np.repeat(v, n) >> each & 1).astype(np.uint8)).tobytes()
+            n = int(np.searchsorted(-lengths, -t, side="left"))
+            own = ids[t, :n].astype(np.int64)
+            guessed, added, slots = model.guesses(n)
+            before, weight = model.order0(np.arange(n), own)
+            for guess, extra in zip(guessed, added):
+                before += np.where(guess < own, extra, 0)
+                weight += np.where(guess == own, extra, 0)
+            coder.code(before, weight, model.total[:n] + added[0] + added[1])
+            model.learn(own, guessed, slots)
+        for i, coded in zip(part, coder.finish()):
             check = zlib.crc32(blocks[i].astype("<u4").tobytes())
-            body = coded[j] + packed
-            out[i] = MAGIC + np.array([len(blocks[i]), check, len(coded[j]), len(packed), zlib.crc32(body)], "<u4").tobytes() + body
+            out[i] = MAGIC + np.array([len(blocks[i]), size, check, len(coded), zlib.crc32(coded)], "<u4").tobytes() + coded
     return out
 
 
+def _decoded(model: _Mixture, target: np.ndarray, guessed: list[np.ndarray], added: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids that hold the targets, the weight before them and theirs."""
+    n = len(target)
+    lane = np.arange(n)
+    swap = guessed[0] > guessed[1]
+    low, high = np.where(swap, guessed[1], guessed[0]), np.where(swap, guessed[0], guessed[1])
+    more_low, more_high = np.where(swap, added[1], added[0]), np.where(swap, added[0], added[1])
+    found, before, weight = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    rest = target.copy()
+    shift = np.zeros(n, np.int64)  # weight of guesses before
+    twin = low == high
+    for ids, extra in ((low, np.where(twin, more_low + more_high, more_low)), (high, np.where(twin, 0, more_high))):
+        at = np.flatnonzero((ids >= 0) & (extra > 0) & (found < 0))
+        start, own = model.order0(at, ids[at])
+        start += shift[at]
+        inside = (target[at] >= start) & (target[at] < start + own + extra[at])
+        hit = at[inside]
+        found[hit], before[hit], weight[hit] = ids[hit], start[inside], (own + extra[at])[inside]
+        past = at[target[at] >= start + own + extra[at]]
+        shift[past] += extra[past]
+        rest[past] = target[past] - shift[past]
+    at = np.flatnonzero(found < 0)
+    if len(at):
+        found[at] = model.find(at, rest[at])
+        start, weight[at] = model.order0(at, found[at])
+        before[at] = start + shift[at]
+    return found, before, weight
+
+
 def decode_blocks(bodies: list[bytes]) -> list[np.ndarray]:
     """The ids of each block; raises if one is damaged."""
     heads = []
     for body in bodies:
         head = np.frombuffer(body[4:_HEAD], "<u4").astype(np.int64) if len(body) >= _HEAD else np.zeros(5, np.int64)
-        if body[:4] != MAGIC or head[0] > BLOCK or len(body) != _HEAD + head[2] + head[3] or zlib.crc32(body[_HEAD:]) != head[4]:
+        sound = body[:4] == MAGIC and head[0] <= BLOCK and 0 < head[1] <= MOST and len(body) == _HEAD + head[3]
+        if not sound or zlib.crc32(body[_HEAD:]) != head[4]:
             raise ValueError("not a block, or a damaged one")
         heads.append(head)
-    out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(bodies)
-    order = sorted(range(len(bodies)), key=lambda i: -heads[i][0])
-    for start in range(0, len(order), LANES):
-        part = order[start : start + LANES]
-        lengths = np.array([heads[i][0] for i in part])
-        model = _Model(len(part))
-        coder = _Coder(len(part), [bodies[i][_HEAD : _HEAD + heads[i][2]] for i in part])
-        width = max((int(heads[i][3]) for i in part), default=0) + 4
-        raws = np.frombuffer(b"".join(bodies[i][_HEAD + heads[i][2] :].ljust(width, b"\0") for i in part), np.uint8)
-        at = np.zeros(len(part), np.int64)
-
-        def raw(lane, bits, _):
-            byte = np.minimum(at[lane] >> 3, width - 3) + lane * width
-            three = raws[byte].astype(np.int64) << 16 | raws[byte + 1].astype(np.int64) << 8 | raws[byte + 2]
-            value = three >> (24 - (at[lane] & 7) - bits) & ((1 << bits) - 1)
-            at[lane] += bits
-            return value
-
-        ids = np.zeros((max(lengths, default=0), len(part)), np.uint16)
-        try:
+    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(bodies)
+    for size in sorted({int(h[1]) for h in heads}):
+        order = sorted((i for i in range(len(bodies)) if heads[i][1] == size), key=lambda i: -heads[i][0])
+        side = lanes_for(size)
+        for start in range(0, len(order), side):
+            part = order[start : start + side]
+            lengths = np.array([heads[i][0] for i in part])
+            model, coder = _Mixture(len(part), size), _Coder(len(part), [bodies[i][_HEAD:] for i in part])
+            ids = np.zeros((max(lengths, default=0), len(part)), np.int32)
             for t in range(len(ids)):
-                k = np.arange(int(np.searchsorted(-lengths, -t, side="left")))
-                ids[t, : len(k)] = _step(model, coder, k, None, raw)
-        except IndexError as error:  # read past its end
-            raise ValueError("a block is damaged") from error
-        for lane, i in enumerate(part):
-            out[i] = np.ascontiguousarray(ids[: heads[i][0], lane])
-            if zlib.crc32(out[i].astype("<u4").tobytes()) != heads[i][1]:
-                raise ValueError("a block is damaged: its checksum differs")
+                n = int(np.searchsorted(-lengths, -t, side="left"))
+                guessed, added, slots = model.guesses(n)
+                total = model.total[:n] + added[0] + added[1]
+                found, before, weight = _decoded(model, coder.target(total), guessed, added)
+                if (found >= size).any():
+                    raise ValueError("a block is damaged")
+                coder.code(before, weight, total)
+                model.learn(found, guessed, slots)
+                ids[t, :n] = found
+            for lane, i in enumerate(part):
+                out[i] = np.ascontiguousarray(ids[: heads[i][0], lane])
+                if zlib.crc32(out[i].astype("<u4").tobytes()) != heads[i][2]:
+                    raise ValueError("a block is damaged: its checksum differs")
     return out
 
 
@@ -366,11 +380,11 @@ def write(docs: DataFrame, path: str, tokenizer: str = public_tokenizers.path("b
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, size, written, block, carried
-            stream = np.concatenate(held) if held else np.zeros(0, np.uint16)
+            stream = np.concatenate(held) if held else np.zeros(0, np.int32)
             whole = len(stream) if last else len(stream) // BLOCK * BLOCK
             blocks = [stream[i : min(i + BLOCK, whole)] for i in range(0, whole, BLOCK)]
             rows = []
-            for part, body in zip(blocks, encode_blocks(blocks)):
+            for part, body in zip(blocks, encode_blocks(blocks, max(ids.vocabulary, end + 1))):
                 room, pieces = len(part), []
                 while room:
                     number, doc_id, n = docs[0]
@@ -394,7 +408,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = public_tokenizers.path("b
             keys, texts = (c.to_pylist() for c in batch.columns)
             for i in range(0, len(texts), 256):
                 for doc_id, found in zip(keys[i : i + 256], ids.encode(texts[i : i + 256])):
-                    held.append(np.append(found, end).astype(np.uint16))
+                    held.append(np.append(found, end).astype(np.int32))
                     docs.append((ordinal, doc_id, len(found) + 1))
                     size += len(found) + 1
                     ordinal += 1
@@ -403,7 +417,8 @@ def write(docs: DataFrame, path: str, tokenizer: str = public_tokenizers.path("b
         if docs:
             yield from flush(True)
 
-    ordered = picked.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one doc_id, or of none, are parted by their texts: no id is bound to one task
+    ordered = picked.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, _FILE).write.parquet(path)
 
 
