@@ -26,6 +26,7 @@ from .operators.vault import (
 )
 from .policy import Policy, Recognizer
 from .sinks.writers import write_safe
+from .sources.formats import file_format
 from .sources.readers import load_tables
 
 
@@ -70,6 +71,7 @@ def import_table(
     detector: EntityDetector | None = None,
     text_column: str | None = None,
     row_key: Sequence[str] | None = None,
+    input_type: str | None = None,
 ) -> SanitizeResult:
     """Sanitize a table (or, with ``text_column``, a collection of documents), store its
     mapping encrypted and record the event. The result still has to pass the gate."""
@@ -81,14 +83,18 @@ def import_table(
         result = sanitize_table(df, policy, key, mode, override, recognizers, detector, row_key)
     else:
         result = sanitize_text(df, text_column, policy, key, recognizers, detector)
+    gate = result.gate
+    gate.project_id, gate.job_id = key.project_id, job_id
+    gate.input_type = input_type or ("table" if text_column is None else "text")
+    minting = any(p.action == "tokenize" for p in result.plans) or result.policy.recognizers
+    # before anything is stored: a job that fails leaves no rows and keeps its id
+    if minting and token_collisions(result.mapping()).take(1):
+        raise TokenCollision("token collision detected")
     if policy.security.store_raw_copy:
         raw = seal_rows(df, key, job_id, timedelta(hours=policy.security.raw_ttl_hours))
         write_vault(raw, stores.vault)
-    if any(p.action == "tokenize" for p in result.plans) or result.policy.recognizers:
+    if minting:
         ttl = timedelta(days=policy.security.mapping_ttl_days)
-        # before anything is stored: a job that fails leaves no rows and keeps its id
-        if token_collisions(result.mapping()).take(1):
-            raise TokenCollision("token collision detected")
         write_vault(seal_mapping(result.mapping(), key, job_id, ttl), stores.vault)
     append_event(
         spark,
@@ -119,7 +125,8 @@ def import_file(
     several = len(tables) > 1
     results = {
         name: import_table(
-            table, policy, key, f"{job_id}-{i}" if several else job_id, stores, mode, **options
+            table, policy, key, f"{job_id}-{i}" if several else job_id, stores, mode,
+            input_type=file_format(path, input_type), **options
         )
         for i, (name, table) in enumerate(tables.items())
     }

@@ -64,6 +64,7 @@ from ..streaming.stream import (
 )
 from . import common as c
 from .common import KEY, table, spread_table, work_folder
+from .surface import SURFACE
 
 NOW = datetime(2026, 1, 1, tzinfo=timezone.utc)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -906,4 +907,4 @@ QUERIES: dict[str, Query] = {
         stream_report, stream_tokens, planted_secrets, null_rules, import_books, stream_quarantine, vault_of_two_streams,
         observed_gate, atomic_tables, released_stream, appended_audit,
     )
-}
+} | SURFACE

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.report import ExportBlocked, Report
 from ..operators.sanitize import SanitizeResult
@@ -37,6 +38,8 @@ def write_safe(
 
 
 def write_report(report: Report, spark, path: str, mode: str = "errorifexists") -> None:
-    """Counters and column actions as two small tables under ``path``."""
-    report.counters(spark).coalesce(1).write.mode(mode).parquet(f"{path}/counters")
-    report.columns(spark).coalesce(1).write.mode(mode).parquet(f"{path}/columns")
+    """Counters and column actions as two small tables under ``path``; reports of jobs carry
+    project, job and kind of input in every row, so that many of them share the tables."""
+    named = {name: F.lit(value) for name, value in report.identity().items()}
+    for part, rows in (("counters", report.counters(spark)), ("columns", report.columns(spark))):
+        rows.withColumns(named).coalesce(1).write.mode(mode).parquet(f"{path}/{part}")
