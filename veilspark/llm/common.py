@@ -6,14 +6,18 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sinks.commit import remove
+
 #: ASCII white space, which separates words: bytes.split() without arguments cuts at the same bytes.
 SPACE = r"[\x20\x09-\x0D]+"
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _local: dict[str, str] = {}
+_passing: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,15 +33,31 @@ def shared_folder(spark: SparkSession) -> str:
     return _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="veilspark-"))
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends, a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    if not stays:
+        for made in _passing:
+            made.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that are staged inside are removed at its end, but for those that stay."""
+    made: list[str] = []
+    _passing.append(made)
+    try:
+        yield
+    finally:
+        _passing.remove(made)
+        for path in made:
+            remove(spark, path)
+
+
 def word_pieces(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
     """The words of a text, in lists from about `size` bytes each, so that a very long text needs little memory."""
     if len(data) <= size:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stage, word_pieces
+from .common import passing_tables, small, stage, word_pieces
 from .substring_dedup import window_hashes, word_hashes
 
 #: xxHash seed of the shingles.
@@ -316,6 +316,11 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     that piece, so that candidates grow with the rows and not with the squares of groups. Sketches of the shingle sets
     sort out candidates far from similar; the others meet their shingle sets. Rows of one word sequence are one.
     """
+    with passing_tables(docs.sparkSession):
+        return stage(_near_copies(docs, doc_id, text, similarity, shingle, radius, shard_rows), "near-copies", stays=True)
+
+
+def _near_copies(docs: DataFrame, doc_id: str, text: str, similarity: float, shingle: int, radius: int, shard_rows: int) -> DataFrame:
     found = stage(sides(docs, doc_id, text, shingle), "sides")
     same = found.groupBy("sequence", "words").agg(F.min("row").alias("unit"))
     of = stage(found.select("row", "doc_id", "mark", "sequence", "words").join(same, ["sequence", "words"]).select("row", "doc_id", "mark", "unit"), "units")
