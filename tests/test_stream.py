@@ -92,3 +92,17 @@ def test_stateless_projection_on_a_stream(spark, key, tmp_path):
     assert sorted(map(str, spark.table("projected").collect())) == sorted(map(str, batch.collect()))
     with pytest.raises(ValueError):
         safe_stream(stream.select(F.length("note").alias("n")), Policy.from_dict({"columns": {"n": "synthesize"}}), key)
+
+
+def test_a_token_of_another_original_in_an_earlier_batch_stops_the_stream(spark, key, tmp_path):
+    paths = paths_in(tmp_path)
+    sanitize_stream(stream_of(spark, tmp_path, BATCHES[:1]), POLICY, key, "job", paths).awaitTermination()
+    checks = f"{paths.vault}/_checks/project_id=project/job_id=job/batch_id=0"
+    stored = spark.read.parquet(checks)
+    assert stored.count() == 2 and "C-001" not in str(stored.collect())
+    other = spark.createDataFrame([(r.token, "CHECK_OTHER") for r in stored.collect()], stored.schema)
+    other.write.mode("overwrite").parquet(checks)
+    spark.createDataFrame(BATCHES[1], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/part=1")
+    again = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/part=*")
+    with pytest.raises(StreamingQueryException, match="token collision"):
+        sanitize_stream(again, POLICY, key, "job", paths).awaitTermination()

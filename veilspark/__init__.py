@@ -15,10 +15,11 @@ from .operators.sanitize import (
 from .operators.text_scan import EntityDetector
 from .operators.vault import purge_expired
 from .policy import Policy, Recognizer
+from .sinks.release import read_release, release_tables, releases
 from .sinks.writers import write_safe
 from .sources.preview import preview_file, preview_table
 from .sources.readers import load_any, load_tables
-from .streaming.stream import StreamPaths, safe_stream, sanitize_stream
+from .streaming.stream import StreamPaths, release_stream, safe_stream, sanitize_stream
 
 __all__ = [
     "DuplicateJob",
@@ -44,6 +45,10 @@ __all__ = [
     "profile_columns",
     "profile_tables",
     "purge_expired",
+    "read_release",
+    "release_stream",
+    "release_tables",
+    "releases",
     "residual_scan",
     "safe_stream",
     "sanitize_records",

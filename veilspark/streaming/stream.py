@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.hashing import token_for
 from ..functions.numbers import is_integral
 from ..functions.text import quoted
 from ..keys import ProjectKey, validate_identifier
@@ -18,7 +19,7 @@ from ..operators.actions import action_column
 from ..operators.report import ExportBlocked
 from ..operators.sanitize import SanitizeResult, sanitize_table, work_name
 from ..operators.text_scan import EntityDetector, scan_text
-from ..operators.vault import VAULT_SCHEMA, job_path, seal_mapping, token_collisions
+from ..operators.vault import VAULT_SCHEMA, TokenCollision, job_path, seal_mapping, token_collisions
 from ..policy import ColumnPlan, Policy, Recognizer, resolve_actions
 from ..sinks.release import commit_release, parts_path
 
@@ -88,7 +89,9 @@ def sanitize_stream(
     schema = df.schema
     validate_identifier(job_id, "job_id")
     own = job_path(paths.vault, key.project_id, job_id) if paths.vault else None
+    checks = job_path(f"{paths.vault}/_checks", key.project_id, job_id) if paths.vault else None
     if own:  # an empty first part, so that the first batch has a vault to read
+        token_checks(df.sparkSession.createDataFrame([], "token string, original string"), key).write.mode("append").parquet(f"{checks}/batch_id=-1")
         _vault_part(df.sparkSession.createDataFrame([], VAULT_SCHEMA)).write.mode("append").parquet(f"{own}/batch_id=-1")
 
     plans = [
@@ -121,12 +124,13 @@ def sanitize_stream(
 
     def store_tokens(spark: SparkSession, result: SanitizeResult, batch_id: int) -> None:
         mapping = result.mapping()
-        if token_collisions(mapping).take(1):
-            raise ValueError("token collision detected")
+        if token_collisions(mapping).take(1) or clashing_tokens(spark, mapping, key, checks, batch_id).take(1):
+            raise TokenCollision("token collision detected")
         fresh = new_tokens(spark, mapping, own, batch_id)
         ttl = timedelta(days=policy.security.mapping_ttl_days)
         sealed = _vault_part(seal_mapping(fresh, key, job_id, ttl))
         sealed.write.mode("overwrite").parquet(f"{own}/batch_id={batch_id}")
+        token_checks(fresh, key).write.mode("overwrite").parquet(f"{checks}/batch_id={batch_id}")
 
     return (
         df.writeStream.foreachBatch(gated)
@@ -160,6 +164,18 @@ def _vault_part(rows: DataFrame) -> DataFrame:
     return rows.drop("project_id", "job_id")
 
 
+def token_checks(mapping: DataFrame, key: ProjectKey) -> DataFrame:
+    """token and a keyed check value of the original it stands for, which shows nothing without the key."""
+    return mapping.select("token", token_for(key, "CHECK", F.col("original")).alias("check"))
+
+
+def clashing_tokens(spark: SparkSession, mapping: DataFrame, key: ProjectKey, checks: str, batch_id: int) -> DataFrame:
+    """Tokens of a batch that an earlier batch of the job stored for another original."""
+    stored = spark.read.schema("token string, check string, batch_id bigint").parquet(checks)
+    stored = stored.where(F.col("batch_id") < batch_id).select("token", F.col("check").alias("known"))
+    return token_checks(mapping, key).join(stored, "token").where(F.col("check") != F.col("known")).select("token")
+
+
 def new_tokens(spark: SparkSession, mapping: DataFrame, own: str, batch_id: int) -> DataFrame:
     """Tokens that no earlier batch of the job stored, of which only the token column is
     read; a rerun of a batch does not see its own rows."""
