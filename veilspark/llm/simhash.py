@@ -322,8 +322,12 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
 
 def _near_copies(docs: DataFrame, doc_id: str, text: str, similarity: float, shingle: int, radius: int, shard_rows: int) -> DataFrame:
     found = stage(sides(docs, doc_id, text, shingle), "sides")
-    same = found.groupBy("sequence", "words").agg(F.min("row").alias("unit"))
-    of = stage(found.select("row", "doc_id", "mark", "sequence", "words").join(same, ["sequence", "words"]).select("row", "doc_id", "mark", "unit"), "units")
+    same = stage(found.groupBy("sequence", "words").agg(F.min("row").alias("unit"), F.count("*").alias("n")), "sequences")
+    large = F.col("n") > found.count() // 1000  # under a thousand of them
+    rows, keys = found.select("row", "doc_id", "mark", "sequence", "words"), ["sequence", "words"]
+    hot = F.broadcast(same.where(large).drop("n"))
+    of = rows.join(hot, keys).unionByName(rows.join(hot.drop("unit"), keys, "left_anti").join(same.where(~large).drop("n"), keys))
+    of = stage(of.select("row", "doc_id", "mark", "unit"), "units")
     units = found.join(of.where("row = unit").select("row"), "row", "left_semi").where("words > 0")
     units = stage(units.select("row", "fp", "size", "sketch", "pieces"), "unit-sides")
 
