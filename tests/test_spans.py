@@ -19,6 +19,7 @@ from veilspark.functions.spans import (
 )
 from veilspark.operators.text_scan import (
     callback_flags,
+    count_pii,
     count_secrets,
     pii_label,
     recognizer_rules,
@@ -251,3 +252,16 @@ def test_line_by_line_redaction_equals_brute_force_on_whole_texts(spark):
         text = texts[row["i"]]
         assert row["safe"] == brute_redaction(text), text
         assert row["n"] == row["counted"] == len(brute(text))
+
+
+def test_cards_beside_other_numbers_are_redacted(spark, key):
+    texts = {
+        "at 61.64.53.61 4080166431094600 on": ("at [REDACTED_IP_ADDRESS] [REDACTED_CREDIT_CARD]on", 2),
+        "38.211.12.42 4366089147969128 ly": ("[REDACTED_IP_ADDRESS] [REDACTED_CREDIT_CARD]ly", 2),
+        "card 4080166431094600 61": ("card [REDACTED_CREDIT_CARD] 61", 1),
+        "61 4111 1111 1111 1111, 4111-1111-1111-1111 61": ("61 [REDACTED_CREDIT_CARD], [REDACTED_CREDIT_CARD] 61", 2),
+        "61 4080166431094601": ("61 4080166431094601", 0),
+    }
+    df = spark.createDataFrame([(t, *want) for t, want in texts.items()], "t string, safe string, n int")
+    for row in scan_text(df, "t", "s", key).withColumn("counted", count_pii(F.col("t"))).collect():
+        assert (row["s"]["safe"], row["s"]["pii"], row["counted"]) == (row["safe"], row["n"], row["n"]), row["t"]
