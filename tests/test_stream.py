@@ -106,3 +106,14 @@ def test_a_token_of_another_original_in_an_earlier_batch_stops_the_stream(spark,
     again = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/part=*")
     with pytest.raises(StreamingQueryException, match="token collision"):
         sanitize_stream(again, POLICY, key, "job", paths).awaitTermination()
+
+
+def test_batches_of_the_event_queries_do_not_grow_with_the_files(spark, tmp_path):
+    from veilspark.plans import queries
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(200)
+    events.repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    out = queries._event_stream(spark, str(tmp_path)).out
+    written = spark.read.parquet(out)
+    assert written.count() == 200
+    assert sorted(r[0] for r in written.select("batch_id").distinct().collect()) == [0, 1, 2]
