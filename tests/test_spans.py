@@ -3,14 +3,16 @@
 import random
 import re
 import unicodedata
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from veilspark import EntityDetector, Recognizer
-from veilspark.functions.patterns import PII_RULES
+from veilspark.functions.patterns import PII_RULES, SECRET_RULES, TEXT_RULES
 from veilspark.functions.spans import (
     SpanRule,
+    any_rule,
     count_by_line,
     find_spans,
     replace_by_line,
@@ -265,3 +267,13 @@ def test_cards_beside_other_numbers_are_redacted(spark, key):
     df = spark.createDataFrame([(t, *want) for t, want in texts.items()], "t string, safe string, n int")
     for row in scan_text(df, "t", "s", key).withColumn("counted", count_pii(F.col("t"))).collect():
         assert (row["s"]["safe"], row["s"]["pii"], row["counted"]) == (row["safe"], row["n"], row["n"]), row["t"]
+
+
+def test_digit_rules_share_one_guard_and_lose_nothing_by_it(spark):
+    texts = HAND_WRITTEN + random_texts(500) + ["0 1 2 3 4 5 6 7 8 9 0 1 2 3 4 5", "Basic TOKEN: aB3aB3aB3", "PassWord=hunter22"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for rules in (TEXT_RULES, SECRET_RULES):
+        bare = [replace(r, guard=None, words=(), covered=False) for r in rules]
+        assert not df.where(any_rule(F.col("t"), rules) != any_rule(F.col("t"), bare)).collect()
+    guards = {r.guard for r in TEXT_RULES if r.guard}
+    assert len(guards) == 1 and str(any_rule(F.col("t"), TEXT_RULES)).replace("\\\\", "\\").count(guards.pop()) == 1
