@@ -143,3 +143,11 @@ def test_metadata_ignores_row_order_but_not_content(spark):
     assert (digest["row_count"], digest["column_count"]) == (3, 2)
     assert table_metadata(df.repartition(3).orderBy("s"), "t").first()["digest"] == digest["digest"]
     assert table_metadata(df.na.fill(""), "t").first()["digest"] != digest["digest"]
+
+
+def test_rows_per_file_bounds_every_file(spark, tmp_path):
+    from veilspark.sinks.writers import write_rows
+
+    write_rows(spark.range(250).coalesce(1), f"{tmp_path}/rows", "csv", rows_per_file=100)
+    sizes = spark.read.option("header", True).csv(f"{tmp_path}/rows").groupBy("_metadata.file_name").count()
+    assert sorted(r["count"] for r in sizes.collect()) == [50, 100, 100]
