@@ -135,3 +135,27 @@ def test_near_copies_are_found_and_verified(spark):
     assert len(linked) > 100 and np.mean([same(a, b) for a, b in linked]) > 0.95
     assert len({root[2000 + i] for i in range(30)}) == 1 and same(4000, 4001) and same(4002, 4003) and same(None, 0)
     assert simhash.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_near_copies_lose_no_link(spark):
+    """Similarities on both sides of 0.8, texts that share most of their pieces with many unlike ones, and chains."""
+    rng = np.random.default_rng(12)
+    lines = [" ".join(f"line{k}x{i}" for i in range(12)) for k in range(14)]
+    texts = [" ".join(lines[k] for k in rng.permutation(14)[: int(rng.integers(3, 8))]) for _ in range(250)]
+    base = [f"chain{i}" for i in range(120)]
+    for i in range(40):  # each is like the one before and unlike the first
+        base[3 * i] = f"step{i}"
+        texts.append(" ".join(base))
+    for i in range(120):
+        words = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(6, 150)))]
+        texts.append(" ".join(words))
+        for at in rng.integers(0, len(words), max(1, len(words) // 40)):
+            words[at] = f"other{i}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = plain_near_groups(texts)
+    assert len(set(want[250:290])) == 1 and 200 < len(set(want)) < 500
+    for options in ({}, {"paired": 3, "block": 7}):
+        root = {r.doc_id: r.root for r in simhash.near_copies(docs, **options).collect()}
+        first: dict = {}
+        assert [first.setdefault(root[i], g) for i, g in enumerate(want)] == want and len(set(root.values())) == len(set(want))

@@ -21,16 +21,17 @@ empty table gives an empty result; other columns of the input are not looked at.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import passing_tables, small, stage, word_pieces
+from .common import hashed_share, passing_tables, small, stage, word_pieces
 from .substring_dedup import window_hashes, word_hashes
 
 #: xxHash seed of the shingles.
@@ -234,40 +235,82 @@ def near_duplicates(
     return found.join(named, "fp").select("doc_id", "mark", "fp", "component_id", "root")
 
 
-_SKETCH = 16
-_RAREST = 4
-_SIDES = "row bigint, doc_id {}, mark bigint, fp bigint, words int, sequence bigint, size int, sketch array<bigint>, pieces array<bigint>, shingles binary"
+#: Words of a parity bitmap of a shingle set, 64 bits each.
+_PARITY = 16
+#: Shingles that are put last, at most: the frequent ones of a sample of the rows.
+_FREQUENT = 1 << 16
+_SIDES = "row bigint, doc_id {}, mark bigint, fp bigint, words int, sequence bigint, size int, parity array<bigint>, prefix array<bigint>, shingles binary"
 
 
-def _piece_hashes(words: np.ndarray) -> np.ndarray:
-    """Hashes of runs of words that end where a word's own hash says so, every eighth word or so: an edit changes the
-    run it is in, and the others stay."""
-    if not len(words):
-        return np.empty(0, np.uint64)
-    ends = np.flatnonzero(words >> np.uint64(61) == 0) + 1
-    edges = np.unique(np.concatenate([[0], ends, [len(words)]]))
-    order = np.arange(len(words)) - np.repeat(edges[:-1], np.diff(edges))
-    mixed = (words ^ (words >> np.uint64(31))) * (2 * order.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    return np.unique(np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), edges[:-1]))
+def _shingle_hashes(body: bytes | None, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's words, and the sorted set of those of its shingles (fewer words: of the whole sequence)."""
+    words = np.concatenate([np.empty(0, np.uint64), *(word_hashes(w) for w in word_pieces((body or b"").lower()) if w)])
+    return words, np.unique(window_hashes(words, min(shingle, max(len(words), 1))))
 
 
-def sides(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+def _frequent_shingles(docs: DataFrame, doc_id: str, text: str, shingle: int, least_rows: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that occur in four rows or more of a sample (a sixteenth of the rows, `least_rows` at
+    least), and the binary logarithm of their counts. They only order shingles: any choice finds the same links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_shingle_hashes(body, shingle)[1] for body in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())], names=["token"])
+
+    total = docs.count()
+    drawn = docs.where(hashed_share(F.xxhash64(doc_id, text), max(total // 16, least_rows), total))
+    tokens = drawn.select(F.col(text).cast("binary").alias("text")).mapInArrow(run, "token bigint")
+    often = tokens.groupBy("token").agg(F.floor(F.log2(F.count("*"))).cast("int").alias("level")).where("level >= 2")
+    often = stage(often, "frequent")
+    least, held = 64, 0
+    for level, n in sorted(often.groupBy("level").count().collect(), reverse=True):  # one row a level, 64 at most
+        if held + n > _FREQUENT:
+            break
+        least, held = level, held + n
+    rows = sorted((r[0] % (1 << 64), r[1]) for r in often.where(F.col("level") >= least).collect())
+    return np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int8)
+
+
+def _prefix(found: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first elements of a sorted set, by frequency and then value, so many that two sets of that similarity or
+    more always share one of them: a set may lack at most a share of 1 - similarity of its own in the other."""
+    if not len(found):
+        return found
+    level = np.zeros(len(found), np.int8)
+    if len(frequent[0]):
+        at = np.minimum(np.searchsorted(frequent[0], found), len(frequent[0]) - 1)
+        level = np.where(frequent[0][at] == found, frequent[1][at], level)
+    needed = math.ceil(similarity * len(found) - 1e-9)
+    return found[np.argsort(level, kind="stable")][: len(found) - needed + 1]
+
+
+def _parity(short: np.ndarray) -> np.ndarray:
+    """For each of some 1,000 bits whether an odd number of elements have it: sets differ in an element at least for
+    each bit in which their bitmaps differ."""
+    odd = np.bincount(short % (64 * _PARITY), minlength=64 * _PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def sides(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, frequent: tuple = ((), ())
+) -> DataFrame:
     """What near_copies compares of each row: fingerprint, hash of the word sequence, shingle set (32 bits each), its
-    smallest hashes and the pieces."""
+    parity bitmap and its prefix."""
+    frequent = (np.array(frequent[0], np.uint64), np.array(frequent[1], np.int8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-        names = ["fp", "words", "sequence", "size", "sketch", "pieces", "shingles"]
+        names = ["fp", "words", "sequence", "size", "parity", "prefix", "shingles"]
         for batch in batches:
             rows = []
             for body in batch.column(3).to_pylist():
-                words = np.concatenate([np.empty(0, np.uint64), *(word_hashes(w) for w in word_pieces((body or b"").lower()) if w)])
+                words, found = _shingle_hashes(body, shingle)
                 whole = int(window_hashes(words, len(words))[0]) if len(words) else 0
-                found = np.unique(window_hashes(words, min(shingle, max(len(words), 1))))
                 fp = fingerprint(body, shingle)
                 signed = lambda x: np.asarray(x, np.uint64).view(np.int64)
                 short = np.unique((found >> np.uint64(32)).astype("<u4"))
-                rows.append((int(signed(fp)), len(words), int(signed(whole)), len(short), np.sort(signed(found))[:_SKETCH], signed(_piece_hashes(words)), short.tobytes()))
+                prefix = signed(_prefix(found, frequent, similarity))
+                rows.append((int(signed(fp)), len(words), int(signed(whole)), len(short), _parity(short), prefix, short.tobytes()))
             columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["row", "doc_id", "mark", *names])
 
@@ -276,19 +319,134 @@ def sides(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     return picked.mapInArrow(run, _SIDES.format(kind))
 
 
-def _piece_pairs(units: DataFrame) -> DataFrame:
-    """Pairs (u, v) of rows: each with the two leaders of its rarest pieces that occur elsewhere."""
-    pieces = units.select("row", F.explode("pieces").alias("piece"))
-    by_hash = F.struct(F.xxhash64("row", "piece").alias("h"), "row")
-    often = pieces.groupBy("piece").agg(F.count("*").alias("n"), F.min(by_hash)["row"].alias("one"), F.max(by_hash)["row"].alias("two"))
-    often = stage(often.where("n > 1"), "pieces")
-    total = often.agg(F.sum("n")).first()[0] or 0
-    hot = often.where(F.col("n") > total // 1000)  # under a thousand of them
-    rest = pieces.join(F.broadcast(hot.select("piece")), "piece", "left_anti").join(often.where(F.col("n") <= total // 1000), "piece")
-    met = rest.unionByName(pieces.join(F.broadcast(hot), "piece"))
-    rarest = met.groupBy("row").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "piece", "one", "two"))), 1, _RAREST).alias("found"))
-    each = rarest.select("row", F.explode("found").alias("x")).select("row", F.explode(F.array("x.one", "x.two")).alias("other"))
-    return each.select(F.greatest("row", "other").alias("u"), F.least("row", "other").alias("v")).where("u > v")
+def _may_be_similar(size_u, at_u, size_v, at_v, similarity: float):
+    """Whether sets of these sizes may have the similarity, if these places are of the first element they share."""
+    low, high = np.minimum(size_u, size_v), np.maximum(size_u, size_v)
+    left = 1 + np.minimum(size_u - at_u - 1, size_v - at_v - 1)
+    return (low >= similarity * high - 1e-6) & (left >= similarity / (1 + similarity) * (size_u + size_v) - 1e-6)
+
+
+def _prefix_pairs(units: DataFrame, similarity: float, paired: int) -> DataFrame:
+    """u, v, token: pairs of rows that share a shingle of their prefixes (token null). Of a shingle that more than
+    `paired` rows share, each row with the first and the last of them, and the rows themselves (v null)."""
+
+    def group_pairs(token: np.ndarray, row: np.ndarray, size: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        lengths = np.diff(np.append(starts, len(token)))
+        left, right, members = [], [], []
+        for length in np.unique(lengths[lengths > 1]):
+            first = starts[lengths == length]
+            if length <= paired:
+                a, b = np.triu_indices(length, 1)
+                left.append((first[:, None] + a).ravel())
+                right.append((first[:, None] + b).ravel())
+                continue
+            for start in first:
+                every = np.arange(start, start + length)
+                for leader in (row[every].argmin(), row[every].argmax()):
+                    left.append(every)
+                    right.append(np.full(length, start + leader))
+                members.append(every)
+        if not left:
+            return
+        left, right, members = np.concatenate(left), np.concatenate(right), np.concatenate([np.empty(0, np.int64), *members])
+        keep = _may_be_similar(size[left], at[left], size[right], at[right], similarity) & (row[left] != row[right])
+        u, v = row[left[keep]], row[right[keep]]
+        n, m = len(u), len(members)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([np.maximum(u, v), row[members]])),
+                pa.array(np.concatenate([np.minimum(u, v), np.zeros(m, np.int64)]), mask=np.arange(n + m) >= n),
+                pa.array(np.concatenate([np.zeros(n, np.int64), token[members]]), mask=np.arange(n + m) < n),
+            ],
+            names=["u", "v", "token"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # rows of the last shingle so far
+
+        def done(more: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            whole = [np.concatenate(c) for c in zip(*held, more)]
+            held.clear()
+            yield from group_pairs(*whole)
+
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not len(columns[0]):
+                continue
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))
+            if cut or (held and held[-1][0][-1] != columns[0][0]):
+                yield from done([c[:cut] for c in columns])
+            held.append([c[cut:].copy() for c in columns])
+        if held:
+            yield from done([c[:0] for c in held[-1]])
+
+    tokens = units.select(F.posexplode("prefix").alias("at", "token"), "row", "size").select("token", "row", "size", "at")
+    return tokens.repartition("token").sortWithinPartitions("token").mapInArrow(run, "u bigint, v bigint, token bigint")
+
+
+def _rest(members: DataFrame, units: DataFrame, sets: DataFrame, stars: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Links (u, v) that connect the rows of large groups (of `token`) as all links between them do.
+
+    Rows that `stars` connect need no further link. A group whose rows are all connected is done, and groups of the same
+    rows are one. Others are cut, in order of size and component, into blocks; blocks whose sizes admit a link and that
+    hold more than one component meet in a task each, which compares all their pairs by matrix products.
+    """
+    root = F.coalesce("root", "row").alias("root")
+    named = members.join(stars.withColumnRenamed("node", "row"), "row", "left").select("token", "row", root)
+    groups = named.groupBy("token").agg(
+        F.count("*").alias("n"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("one"),
+        F.sum(F.xxhash64(F.lit(1), "row").cast("decimal(38,0)")).alias("two"), F.min("root").alias("low"), F.max("root").alias("high"),
+    )
+    open_groups = groups.where("low < high").groupBy("n", "one", "two").agg(F.min("token").alias("token")).select("token")
+    band = F.floor(F.log(F.col("size").cast("double")) / math.log(1 / similarity))
+    place = F.row_number().over(Window.partitionBy("token").orderBy(band, "root", "size", "row"))
+    placed = named.join(open_groups, "token", "left_semi").join(units.select("row", "size"), "row")
+    placed = stage(placed.withColumn("block", F.floor((place - 1) / block).cast("int")), "large-groups")
+    ranges = placed.groupBy("token", "block").agg(
+        F.min("size").alias("least"), F.max("size").alias("most"), F.min("root").alias("low"), F.max("root").alias("high")
+    )
+    a, b = (ranges.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ranges.columns[1:])) for side in "ab")
+    fits = (F.col("most_b") >= F.lit(similarity) * F.col("least_a") - 1e-6) & (F.col("most_a") >= F.lit(similarity) * F.col("least_b") - 1e-6)
+    open_pairs = F.least("low_a", "low_b") < F.greatest("high_a", "high_b")
+    meetings = stage(a.join(b, "token").where((F.col("block_a") <= F.col("block_b")) & fits & open_pairs).select("token", "block_a", "block_b"), "meetings")
+    here = placed.select("token", "block", "row", "root")
+    first = here.join(meetings, (here["token"] == meetings["token"]) & (here["block"] == meetings["block_a"]))
+    other = here.join(meetings, (here["token"] == meetings["token"]) & (here["block"] == meetings["block_b"])).where("block_a < block_b")
+    columns = [meetings["token"], "block_a", "block_b", "row", "root"]
+    met = first.select(*columns, F.lit(0).alias("side")).unionByName(other.select(*columns, F.lit(1).alias("side")))
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, roots, side = (table.column(c).to_numpy() for c in ("row", "root", "side"))
+        found = [np.frombuffer(x, "<u4") for x in table.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in found])
+        values, column = np.unique(np.concatenate(found), return_inverse=True)
+        at = np.repeat(np.arange(len(found)), size)
+        shared = np.bincount(column) > 1
+        number = np.cumsum(shared) - 1
+        at, column = at[shared[column]], number[column[shared[column]]]
+        order = np.argsort(column, kind="stable")
+        at, column = at[order], column[order]
+        both = np.zeros((len(found), len(found)), np.float32)
+        for start in range(0, int(shared.sum()), 4096):
+            a, b = np.searchsorted(column, (start, start + 4096))
+            part = np.zeros((len(found), 4096), np.float32)
+            part[at[a:b], column[a:b] - start] = 1
+            both += part @ part.T
+        near = both >= similarity * (size[:, None] + size[None, :] - both)
+        of = np.unique(roots, return_inverse=True)[1]
+        if side.any():
+            near &= side[:, None] != side[None, :]
+        u, v = [], []
+        for i in np.flatnonzero(near.any(axis=1)):
+            others = np.flatnonzero(near[i] & (of != of[i]))
+            labels, one = np.unique(of[others], return_index=True)
+            u += [rows[i]] * len(labels)
+            v += list(rows[others[one]])
+            of[np.isin(of, labels)] = of[i]
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return met.join(sets, "row").groupBy("token", "block_a", "block_b").applyInArrow(run, "u bigint, v bigint")
 
 
 def _similar(pairs: DataFrame, least: float) -> DataFrame:
@@ -307,21 +465,27 @@ def _similar(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("u", "v", "shingles", "other").mapInArrow(run, "u bigint, v bigint")
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 5, radius: int = 4, shard_rows: int = 50_000) -> DataFrame:
+def near_copies(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 5, radius: int = 4,
+    shard_rows: int = 50_000, paired: int = 64, block: int = 256,
+) -> DataFrame:
     """doc_id, mark and root (one number for all rows of a group) of every row; groups are connected by links of texts
-    whose sets of `shingle`-word shingles have the given similarity (Jaccard) or more, each verified.
+    whose sets of `shingle`-word shingles have the given similarity (Jaccard) or more: all such links, each verified.
 
     Candidates are the fingerprints that vantage-point trees connect within `radius` bits, and, since texts of
-    similarity 0.8 may differ in ten bits, rows that share one of their rarest pieces of text: each with two leaders of
-    that piece, so that candidates grow with the rows and not with the squares of groups. Sketches of the shingle sets
-    sort out candidates far from similar; the others meet their shingle sets. Rows of one word sequence are one.
+    similarity 0.8 may differ in ten bits, rows that share a shingle of their prefixes: the first fifth of a set, rarer
+    shingles first, which two such sets always share one of. A shingle that up to `paired` rows share gives all pairs.
+    Of one that more share, rows first meet two of them; those groups that this leaves in several components are then
+    compared whole, block by block (_rest). Sizes, places in the prefix and parity bitmaps only drop pairs that cannot
+    be similar; the others meet their shingle sets. Rows of one word sequence are one.
     """
     with passing_tables(docs.sparkSession):
-        return stage(_near_copies(docs, doc_id, text, similarity, shingle, radius, shard_rows), "near-copies", stays=True)
+        return stage(_near_copies(docs, doc_id, text, similarity, shingle, radius, shard_rows, paired, block), "near-copies", stays=True)
 
 
-def _near_copies(docs: DataFrame, doc_id: str, text: str, similarity: float, shingle: int, radius: int, shard_rows: int) -> DataFrame:
-    found = stage(sides(docs, doc_id, text, shingle), "sides")
+def _near_copies(docs: DataFrame, doc_id: str, text: str, similarity: float, shingle: int, radius: int, shard_rows: int, paired: int, block: int) -> DataFrame:
+    frequent = _frequent_shingles(docs, doc_id, text, shingle)
+    found = stage(sides(docs, doc_id, text, shingle, similarity, frequent), "sides")
     same = stage(found.groupBy("sequence", "words").agg(F.min("row").alias("unit"), F.count("*").alias("n")), "sequences")
     large = F.col("n") > found.count() // 1000  # under a thousand of them
     rows, keys = found.select("row", "doc_id", "mark", "sequence", "words"), ["sequence", "words"]
@@ -329,23 +493,30 @@ def _near_copies(docs: DataFrame, doc_id: str, text: str, similarity: float, shi
     of = rows.join(hot, keys).unionByName(rows.join(hot.drop("unit"), keys, "left_anti").join(same.where(~large).drop("n"), keys))
     of = stage(of.select("row", "doc_id", "mark", "unit"), "units")
     units = found.join(of.where("row = unit").select("row"), "row", "left_semi").where("words > 0")
-    units = stage(units.select("row", "fp", "size", "sketch", "pieces"), "unit-sides")
+    units = stage(units.select("row", "fp", "size", "parity", "prefix"), "unit-sides")
 
     points = stage(units.groupBy("fp").agg(F.min("row").alias("first")), "points")
     stars = links(points.select("fp"), radius, shard_rows)
     of_root = points.select(F.col("fp").alias("root"), F.col("first").alias("other"))
     near = stars.join(points, "fp").join(of_root, "root").select(F.greatest("first", "other").alias("u"), F.least("first", "other").alias("v"))
     equal = units.select("row", "fp").join(points, "fp").where("row > first").select(F.col("row").alias("u"), F.col("first").alias("v"))
-    pairs = stage(near.union(equal).union(_piece_pairs(units)).distinct(), "candidates")
-
-    side = units.select("row", "size", "sketch")
-    judged = pairs.join(side.toDF("u", "size_u", "sketch_u"), "u").join(side.toDF("v", "size_v", "sketch_v"), "v")
-    least = F.slice(F.array_sort(F.array_union("sketch_u", "sketch_v")), 1, _SKETCH)
-    shared = F.size(F.array_intersect(F.array_intersect(least, F.col("sketch_u")), F.col("sketch_v")))
-    even = F.least("size_u", "size_v") >= F.lit(similarity) * F.greatest("size_u", "size_v") - 2
-    judged = stage(judged.where(even & (2 * shared >= F.lit(similarity) * F.size(least))).select("u", "v"), "judged")
-    needed = judged.select(F.explode(F.array("u", "v")).alias("row")).distinct()
+    sharing = stage(_prefix_pairs(units, similarity, paired), "sharing")
+    pairs = near.union(equal).union(sharing.where("v is not null").select("u", "v")).distinct()
+
+    side = units.select("row", "size", "parity")
+    judged = pairs.join(side.toDF("u", "size_u", "parity_u"), "u").join(side.toDF("v", "size_v", "parity_v"), "v")
+    bits = F.zip_with("parity_u", "parity_v", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    apart = F.aggregate(bits, F.lit(0), lambda total, n: total + n)
+    even = F.least("size_u", "size_v") >= F.lit(similarity) * F.greatest("size_u", "size_v") - 1e-6
+    most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("size_u") + F.col("size_v")) + 1e-6
+    judged = stage(judged.where(even & (apart <= most)).select("u", "v"), "judged")
+    members = sharing.where("v is null").select(F.col("u").alias("row"), "token")
+    needed = judged.select(F.explode(F.array("u", "v")).alias("row")).union(members.select("row")).distinct()
     sets = stage(found.select("row", "shingles").join(small(needed), "row", "left_semi"), "shingle-sets")
     linked = _similar(judged.join(sets.toDF("u", "shingles"), "u").join(sets.toDF("v", "other"), "v"), similarity)
-    stars = components(linked, "u", "v").select(F.col("node").alias("unit"), "root")
-    return of.join(stars, "unit", "left").select("doc_id", "mark", F.coalesce("root", "unit").alias("root"))
+    stars = components(linked, "u", "v")
+    if not members.isEmpty():
+        more = stage(_rest(members, units, sets, stars, similarity, block), "more-links")
+        if not more.isEmpty():
+            stars = components(stars.toDF("u", "v").union(more), "u", "v")
+    return of.join(stars.toDF("unit", "root"), "unit", "left").select("doc_id", "mark", F.coalesce("root", "unit").alias("root"))
