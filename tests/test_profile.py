@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from veilspark import Policy, combined_policy, infer_policy, preview_table, profile_columns, union_tables
 from veilspark import value_frequencies
+from veilspark.functions.text import canonical_string
 from veilspark.operators.naming import canonical_name, name_features, token_domain
+from veilspark.operators.profile import profile_tables
 from veilspark.operators.quantiles import exact_quantiles
 from veilspark.operators.synthesize import synthesize_numeric
 
@@ -216,3 +218,49 @@ def test_synthesis_does_not_depend_on_partitioning(spark, key):
     one = synthesize_numeric(df.coalesce(1), "v", "o", key).orderBy("id").collect()
     many = synthesize_numeric(df.repartition(11), "v", "o", key).orderBy("id").collect()
     assert one == many
+
+
+def largest_method(df):
+    """Bytes of the largest method Spark generates for a plan; the JVM only interprets those over 8,000."""
+    stages = df._jdf.queryExecution().debug().codegenToSeq()
+    return max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size()))
+
+
+def test_wide_tables_stay_compiled(spark):
+    kinds = ["cast(id AS bigint)", "cast(id AS double) / 7", "concat(' n', id)", "timestamp_ntz'2024-01-02 03:04:05'"]
+    wide = spark.range(5).selectExpr(*[f"{kinds[i % 4]} AS c{i}" for i in range(14)])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert largest_method(profile_tables({"wide": wide})) < 8000
+        assert largest_method(value_frequencies(wide)) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_values_of_every_type_count_as_their_texts(spark):
+    rows = [
+        (0.0, 0.1, 1, "2024-10-27 00:30:00", " a", True), (-0.0, 0.1, -1, "2024-10-27 01:30:00", "a　", None),
+        (float("nan"), None, None, "9999-12-31 23:59:59.5", " ", False), (1e-310, 1e30, 1, "2024-10-27 00:30:00.000001", "12:30", True),
+        (-0.0, 0.1, 2**63 - 1, "0001-01-01 00:00:00", "", True), (float("-inf"), -0.0, -(2**63), None, None, True),
+        (1.5e16, 0.0, 10, "9999-12-30 23:59:59.25", "\x0012:30 pm", True), (12345678.9, 7.0, 10, "1600-02-29 12:00:00.1", "é ", True),
+    ]
+    df = spark.createDataFrame(rows, "real double, small float, whole bigint, ts string, text string, yes boolean").selectExpr(
+        "*", "cast(ts AS timestamp) AS at", "cast(ts AS timestamp_ntz) AS wall", "cast(whole AS decimal(20,0)) AS exact",
+        "cast(ts AS timestamp_ntz) + make_dt_interval(3000000) AS far", "cast(least(greatest(whole, -9), 9) AS tinyint) AS tiny", "struct(whole) AS nested",
+    )
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")  # 00:30 and 01:30 UTC have one text there
+    try:
+        df = df.withColumn("shifted", F.timestamp_seconds(F.col("tiny") * 1800 + 1729989000))
+        got = {r["column_name"]: r.asDict() for r in profile_columns(df).collect()}
+        for field in df.schema.fields:
+            text = canonical_string(F.col(field.name), field.dataType)
+            texts = [t.strip() for (t,) in df.select(text).collect() if t is not None and t.strip()]
+            counts = Counter(texts)
+            want = (len(texts), len(counts), min(counts.values()), sum(map(len, texts)) / len(texts), max(counts.values()) / len(texts))
+            row = got[field.name]
+            assert (row["non_null_count"], row["unique_count"], row["least_count"], row["average_text_length"], row["top_value_ratio"]) == want, field.name
+            found = {r["value"]: r["n"] for r in value_frequencies(df, [field.name]).collect()}
+            assert found == counts, field.name
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

@@ -15,23 +15,78 @@ from ..functions.text import canonical_string, quoted, strip
 CLOCK_TEXT = r"(?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d{1,6})?)?(?:\s*[AaPp][Mm])?"
 
 
-def _cell_text(df: DataFrame, name: str) -> Column:
-    """Stripped text of a cell; only strings can need stripping."""
-    dtype = df.schema[name].dataType
-    text = canonical_string(quoted(name), dtype)
-    return strip(text) if isinstance(dtype, T.StringType) else text
+# Slots of a cell by its type; what has no slot of its own travels as its text.
+_SLOTS = {"whole": "bigint", "real": "double", "moment": "timestamp_ntz", "text": "string"}
+_FIRST_DAY, _LAST_DAY = "0001-01-01", "9999-12-31"  # moments between have texts of one form
+
+
+def _slot(dtype: T.DataType) -> str:
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return "whole"
+    if isinstance(dtype, T.DoubleType):
+        return "real"
+    return "moment" if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)) else "text"
+
+
+def _cells(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(place, whole, real, moment, text): one row per cell, null and blank ones too. Values keep their types
+    here: texts of all columns in one expression make a method that the JVM only interprets."""
+
+    def cell(place: int, name: str) -> Column:
+        dtype = df.schema[name].dataType
+        own = _slot(dtype)
+        value = canonical_string(quoted(name), dtype) if own == "text" else quoted(name)
+        slots = [(value if slot == own else F.lit(None)).cast(kind).alias(slot) for slot, kind in _SLOTS.items()]
+        return F.struct(F.lit(place).alias("place"), *slots)
+
+    return df.select(F.inline(F.array(*[cell(i, name) for i, name in enumerate(names)])))
+
+
+def _stripped(text: Column) -> Column:
+    """``strip``, which walks the whole text, only where the first or last character may need it."""
+    last = F.ascii(F.substring(text, -1, 1))
+    return F.when(F.ascii(text).between(33, 126) & last.between(33, 126), text).otherwise(strip(text))
 
 
 def unpivot(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """(place, value): one row per non-blank cell, its column's place in ``names`` and its
     stripped text."""
-    cells = F.array(
-        *[
-            F.struct(F.lit(i).alias("place"), _cell_text(df, name).alias("value"))
-            for i, name in enumerate(names)
-        ]
+    value = F.coalesce(
+        F.col("whole").cast("string"),
+        canonical_string(F.col("real"), T.DoubleType()),
+        canonical_string(F.col("moment"), T.TimestampNTZType()),
+        _stripped(F.col("text")),
+    )
+    return _cells(df, names).select("place", value.alias("value")).where(F.col("value") != "")
+
+
+def _keyed(cells: DataFrame) -> DataFrame:
+    """(place, v, w, width, clock): for each non-blank cell 128 bits that equal those of another cell of its
+    column if their texts are equal, and the text's length and whether it is a clock time. Numbers and moments
+    are known by their value (xxhash64 of eight bytes maps no two to one), other cells by two hashes of the text."""
+    whole, real, moment, text = (F.col(slot) for slot in _SLOTS)
+    usual = (moment >= F.lit(_FIRST_DAY).cast("timestamp_ntz")) & (moment < F.lit(_LAST_DAY).cast("timestamp_ntz"))
+    split = F.unix_micros(moment.cast("timestamp")) % 1_000_000 != 0
+    told = cells.select(
+        "place",
+        "whole",
+        "real",
+        F.when(usual, moment).alias("moment"),
+        F.when(usual, F.when(split, 26).otherwise(19)).alias("moment_width"),
+        F.coalesce(_stripped(text), F.when(~usual, canonical_string(moment, T.TimestampNTZType()))).alias("text"),
+        F.length(canonical_string(real, T.DoubleType())).alias("real_width"),
+    )
+    value = F.when(whole.isNotNull(), whole).when(real.isNotNull(), F.xxhash64(real)).when(moment.isNotNull(), F.xxhash64(moment))
+    # the hash is blind to the sign of zero, the text is not
+    other = F.when(text.isNotNull(), F.xxhash64(F.lit(1), text)).when(real == 0, F.col("real_width")).otherwise(0)
+    clock = text.isNotNull() & text.contains(":") & text.rlike(rf"\A(?:{CLOCK_TEXT})\z")
+    return told.where(F.coalesce(text != "", whole.isNotNull() | real.isNotNull() | moment.isNotNull())).select(
+        "place",
+        value.otherwise(F.xxhash64(text)).alias("v"),
+        other.cast("bigint").alias("w"),
+        F.coalesce(F.length(whole.cast("string")), "real_width", "moment_width", F.length(text)).alias("width"),
+        clock.cast("int").alias("clock"),
     )
-    return df.select(F.inline(cells)).where(F.col("value") != "")
 
 
 def _name_of(names: Sequence[str]) -> Column:
@@ -58,18 +113,10 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 def profile_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row per table and column, also for empty columns: counts, ratios, average
     length, and the category tests. All tables share the same two aggregations; values
-    travel as digests."""
-    value = F.col("value")
-    clock = value.contains(":") & value.rlike(rf"\A(?:{CLOCK_TEXT})\z")
+    travel as numbers or digests."""
     places, parts = [], []
     for name, df in tables.items():
-        keyed = unpivot(df, df.columns).select(
-            (F.col("place") + len(places)).alias("place"),
-            F.xxhash64(value).alias("v"),
-            F.xxhash64(F.lit(1), value).alias("w"),  # another seed: 128 bits together
-            F.length(value).alias("width"),
-            clock.cast("int").alias("clock"),
-        )
+        keyed = _keyed(_cells(df, df.columns)).withColumn("place", F.col("place") + len(places))
         parts.append(keyed)
         places += [(len(places) + i, name, column) for i, column in enumerate(df.columns)]
     cells = reduce(DataFrame.unionByName, parts)
