@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -121,3 +122,37 @@ def test_documents(spark, tmp_path, monkeypatch, block, lanes):
 def test_empty_table(spark, tmp_path):
     K.write(spark.createDataFrame([], "doc_id long, text string"), f"{tmp_path}/files", PATH)
     assert K.digests(K.read(spark, f"{tmp_path}/files")).collect() == []
+
+
+def test_coding_costs_less_than_tokenizing():
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), int(n))) for n in rng.integers(2, 9, 30_000)]
+    texts = [" ".join(words[i] for i in rng.zipf(1.2, 4000) % 30_000) for _ in range(150)]
+    started = time.process_time()
+    plain = [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
+    tokenized = time.process_time() - started
+    stream = np.concatenate([np.array(x, np.int32) for x in plain])
+    blocks = [stream[i : i + 2048] for i in range(0, len(stream), 2048)]
+    started = time.process_time()
+    bodies = K.encode_blocks(blocks, 50_257)
+    found = K.decode_blocks(bodies)
+    assert time.process_time() - started < tokenized
+    assert all(np.array_equal(a, b) for a, b in zip(found, blocks))
+
+
+def test_every_id_keeps_a_part():
+    assert (K._TOTAL - K._PART2 - K._PART1).min() >= K.BLOCK
+    rng = np.random.default_rng(12)
+    sure = np.tile([5, 6, 7], 1300)
+    blocks = [np.append(sure, rng.permutation(50_000)[:190]), np.append(np.arange(4000), sure[:96]), np.repeat([3, 1], 2048)]
+    for got, want in zip(K.decode_blocks(K.encode_blocks(blocks, 50_257)), blocks):
+        assert got.tolist() == want.tolist()
+
+
+def test_batches_are_split(monkeypatch):
+    texts = ["it's  we'll", None, "", "\n'tis 'S 're", "x" * 50, "é'd ''s a'", " ", "字 a"]
+    want = IDS.encode(texts)
+    monkeypatch.setattr(K, "_CHARS", 4)
+    monkeypatch.setattr(K, "_PIECES", 3)
+    for got in (K.Ids(PATH).encode(texts), want):
+        assert [x.tolist() for x in got] == [plain_ids(t)[:-1] for t in texts]

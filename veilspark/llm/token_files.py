@@ -1,20 +1,22 @@
-"""Token ids in a compact file: an adaptive context-mixing coder in independent blocks.
+"""Token ids in a compact file: a context-mixing arithmetic coder in independent blocks.
 
 Documents are tokenized, closed by an end id, put in ascending order of doc_id (null first, then by text) and
 their ids written one after the other, in shards of ranges of doc_id. A shard is a Parquet file of blocks, written
 by Spark's committer, so a lost executor's blocks are written anew. A block holds up to `BLOCK` ids and depends on
 no other:
 
-    magic b"VTB2" | ids u32 | vocabulary u32 | crc32 of the ids as u32 | bytes coded u32 | crc32 of these u32 | coded
+    magic b"VTB3" | ids u32 | vocabulary u32 | crc32 of the ids, begun at the vocabulary, as u32 | bytes coded u32 |
+    crc32 of these u32 | coded: distinct ids u16, Rice parameter u8, bits of their gaps and counts, state u64, words u32
 
 Numbers are little-endian. Beside it stand the block's place in the shard and its pieces of documents. A damaged
 block raises, and no other is lost.
 
-Coding. Each id is one choice of an arithmetic coder among all ids of the vocabulary. Its probability is a mixture of
-three predictions: order 0, how often the id came up in the block, above a share that falls with the id; order 1, the id
-that last followed the last one; order 2, the id that last followed the last two. The weights of orders 1 and 2 are the
-odds that such predictions have held so far in the block. A thousand blocks or so are coded side by side in numpy, all of
-whole numbers, so every machine decodes what any other encoded.
+Coding. Each id is one choice of an arithmetic coder (range variant of asymmetric numeral systems) among all ids of the
+block. Three predictions share its 2^24 parts: order 2, the id that last followed the last two, and order 1, the id that
+last followed the last one, get parts by how often in a row such a guess was right; order 0 has the rest, by each id's count
+in the block, which is written before. An id has the widest part that any of them gives it. The writer finds
+all parts of a block at once; a thousand blocks or so are then coded side by side in numpy, in whole numbers and
+exact quotients, so every machine decodes what any other encoded.
 
 Defined results: null text is empty and has its end id only; repeated rows are documents of their own; a text of
 any length is whole, its ids span blocks; an empty table makes an empty file; other columns are not looked at.
@@ -40,23 +42,29 @@ from tokenizers import Tokenizer
 
 from .common import small
 
-MAGIC = b"VTB2"
-BLOCK = 2048
+MAGIC = b"VTB3"
+BLOCK = 4096  # at most _SLOTS
 LANES = 1024  # blocks coded side by side, at most
 MOST = 1 << 22  # ids of a vocabulary
 END = 2
 _HEAD = 24  # bytes
-_SLOTS = 1024  # of a prediction table
-_COUNT = 1000  # weight of an id for each time it came up
-_BRANCHES = np.arange(16)[:, None]
-_TOP, _BOTTOM = np.uint64(1 << 56), 1 << 48
-_PIECES = 200_000  # tokenized pieces that a worker remembers
+_SLOTS = 4096  # of a prediction table
+_TOTAL, _LOW = 1 << 24, 1 << 31  # what probabilities are parts of; the least state of a coder
+# Parts of _TOTAL (order 1: of what order 2 leaves) for a guess, by 1 + how often in a row it was right. What they leave is over BLOCK parts wide.
+_ODDS = np.array([[0, 20, 45, 58, 67, 73, 77, 81, 84, 87, 89, 91, 93, 94, 96, 99.4], [0, 9, 30, 43, 52, 60, 66, 71, 76, 80, 83, 86, 89, 91, 93, 94]])
+_ODDS = (_ODDS / 100 * _TOTAL).astype(np.int64)
+_PIECES = 400_000  # tokenized pieces that a worker remembers
+_CHARS = 1 << 20  # of texts split side by side
 _FILE = "shard int, block int, first bigint, n int, docs array<struct<ordinal:bigint,doc_id:bigint,n:int,opens:boolean>>, body binary"
 
-# Letters, numbers and white space up to U+024F, for the tokenizer's published split pattern: below that, Python's re
-# finds the same pieces as the tokenizer itself. Other texts are not split here.
+# Letters, numbers and white space up to U+024F, for the tokenizer's published split pattern:
+#   's|'t|'re|'ve|'m|'ll|'d| ?[letters]+| ?[numbers]+| ?[others]+|[space]+(?![^space])|[space]+
+# Texts with other characters are not split here.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
-_PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_EVERY = "".join(map(chr, range(0x250)))
+_KINDS = np.full(0x250, 3, np.uint8)
+for _kind, _set in enumerate((_S, _L, _N)):
+    _KINDS[[ord(c) for c in re.findall(f"[{_set}]", _EVERY)]] = _kind
 _OTHER = re.compile("[^\x00-ɏ]")
 
 
@@ -91,156 +99,182 @@ class Ids:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.at) > _PIECES:
             self._forget()
-        split = [None if _OTHER.search(t or "") else _PATTERN.findall(t or "") for t in texts]
-        new = set(chain.from_iterable(filter(None, split))) - self.at.keys()
-        if new:
-            self._learn(sorted(new))
-        out = []
-        for text, pieces in zip(texts, split):
-            if pieces is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32))
-                continue
-            at = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
-            size = self.size[at]
-            out.append(self.flat[np.repeat(self.first[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())])
+        texts = [t or "" for t in texts]
+        if len(texts) > 1 and sum(map(len, texts)) > _CHARS:
+            half = len(texts) // 2
+            return self.encode(texts[:half]) + self.encode(texts[half:])
+        other = [bool(_OTHER.search(t)) for t in texts]
+        out = self._split([("" if o else t) for t, o in zip(texts, other)])
+        for i, text in enumerate(texts):
+            if other[i]:
+                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
         return out
 
+    def _split(self, texts: list[str]) -> list[np.ndarray]:
+        """Texts up to U+024F, all side by side: where pieces begin follows from the kinds of neighbouring characters."""
+        joined = "".join(texts)
+        ends = np.cumsum([0, *map(len, texts)])
+        if not joined:
+            return [np.zeros(0, np.int32) for _ in texts]
+        code = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        starts = _piece_starts(code, ends[:-1])
+        offsets = np.append(starts, len(code))
+        raw = joined.encode()
+        if len(raw) > len(code):  # no character here has more than two bytes
+            offsets += np.append(0, np.cumsum(code > 127, dtype=np.int32))[offsets]
+        pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)).dictionary_encode()
+        kinds = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = list(map(self.at.get, kinds))
+        if None in known:
+            self._learn([p for p, at in zip(kinds, known) if at is None])
+            known = list(map(self.at.get, kinds))
+        at = np.array(known)[pieces.indices.to_numpy()]
+        size = self.size[at]
+        after = np.append(0, np.cumsum(size))
+        ids = self.flat[np.repeat(self.first[at] - after[:-1], size) + np.arange(after[-1])]
+        cuts = after[np.searchsorted(starts, ends)]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def _piece_starts(code: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Where the pieces of the pattern begin in characters up to U+024F, given where texts begin."""
+    kind = _KINDS[code]
+    first = np.zeros(len(code) + 3, bool)  # of a text; the end counts as one
+    first[texts] = first[len(code) :] = True
+    begins = np.append(True, kind[1:] != kind[:-1]) | first[: len(code)]
+    # the last of some white space before a word is a piece of its own, or a space leads the word's piece
+    last = np.flatnonzero((kind[:-1] == 0) & (kind[1:] != 0) & ~first[1 : len(code)])
+    begins[last] = True
+    begins[last[code[last] == 32] + 1] = False
+    quotes = np.flatnonzero((code == 39) & begins)
+    if len(quotes):
+        ahead = np.append(code, [0, 0, 0])
+        one, two = ahead[quotes + 1], ahead[quotes + 2]
+        one[first[quotes + 1]] = 0
+        two[first[quotes + 1] | first[quotes + 2]] = 0
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = np.isin(one * 65536 + two, [ord(c) * 65536 + ord(d) for c, d in ("re", "ve", "ll")])
+        begins[quotes[short | long] + 1] = False
+        for some, step in ((short, 2), (long, 3)):
+            after = quotes[some] + step
+            begins[after[after < len(code)]] = True
+    return np.flatnonzero(begins)
+
+
+def _rows(texts: list[np.ndarray], kind: type) -> np.ndarray:
+    """Arrays of several lengths, longest first, as the rows of one."""
+    out = np.zeros((len(texts), max(map(len, texts), default=0)), kind)
+    for row, x in zip(out, texts):
+        row[: len(x)] = x
+    return out
+
+
+def _bits(values: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """The lowest bits of each value, highest of them first."""
+    ends = np.cumsum(widths)
+    down = np.repeat(ends, widths) - 1 - np.arange(ends[-1] if len(ends) else 0)
+    return (np.repeat(values, widths) >> down & 1).astype(np.uint8)
+
+
+def _unary(values: np.ndarray) -> np.ndarray:
+    """Each value as so many zeros and a one."""
+    at = np.cumsum(values + 1) - 1
+    out = np.zeros(at[-1] + 1, np.uint8)
+    out[at] = 1
+    return out
+
 
-class _Mixture:
-    """State of all lanes; every lane is a block of its own. Weights are whole numbers, so every machine agrees.
-
-    Order 0 gives each id a weight that falls with the id (frequent pieces were merged first) and grows with its count
-    in the block, kept in a tree of 16 branches; orders 1 and 2 add weight to the id that last followed the last one and two
-    ids, as much as such guesses have been right so far, by how often in a row this one was.
-    """
-
-    def __init__(self, lanes: int, size: int):
-        self.prior = np.append(0, np.cumsum(1 + 65536 // (np.arange(size, dtype=np.int64) + 64)))
-        self.levels = max(1, -(-(size - 1).bit_length() // 4))
-        self.counts, self.starts, self.widths = [], [], []
-        for level in range(self.levels):
-            step = 1 << 4 * (self.levels - 1 - level)
-            width = -(-(-(-size // step)) // 16) * 16
-            self.counts.append(np.zeros(lanes * width, np.uint8 if step == 1 else np.int16))
-            self.starts.append(self.prior[np.minimum(np.arange(width) * step, size)])
-            self.widths.append(width)
-        self.total = np.full(lanes, self.prior[-1], np.int64)
-        self.guess = [np.full(lanes * _SLOTS, -1, np.int32) for _ in range(2)]  # of order 2 and 1
-        self.right = [np.zeros(lanes * _SLOTS, np.uint8) for _ in range(2)]  # how often in a row, up to 7
-        self.seen = np.ones((2, 2, lanes * 8), np.int64)  # by order, wrong or right, and how often in a row
-        self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)  # the last ids
-
-    def guesses(self, n: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-        """Of both orders: the guessed ids (-1: none), their added weights and their slots, in the first n lanes."""
-        lane, one, two = np.arange(n), self.one[:n], self.two[:n]
-        slots = [lane * _SLOTS + ((two * 40503 + one * 30011) >> 5) % _SLOTS, lane * _SLOTS + (one * 40503 >> 4) % _SLOTS]
-        ids = [self.guess[k][slots[k]].astype(np.int64) for k in range(2)]
-        weights = []
-        for k in range(2):
-            state = lane * 8 + self.right[k][slots[k]]
-            odds = (self.seen[k, 1][state] << 8) // self.seen[k, 0][state]
-            weights.append(np.where(ids[k] >= 0, self.total[:n] * odds >> 8, 0))
-        return ids, weights, slots
-
-    def order0(self, lane: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Weight of all ids before these, and of these."""
-        before = np.zeros(len(ids), np.int64)
-        for level, (counts, width) in enumerate(zip(self.counts, self.widths)):
-            node = ids >> 4 * (self.levels - 1 - level)
-            first = lane * width + (node & ~15)
-            some = counts[first + _BRANCHES]
-            some *= _BRANCHES < (node & 15)
-            before += some.sum(axis=0, dtype=np.int16)
-        own = self.counts[-1][lane * self.widths[-1] + ids].astype(np.int64)
-        return self.prior[ids] + _COUNT * before, self.prior[ids + 1] - self.prior[ids] + _COUNT * own
-
-    def find(self, lane: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """The ids whose order-0 weight holds these values."""
-        node, before, each = np.zeros(len(lane), np.int64), np.zeros(len(lane), np.int32), np.arange(len(lane))
-        for counts, starts, width in zip(self.counts, self.starts, self.widths):
-            child = (node << 4) + _BRANCHES
-            some = counts[lane * width + child]
-            ahead = np.cumsum(some, axis=0, dtype=np.int32)
-            ahead -= some
-            ahead += before
-            branch = (starts[child] + _COUNT * ahead.astype(np.int64) <= value).sum(axis=0) - 1
-            before = ahead[branch, each]
-            node = (node << 4) + branch
-        return node
-
-    def learn(self, ids: np.ndarray, guessed: list[np.ndarray], slots: list[np.ndarray]) -> None:
-        """What followed in the first lanes."""
-        n = len(ids)
-        lane = np.arange(n)
-        more = (self.counts[-1][lane * self.widths[-1] + ids] < 255).astype(np.uint8)
-        for level, (counts, width) in enumerate(zip(self.counts, self.widths)):
-            counts[lane * width + (ids >> 4 * (self.levels - 1 - level))] += more
-        self.total[:n] += _COUNT * more.astype(np.int64)
-        for k in range(2):
-            hit = guessed[k] == ids
-            in_row = self.right[k][slots[k]]
-            at = np.flatnonzero(guessed[k] >= 0)
-            self.seen[k, hit[at].astype(np.int64), lane[at] * 8 + in_row[at]] += 2
-            self.right[k][slots[k]] = np.where(hit, np.minimum(in_row + 1, 7), 0)
-            self.guess[k][slots[k]] = ids
-        self.two[:n], self.one[:n] = self.one[:n], ids
-
-
-class _Coder:
-    """A range coder without carries for all lanes: 64-bit bounds, of which settled top bytes go out."""
-
-    def __init__(self, lanes: int, data: list[bytes] | None = None):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-        self.at = np.zeros(lanes, np.int64)
-        self.decodes = data is not None
-        self.width = 4 * BLOCK + 16 if data is None else max(map(len, data), default=0) + 16
-        if data is None:
-            self.out = np.zeros((lanes, self.width), np.uint8)
-        else:
-            self.out = np.frombuffer(b"".join(x.ljust(self.width, b"\0") for x in data), np.uint8).reshape(lanes, self.width)
-            self.value = np.ascontiguousarray(self.out[:, :8]).view(">u8").reshape(-1).astype(np.uint64)
-            self.at += 8
-
-    def target(self, total: np.ndarray) -> np.ndarray:
-        """The value below `total` that each of the first lanes has come to."""
-        n = len(total)
-        step = self.range[:n] // total.astype(np.uint64)
-        return np.minimum(((self.value[:n] - self.low[:n]) // step).astype(np.int64), total - 1)
-
-    def code(self, before: np.ndarray, weight: np.ndarray, total: np.ndarray) -> None:
-        """Narrow the first lanes to the part of `total` that begins at `before` and is `weight` wide."""
-        n = len(total)
-        step = self.range[:n] // total.astype(np.uint64)
-        self.low[:n] += step * before.astype(np.uint64)
-        self.range[:n] = step * weight.astype(np.uint64)
-        lane = np.arange(n)
-        while True:
-            low, width = self.low[lane], self.range[lane]
-            settled = (low ^ (low + width)) < _TOP
-            narrow = ~settled & (width < _BOTTOM)
-            go = settled | narrow
-            if not go.any():
-                return
-            width = np.where(narrow, (~low + np.uint64(1)) & np.uint64(_BOTTOM - 1), width)[go]
-            lane, low = lane[go], low[go]
-            if (self.at[lane] >= self.width).any():
-                raise ValueError("a block is damaged")
-            if self.decodes:
-                self.value[lane] = self.value[lane] << np.uint64(8) | self.out[lane, self.at[lane]]
-            else:
-                self.out[lane, self.at[lane]] = low >> np.uint64(56)
-            self.at[lane] += 1
-            self.low[lane], self.range[lane] = low << np.uint64(8), width << np.uint64(8)
-
-    def finish(self) -> list[bytes]:
-        """What each lane wrote; zeros at the end are left out, as a reader takes them for granted."""
-        tails = self.low.astype(">u8").view(np.uint8).reshape(-1, 8)
-        return [(self.out[i, : self.at[i]].tobytes() + tails[i].tobytes()).rstrip(b"\0") for i in range(len(tails))]
-
-
-def lanes_for(size: int) -> int:
-    """Blocks coded side by side with a vocabulary of this size: fewer for larger ones, so memory stays as it is."""
-    return max(16, min(LANES, (1 << 26) // size))
+def _packed_table(ids: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending ids by Rice-coded gaps, and their counts: the bits of each in unary, then those below the highest."""
+    gaps = np.diff(ids, prepend=-1) - 1
+    near = int(gaps.mean() + 1).bit_length()
+    low = min(range(max(near - 3, 0), near + 1), key=lambda k: int((gaps >> k).sum()) + k * len(gaps))
+    size = np.frexp(counts)[1].astype(np.int64) - 1
+    parts = [_unary(gaps >> low), _bits(gaps, np.full(len(gaps), low)), _unary(size), _bits(counts, size)]
+    return np.array([len(ids)], "<u2").tobytes() + bytes([low]) + np.packbits(np.concatenate(parts)).tobytes()
+
+
+def _table(data: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    """What _packed_table made: ids, counts and the bytes read."""
+    n, low = int.from_bytes(data[:2], "little"), data[2]
+    bits = np.unpackbits(np.frombuffer(data, np.uint8, offset=3, count=min(len(data) - 3, n * 12 + (n << 5))))
+    at = 0
+
+    def unary() -> np.ndarray:
+        nonlocal at
+        ones = np.flatnonzero(bits[at:])[:n]
+        at += int(ones[-1]) + 1
+        return np.diff(ones, prepend=-1) - 1
+
+    def plain(widths: np.ndarray) -> np.ndarray:
+        nonlocal at
+        ends = np.cumsum(widths)
+        some = bits[at : at + int(ends[-1])].astype(np.int64)
+        at += len(some)
+        total = np.append(0, np.cumsum(some << np.repeat(ends, widths) - 1 - np.arange(len(some))))
+        return total[ends] - total[ends - widths]
+
+    gaps = unary() << low
+    gaps += plain(np.full(n, low))
+    size = unary()
+    return np.cumsum(gaps + 1) - 1, plain(size) + (1 << size), 3 + -(-at // 8)
+
+
+def _slot2(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return (one * 40503 + two * 30011 >> 4) & _SLOTS - 1
+
+
+def _guesses(ranks: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What followed each slot last, and 1 + how often in a row that guess was right (0: no guess)."""
+    order = np.argsort(slots.astype(np.uint16), kind="stable")
+    came, place = ranks[order], slots[order]
+    known = np.append(False, place[1:] == place[:-1])
+    guess = np.append(0, came[:-1])
+    miss = ~(known & (guess == came))
+    each = np.arange(len(ranks))
+    row = np.minimum(each - np.maximum.accumulate(np.where(miss, each, 0)) + 1, 15)
+    out, rows = np.empty(len(ranks), np.int64), np.empty(len(ranks), np.int64)
+    out[order], rows[order] = guess, np.where(known, np.append(0, row[:-1]), 0)
+    return out, rows
+
+
+# Parts of _TOTAL that the guesses of order 2 and 1 get, at 16 * (1 + how often in a row order 2 was right) + that of order 1.
+_NEXT = np.minimum(np.arange(16) + 1, 15)
+_PART2 = np.repeat(_ODDS[0], 16)
+_PART1 = (_TOTAL - _PART2) * np.tile(_ODDS[1], 16) >> 24
+
+
+def _share(part: np.ndarray, rest: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """part * rest // size: below 2^36, where a double's quotient cannot round up to a whole number."""
+    return (part * rest / size).astype(np.int64)
+
+
+def _choices(ids: np.ndarray, size: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Of a block: its packed table, and where in _TOTAL each id's part begins and how wide it is."""
+    seen = np.zeros(size, bool)
+    seen[ids] = True
+    table = np.flatnonzero(seen)
+    place = np.empty(size, np.int32)
+    place[table] = np.arange(len(table))
+    ranks = place[ids].astype(np.int64)
+    counts = np.bincount(ranks)
+    n = len(ids)
+    one = np.append(0, ranks[:-1])
+    two = np.append(0, one[:-1])
+    guess2, row2 = _guesses(ranks, _slot2(one, two))
+    guess1, row1 = _guesses(ranks, one)
+    rows = row2 << 4 | np.where((guess1 == guess2) & (row2 > 0), 0, row1)  # one guess of both is order 2's
+    part2, part1 = _PART2[rows], _PART1[rows]
+    led = part2 + part1
+    rest = _TOTAL - led
+    after = np.cumsum(counts)
+    start = _share((after - counts)[ranks], rest, n)
+    width = _share(after[ranks], rest, n) - start
+    start += led
+    for guess, part, at in ((guess1, part1, part2), (guess2, part2, np.zeros(n, np.int64))):
+        better = (guess == ranks) & (part > width)  # an id has the widest part that any prediction gives it
+        start, width = np.where(better, at, start), np.where(better, part, width)
+    return _packed_table(table, counts), start.astype(np.uint32), width.astype(np.uint32)
 
 
 def encode_blocks(blocks: list[np.ndarray], size: int = 65_536) -> list[bytes]:
@@ -249,91 +283,106 @@ def encode_blocks(blocks: list[np.ndarray], size: int = 65_536) -> list[bytes]:
         raise ValueError(f"a block holds up to {BLOCK} ids below the vocabulary's size, {MOST} at most")
     out: list[bytes] = [b""] * len(blocks)
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    side = lanes_for(size)
-    for start in range(0, len(order), side):
-        part = order[start : start + side]
+    for begin in range(0, len(order), LANES):
+        part = order[begin : begin + LANES]
         lengths = np.array([len(blocks[i]) for i in part])
-        ids = np.zeros((max(lengths, default=0), len(part)), np.int32)
-        for lane, i in enumerate(part):
-            ids[: len(blocks[i]), lane] = blocks[i]
-        model, coder = _Mixture(len(part), size), _Coder(len(part))
-        for t in range(len(ids)):
+        made = [_choices(blocks[i], size) if len(blocks[i]) else (b"", 0, 0) for i in part]
+        start, width = (np.zeros((max(lengths), len(part)), np.uint32) for _ in range(2))
+        for lane, (_, begins, widths) in enumerate(made):
+            start[: lengths[lane], lane], width[: lengths[lane], lane] = begins, widths
+        state = np.full(len(part), _LOW, np.uint64)
+        words, at = np.zeros((len(part), len(start) + 1), "<u4"), np.full(len(part), len(start) + 1)
+        for t in range(len(start) - 1, -1, -1):  # the reader goes forwards
             n = int(np.searchsorted(-lengths, -t, side="left"))
-            own = ids[t, :n].astype(np.int64)
-            guessed, added, slots = model.guesses(n)
-            before, weight = model.order0(np.arange(n), own)
-            for guess, extra in zip(guessed, added):
-                before += np.where(guess < own, extra, 0)
-                weight += np.where(guess == own, extra, 0)
-            coder.code(before, weight, model.total[:n] + added[0] + added[1])
-            model.learn(own, guessed, slots)
-        for i, coded in zip(part, coder.finish()):
-            check = zlib.crc32(blocks[i].astype("<u4").tobytes())
+            x, f = state[:n], width[t, :n].astype(np.uint64)
+            full = np.flatnonzero(x >= f << np.uint64(39))
+            at[full] -= 1
+            words[full, at[full]] = x[full] & np.uint64(0xFFFFFFFF)
+            x[full] >>= np.uint64(32)
+            turns = x // f
+            state[:n] = (turns << np.uint64(24)) + (x - turns * f) + start[t, :n]
+        for lane, i in enumerate(part):
+            coded = made[lane][0] + int(state[lane]).to_bytes(8, "little") + words[lane, at[lane] :].tobytes() if lengths[lane] else b""
+            check = zlib.crc32(blocks[i].astype("<u4").tobytes(), size)
             out[i] = MAGIC + np.array([len(blocks[i]), size, check, len(coded), zlib.crc32(coded)], "<u4").tobytes() + coded
     return out
 
 
-def _decoded(model: _Mixture, target: np.ndarray, guessed: list[np.ndarray], added: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ids that hold the targets, the weight before them and theirs."""
-    n = len(target)
-    lane = np.arange(n)
-    swap = guessed[0] > guessed[1]
-    low, high = np.where(swap, guessed[1], guessed[0]), np.where(swap, guessed[0], guessed[1])
-    more_low, more_high = np.where(swap, added[1], added[0]), np.where(swap, added[0], added[1])
-    found, before, weight = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    rest = target.copy()
-    shift = np.zeros(n, np.int64)  # weight of guesses before
-    twin = low == high
-    for ids, extra in ((low, np.where(twin, more_low + more_high, more_low)), (high, np.where(twin, 0, more_high))):
-        at = np.flatnonzero((ids >= 0) & (extra > 0) & (found < 0))
-        start, own = model.order0(at, ids[at])
-        start += shift[at]
-        inside = (target[at] >= start) & (target[at] < start + own + extra[at])
-        hit = at[inside]
-        found[hit], before[hit], weight[hit] = ids[hit], start[inside], (own + extra[at])[inside]
-        past = at[target[at] >= start + own + extra[at]]
-        shift[past] += extra[past]
-        rest[past] = target[past] - shift[past]
-    at = np.flatnonzero(found < 0)
-    if len(at):
-        found[at] = model.find(at, rest[at])
-        start, weight[at] = model.order0(at, found[at])
-        before[at] = start + shift[at]
-    return found, before, weight
+def _ranks(lengths: np.ndarray, counts: list[np.ndarray], data: list[bytes]) -> np.ndarray:
+    """The places in their tables of all ids of blocks, longest first; a row a step."""
+    lanes, steps = len(lengths), int(lengths.max())
+    holds = _rows([np.repeat(np.arange(len(c)), c) for c in counts], np.uint16)  # what each of n equal parts belongs to
+    ends = _rows([np.append(0, np.cumsum(c)) for c in counts], np.uint16)
+    room, deep = holds.shape[1], ends.shape[1]
+    holds, ends = holds.reshape(-1), ends.reshape(-1)
+    words = _rows([np.append(np.frombuffer(d, "<u4", offset=8), 0) for d in data], np.uint32)
+    wide, left, at = words.shape[1], words.reshape(-1), np.zeros(lanes, np.int64)
+    many = np.array([len(d) // 4 - 2 for d in data])
+    state = np.array([int.from_bytes(d[:8], "little") for d in data], np.uint64)
+    last2, last1 = (np.zeros(lanes * _SLOTS, np.uint16) for _ in range(2))  # guess << 4 | 1 + how often in a row
+    out = np.zeros((steps, lanes), np.uint16)
+    one, two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    lane = np.arange(lanes)
+    at_hold, at_end, at_slot, at_word = lane * room, lane * deep, lane * _SLOTS, lane * wide
+    active = np.searchsorted(-lengths, -np.arange(steps), side="left").tolist()
+    n = lanes
+    for t in range(steps):
+        if active[t] < n:
+            n = active[t]
+            at_hold, at_end, at_slot, lengths = at_hold[:n], at_end[:n], at_slot[:n], lengths[:n]
+            one, two, state = one[:n], two[:n], state[:n]
+        slot2, slot1 = at_slot + _slot2(one, two), at_slot + one
+        seen2, seen1 = last2[slot2].astype(np.int64), last1[slot1].astype(np.int64)
+        guess2, guess1, row2, row1 = seen2 >> 4, seen1 >> 4, seen2 & 15, seen1 & 15
+        rows = row2 << 4 | row1 * ((guess1 != guess2) | (row2 == 0))
+        part2 = _PART2[rows]
+        led = part2 + _PART1[rows]
+        value = (state & np.uint64(_TOTAL - 1)).view(np.int64)
+        rest = _TOTAL - led
+        rank = np.where(value < part2, guess2, guess1)
+        start = np.where(value < part2, 0, part2)
+        width = np.where(value < part2, part2, led - part2)
+        far = np.flatnonzero(value >= led)
+        rest, size, ahead = rest[far], lengths[far], led[far]
+        found = holds[at_hold[far] + (((value[far] - ahead + 1) * size - 1) / rest).astype(np.int64)].astype(np.int64)
+        edge = at_end[far] + found
+        begin = _share(ends[edge], rest, size)
+        rank[far], start[far], width[far] = found, begin + ahead, _share(ends[edge + 1], rest, size) - begin
+        state = width.view(np.uint64) * (state >> np.uint64(24)) + (value - start).view(np.uint64)
+        less = np.flatnonzero(state < np.uint64(_LOW))
+        state[less] = state[less] << np.uint64(32) | left[at_word[less] + np.minimum(at[less], many[less])]
+        at[less] += 1
+        # a row goes on where the guess was right, up to 15
+        rank4 = rank << 4
+        last2[slot2] = rank4 | np.where((guess2 == rank) & (row2 > 0), _NEXT[row2], 1)
+        last1[slot1] = rank4 | np.where((guess1 == rank) & (row1 > 0), _NEXT[row1], 1)
+        out[t, :n] = rank
+        one, two = rank, one
+    return out
 
 
 def decode_blocks(bodies: list[bytes]) -> list[np.ndarray]:
     """The ids of each block; raises if one is damaged."""
-    heads = []
+    heads, tables = [], []
     for body in bodies:
         head = np.frombuffer(body[4:_HEAD], "<u4").astype(np.int64) if len(body) >= _HEAD else np.zeros(5, np.int64)
-        sound = body[:4] == MAGIC and head[0] <= BLOCK and 0 < head[1] <= MOST and len(body) == _HEAD + head[3]
+        sound = body[:4] == MAGIC and head[0] <= BLOCK and 0 < head[1] <= MOST and len(body) == _HEAD + head[3] and bool(head[0]) == bool(head[3])
         if not sound or zlib.crc32(body[_HEAD:]) != head[4]:
             raise ValueError("not a block, or a damaged one")
         heads.append(head)
+        tables.append(_table(body[_HEAD:]) if head[0] else (np.zeros(0, int), np.zeros(0, int), 0))
+        if tables[-1][1].sum() != head[0]:
+            raise ValueError("a block is damaged: its table differs")
     out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(bodies)
-    for size in sorted({int(h[1]) for h in heads}):
-        order = sorted((i for i in range(len(bodies)) if heads[i][1] == size), key=lambda i: -heads[i][0])
-        side = lanes_for(size)
-        for start in range(0, len(order), side):
-            part = order[start : start + side]
-            lengths = np.array([heads[i][0] for i in part])
-            model, coder = _Mixture(len(part), size), _Coder(len(part), [bodies[i][_HEAD:] for i in part])
-            ids = np.zeros((max(lengths, default=0), len(part)), np.int32)
-            for t in range(len(ids)):
-                n = int(np.searchsorted(-lengths, -t, side="left"))
-                guessed, added, slots = model.guesses(n)
-                total = model.total[:n] + added[0] + added[1]
-                found, before, weight = _decoded(model, coder.target(total), guessed, added)
-                if (found >= size).any():
-                    raise ValueError("a block is damaged")
-                coder.code(before, weight, total)
-                model.learn(found, guessed, slots)
-                ids[t, :n] = found
-            for lane, i in enumerate(part):
-                out[i] = np.ascontiguousarray(ids[: heads[i][0], lane])
-                if zlib.crc32(out[i].astype("<u4").tobytes()) != heads[i][2]:
-                    raise ValueError("a block is damaged: its checksum differs")
+    order = sorted((i for i in range(len(bodies)) if heads[i][0]), key=lambda i: -heads[i][0])
+    for begin in range(0, len(order), LANES):
+        part = order[begin : begin + LANES]
+        ranks = np.ascontiguousarray(_ranks(np.array([heads[i][0] for i in part]), [tables[i][1] for i in part], [bodies[i][_HEAD + tables[i][2] :] for i in part]).T)
+        for row, i in zip(ranks, part):
+            out[i] = tables[i][0][row[: heads[i][0]]].astype(np.int32)
+    for i, ids in enumerate(out):
+        if zlib.crc32(ids.astype("<u4").tobytes(), int(heads[i][1])) != heads[i][2]:
+            raise ValueError("a block is damaged: its checksum differs")
     return out
 
 
@@ -406,8 +455,8 @@ def write(docs: DataFrame, path: str, tokenizer: str = public_tokenizers.path("b
 
         for batch in batches:
             keys, texts = (c.to_pylist() for c in batch.columns)
-            for i in range(0, len(texts), 256):
-                for doc_id, found in zip(keys[i : i + 256], ids.encode(texts[i : i + 256])):
+            for i in range(0, len(texts), 1024):
+                for doc_id, found in zip(keys[i : i + 1024], ids.encode(texts[i : i + 1024])):
                     held.append(np.append(found, end).astype(np.int32))
                     docs.append((ordinal, doc_id, len(found) + 1))
                     size += len(found) + 1
