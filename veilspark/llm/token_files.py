@@ -89,7 +89,9 @@ class Ids:
         self.first, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _learn(self, pieces: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        found: list[list[int]] = []
+        for i in range(0, len(pieces), 2048):  # what the tokenizer returns is far larger than the ids
+            found += [e.ids for e in self.tokenizer.encode_batch_fast(pieces[i : i + 2048], add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
         self.at.update(zip(pieces, range(len(self.at), len(self.at) + len(pieces))))
         self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
@@ -286,10 +288,12 @@ def encode_blocks(blocks: list[np.ndarray], size: int = 65_536) -> list[bytes]:
     for begin in range(0, len(order), LANES):
         part = order[begin : begin + LANES]
         lengths = np.array([len(blocks[i]) for i in part])
-        made = [_choices(blocks[i], size) if len(blocks[i]) else (b"", 0, 0) for i in part]
+        tables = []
         start, width = (np.zeros((max(lengths), len(part)), np.uint32) for _ in range(2))
-        for lane, (_, begins, widths) in enumerate(made):
+        for lane, i in enumerate(part):
+            table, begins, widths = _choices(blocks[i], size) if len(blocks[i]) else (b"", 0, 0)
             start[: lengths[lane], lane], width[: lengths[lane], lane] = begins, widths
+            tables.append(table)
         state = np.full(len(part), _LOW, np.uint64)
         words, at = np.zeros((len(part), len(start) + 1), "<u4"), np.full(len(part), len(start) + 1)
         for t in range(len(start) - 1, -1, -1):  # the reader goes forwards
@@ -302,7 +306,7 @@ def encode_blocks(blocks: list[np.ndarray], size: int = 65_536) -> list[bytes]:
             turns = x // f
             state[:n] = (turns << np.uint64(24)) + (x - turns * f) + start[t, :n]
         for lane, i in enumerate(part):
-            coded = made[lane][0] + int(state[lane]).to_bytes(8, "little") + words[lane, at[lane] :].tobytes() if lengths[lane] else b""
+            coded = tables[lane] + int(state[lane]).to_bytes(8, "little") + words[lane, at[lane] :].tobytes() if lengths[lane] else b""
             check = zlib.crc32(blocks[i].astype("<u4").tobytes(), size)
             out[i] = MAGIC + np.array([len(blocks[i]), size, check, len(coded), zlib.crc32(coded)], "<u4").tobytes() + coded
     return out
@@ -461,7 +465,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = public_tokenizers.path("b
                     docs.append((ordinal, doc_id, len(found) + 1))
                     size += len(found) + 1
                     ordinal += 1
-                    if size >= BLOCK * LANES:
+                    if size >= BLOCK * LANES // 2:
                         yield from flush(False)
         if docs:
             yield from flush(True)
