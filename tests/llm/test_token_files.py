@@ -1,5 +1,6 @@
 import time
 import zlib
+from itertools import product
 
 import numpy as np
 import public_tokenizers as P
@@ -156,3 +157,42 @@ def test_batches_are_split(monkeypatch):
     monkeypatch.setattr(K, "_PIECES", 3)
     for got in (K.Ids(PATH).encode(texts), want):
         assert [x.tolist() for x in got] == [plain_ids(t)[:-1] for t in texts]
+
+
+class Counted:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, inner):
+        self.inner, self.texts = inner, 0
+
+    def encode_batch_fast(self, texts, **kinds):
+        self.texts += len(texts)
+        return self.inner.encode_batch_fast(texts, **kinds)
+
+    def __getattr__(self, name):
+        return getattr(self.inner, name)
+
+
+def test_new_words_share_a_call():
+    words = ["".join(x) for x in product("bdflmnprst", repeat=3)]
+    text = " ".join(words) + "\n\xa0é 12 \xa0é  'll"
+    ids = K.Ids(PATH)
+    ids.tokenizer = Counted(ids.tokenizer)
+    if hasattr(ids, "joined"):
+        ids.joined = Counted(ids.joined)
+    assert ids.encode([text])[0].tolist() == plain_ids(text)[:-1]
+    assert ids.tokenizer.texts + ids.joined.texts < 50
+
+
+def test_words_used_again_are_not_forgotten(monkeypatch):
+    monkeypatch.setattr(K, "_PIECES", 50)
+    ids = K.Ids(PATH)
+    for i in range(20):
+        text = f" again and{''.join(f' w{i}q{j}' for j in range(9))}"
+        assert ids.encode([text])[0].tolist() == plain_ids(text)[:-1]
+    learned = []
+    ids._learn = lambda pieces, learn=ids._learn: (learned.extend(pieces), learn(pieces))[1]
+    for i in range(20, 60):
+        ids.encode([f" again and w{i}q"])
+    assert b" again" not in learned and " again" not in learned
+    assert len(ids.at) <= 60
