@@ -69,3 +69,40 @@ def test_few_rows(spark):
     two = spark.createDataFrame([(0, [1.0]), (1, [0.5])], schema)
     assert got(K.top_k(two)) == [(0, 1, 1, 256 * 128)]
     assert K.top_k(two.where(F.col("vec_id") == 1)).collect() == []
+
+
+def test_queries_and_vectors_of_many_tasks(spark):
+    rng = np.random.default_rng(2)
+    rows = rows_for(rng, 120, 12, 0.2) + [(i + 120, v) for i, v in rows_for(rng, 120, 5, 1e6)] + [(i + 240, v) for i, v in rows_for(rng, 120, 14, 0.2)]
+    rows += [(i, [0.5] * 12) for i in range(400, 460)] + [(410, [0.5] * 12), (None, [0.5] * 12)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for parts, group_bytes in ((1, 1000), (5, 4000), (5, 1 << 20)):
+        assert got(K.top_k(docs.repartition(parts), every=5, block_rows=19, query_rows=9, group_bytes=group_bytes)) == plain(rows, 5, 5)
+
+
+def moved(df):
+    """Bytes that its exchanges wrote."""
+    df.collect()
+    left, total = [df._jdf.queryExecution().executedPlan()], 0
+    while left:
+        plan = left.pop()
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            left.append(plan.executedPlan())
+        elif plan.nodeName().endswith("QueryStage"):
+            left.append(plan.plan())
+        elif plan.nodeName() == "Exchange":
+            total += plan.metrics().get("dataSize").get().value()
+        left += [plan.children().apply(i) for i in range(plan.children().size())]
+    return total
+
+
+def test_what_moves_does_not_grow_with_the_number_of_blocks(spark):
+    rows = rows_for(np.random.default_rng(3), 2400, 8, 0.2)
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # large tables are not broadcast
+    try:
+        few, many = (moved(K.top_k(docs, every=4, block_rows=n)) for n in (40, 5))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert 0 < many < 2 * few
