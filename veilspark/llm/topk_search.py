@@ -42,6 +42,7 @@ _FOUND = "query_id bigint, query_block bigint, query_at int, vec_id bigint, vec_
 _LAST = (1 << 63) - 1
 _NONE = -(1 << 62)
 _TRY = 8  # queries that try the rounds in each block before the others
+_SCORES = 1 << 20  # of one product, so that they are still in the cache when they are looked through
 
 
 def _narrow(data: np.ndarray) -> np.ndarray:
@@ -255,7 +256,8 @@ class Asked:
         self.found = {"unknown": np.ones(size, bool), "id": np.zeros(size, np.int64), "block": np.full(size, -1, np.int64), "at": np.zeros(size, np.int32)}
 
     def meet(self, block: int, ids: np.ndarray, known: np.ndarray, data: np.ndarray, rows: int) -> None:
-        """All queries, `rows` at a time, with one block of vectors."""
+        """All queries, at most `rows` at a time, with one block of vectors."""
+        rows = min(rows, max(_TRY, _SCORES // len(data)))
         width = min(self.data.shape[1], data.shape[1])  # what lies beyond is zero in one of them
         data = data[:, :width]
         lists, kind = Lists(data), _kind(self.data[:, :width], data)
